@@ -34,15 +34,17 @@ MATCH_SCHEMA = "doc_id long, item_id long, start long, end long, edits int"
 _MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
 #: Stands between texts and outside any text; no character has this code.
 GAP = np.uint32(0xFFFFFFFF)
-_SPACES = {c: " " for c in "\t\n\x0b\x0c\r\x85\xa0"}
-_FOLD = str.maketrans(_SPACES)
-_FOLD_ASCII = str.maketrans(_SPACES | {chr(c): chr(c + 32) for c in range(65, 91)})
+_FOLD_ASCII = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 def fold(text: str) -> str:
     """Lower case and blanks, character by character, so places stay those of the text."""
     low = text.lower()
-    return low.translate(_FOLD) if len(low) == len(text) else text.translate(_FOLD_ASCII)
+    if len(low) != len(text):
+        low = text.translate(_FOLD_ASCII)
+    for c in "\n\t\r\x0b\x0c\x85\xa0":
+        low = low.replace(c, " ")
+    return low
 
 
 def codes(text: str) -> np.ndarray:
@@ -162,6 +164,8 @@ def verify(index: ItemIndex, text: str, item: int, band: int) -> tuple[int, int,
     wanted, k, stride = index.texts[item], index.k[item], index.k[item] + 1
     lo = max(0, band * stride - k)
     hi = min(len(text), (band + 2) * stride + len(wanted) + k)
+    if hi - lo < len(wanted) - k:
+        return None
     piece = text[lo:hi]
     exact = piece.find(wanted)
     if exact >= 0:
@@ -185,7 +189,8 @@ def scan(index: ItemIndex, text: str) -> list[tuple[int, int, int, int]]:
         piece = text[lo : lo + step + index.longest]
         for item, band in index.candidates(codes(piece)):
             if found := verify(index, piece, item, band):
-                hits[(item, lo + found[0], lo + found[1])] = found[2]
+                place = (item, lo + found[0], lo + found[1])
+                hits[place] = min(found[2], hits.get(place, found[2]))
     return best_hits(hits)
 
 
@@ -227,7 +232,8 @@ def scan_many(index: ItemIndex, texts: list[str]) -> list[tuple[int, list]]:
                 # Bands of the joined text are re-based: this text's own diagonals start at its first character.
                 for own in {(band * stride - starts[r]) // stride, (band * stride - starts[r]) // stride + 1}:
                     if found := verify(index, text, item, own):
-                        per_row.setdefault(row, {})[(item, found[0], found[1])] = found[2]
+                        hits, place = per_row.setdefault(row, {}), (item, found[0], found[1])
+                        hits[place] = min(found[2], hits.get(place, found[2]))
         out.extend((row, best_hits(h)) for row, h in per_row.items())
 
     for row, text in enumerate(texts):
