@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, near, pieces, quality, sharding, warc
+from . import decontaminate, licenses, lines, near, pieces, quality, sharding, suffix, warc
 
 
 def queries() -> dict:
@@ -10,10 +10,12 @@ def queries() -> dict:
         "op1_qgram_decontamination": decontaminate.op1_qgram_decontamination,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_hash_tree_sharding": sharding.op4_hash_tree_sharding,
+        "op5_run_length_dedup": suffix.op5_run_length_dedup,
         "op6_bayes_minhash": near.op6_bayes_minhash,
         "op7_license_compression": licenses.op7_license_compression,
         "op8_streaming_pieces": pieces.op8_streaming_pieces,
         "op9_seekable_warc": warc.op9_seekable_warc,
+        "op10_line_join": lines.op10_line_join,
     }
 
 
