@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, lines, near, pieces, quality, sharding, suffix, warc
+from . import decontaminate, licenses, lines, near, pieces, quality, secret_scan, sharding, suffix, warc
 
 
 def queries() -> dict:
     return {
         "op1_qgram_decontamination": decontaminate.op1_qgram_decontamination,
+        "op2_forest_secret_scan": secret_scan.op2_forest_secret_scan,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_hash_tree_sharding": sharding.op4_hash_tree_sharding,
         "op5_run_length_dedup": suffix.op5_run_length_dedup,
