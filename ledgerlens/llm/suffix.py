@@ -179,8 +179,13 @@ def long_matches(strings: list[bytes], length: int) -> list[list[tuple[int, int]
     return out
 
 
-_PART = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("fp", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
-PART_SCHEMA = "h1 long, h2 long, fp long, lo int, hi int"
+_PART = pa.schema([("k_id", pa.int64()), ("k_text", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+PART_SCHEMA = "k_id long, k_text long, a long, b long"
+
+
+def keyed_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k_id, k_text, data): the one form in which texts are shuffled, so that the exchange is reused."""
+    return docs.select(*row_key(id_col, text_col), utf8(F.col(text_col)).alias("data"))
 
 
 def _indexed(contexts: DataFrame, length: int) -> DataFrame:
@@ -191,9 +196,9 @@ def _indexed(contexts: DataFrame, length: int) -> DataFrame:
 
         def work():
             rows = []
-            for (fp, h1, h2, c, _), runs in zip(held, long_matches([x[4] for x in held], length), strict=True):
+            for (_, c, k_id, k_text, at, _), runs in zip(held, long_matches([x[5] for x in held], length), strict=True):
                 if c == 1:
-                    rows += [(h1, h2, fp, lo, hi) for lo, hi in runs]
+                    rows += [(k_id, k_text, at + lo, at + hi + length) for lo, hi in runs]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_PART)], schema=_PART)
 
         for batch in batches:
@@ -202,12 +207,12 @@ def _indexed(contexts: DataFrame, length: int) -> DataFrame:
                     yield work()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
                 last = row[0]
         if held:
             yield work()
 
-    return contexts.select("fp", "h1", "h2", "c", "data").repartition("fp").sortWithinPartitions("fp").mapInArrow(run, PART_SCHEMA)
+    return contexts.select("fp", "c", "k_id", "k_text", "at", "data").repartition("fp").sortWithinPartitions("fp").mapInArrow(run, PART_SCHEMA)
 
 
 def _counted(contexts: DataFrame, length: int) -> DataFrame:
@@ -215,33 +220,32 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for fp, h1, h2, c, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for c, k_id, k_text, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = len(data) - length + 1
                 hashes = np.frombuffer(b"".join(hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(n)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, np.int64)) for v in (h1, h2, fp, c)] + [pa.array(np.arange(n), pa.int32()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])], names=["h1", "h2", "fp", "c", "i", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, np.int64)) for v in (c, k_id, k_text)] + [pa.array(np.arange(n) + at), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])], names=["c", "k_id", "k_text", "a", "w1", "w2"])
 
-    rows = contexts.select("fp", "h1", "h2", "c", "data").mapInArrow(run, "h1 long, h2 long, fp long, c long, i int, w1 long, w2 long")
+    rows = contexts.select("c", "k_id", "k_text", "at", "data").mapInArrow(run, "c long, k_id long, k_text long, a long, w1 long, w2 long")
     again = rows.groupBy("w1", "w2").agg(F.sum("c").alias("t")).where("t > 1").select("w1", "w2")
-    return rows.where("c = 1").join(again, ["w1", "w2"], "left_semi").select("h1", "h2", "fp", F.col("i").alias("lo"), F.col("i").alias("hi"))
+    return rows.where("c = 1").join(again, ["w1", "w2"], "left_semi").select("k_id", "k_text", "a", (F.col("a") + length).alias("b"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
     """(k_id, k_text, spans): byte ranges covered by strings that also start elsewhere; they may overlap."""
     occ = cut(occurrences(docs, length, id_col, text_col))
-    hull = cut(occ.groupBy("fp", "h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("k_id", "k_text", "at", "n")).alias("r")))
-    anchor = hull.groupBy("fp").agg(F.count("*").alias("d")).where("d > 1")
-    mixed = hull.join(anchor, "fp")
-    texts = docs.select(*row_key(id_col, text_col), utf8(F.col(text_col)).alias("data"))
-    wanted = mixed.select("fp", "h1", "h2", "c", "d", F.col("r.k_id").alias("k_id"), F.col("r.k_text").alias("k_text"), F.col("r.at").alias("at"), F.col("r.n").alias("n"))
-    contexts = wanted.join(texts, ["k_id", "k_text"])
-    contexts = contexts.select("fp", "h1", "h2", "c", "d", F.expr(f"substring(data, int(at) + 1, n + {length - 1})").alias("data"))
+    # Most anchors occur once: what follows sees only the others.
+    common = occ.groupBy("fp").agg(F.count("*").alias("t")).where("t > 1").select("fp")
+    shared = cut(occ.join(common, "fp", "left_semi"))
+    hull = shared.groupBy("fp", "h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("k_id", "k_text", "at", "n")).alias("r"))
+    anchor = hull.groupBy("fp").agg(F.count("*").alias("d"))
+    wanted = cut(hull.join(anchor, "fp").where("d > 1 OR c > 1").select("fp", "h1", "h2", "c", "d", "r.*"))
+    contexts = wanted.where("d > 1").join(keyed_bytes(docs, id_col, text_col), ["k_id", "k_text"]).select("fp", "h1", "h2", "c", "d", "k_id", "k_text", "at", F.expr(f"substring(data, int(at) + 1, n + {length - 1})").alias("data"))
     parts = _indexed(contexts.where(F.col("d") <= many), length)
-    if not hull.groupBy("fp").agg(F.count("*").alias("d")).where(F.col("d") > many).isEmpty():
+    if not wanted.where(F.col("d") > many).isEmpty():
         parts = parts.unionByName(_counted(contexts.where(F.col("d") > many), length))
-    whole = occ.join(hull.where("c > 1").select("fp", "h1", "h2"), ["fp", "h1", "h2"], "left_semi").select("k_id", "k_text", F.col("at").alias("a"), (F.col("at") + F.col("n") + length - 1).alias("b"))
-    single = hull.where("c = 1").select("fp", "h1", "h2", F.col("r.k_id").alias("k_id"), F.col("r.k_text").alias("k_text"), F.col("r.at").alias("at"))
-    part = parts.join(single, ["fp", "h1", "h2"]).select("k_id", "k_text", (F.col("at") + F.col("lo")).alias("a"), (F.col("at") + F.col("hi") + length).alias("b"))
-    return whole.unionByName(part).groupBy("k_id", "k_text").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    again = wanted.where("c > 1").select("fp", "h1", "h2")
+    whole = shared.join(again, ["fp", "h1", "h2"], "left_semi").select("k_id", "k_text", F.col("at").alias("a"), (F.col("at") + F.col("n") + length - 1).alias("b"))
+    return whole.unionByName(parts).groupBy("k_id", "k_text").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))])
@@ -251,7 +255,7 @@ OUT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept bina
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
     """Each row's size, removed bytes, maximal removed runs, remaining bytes and the runs themselves."""
     spans = repeated_spans(docs, length, id_col, text_col, many)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), utf8(F.col(text_col)).alias("data"))
+    texts = keyed_bytes(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +277,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_OUT)], schema=_OUT)
 
-    return texts.join(spans, ["k_id", "k_text"], "left").select("doc_id", "data", "spans").mapInArrow(run, OUT_SCHEMA)
+    doc_id = F.when(F.col("k_id") != -(2**63), F.col("k_id")).alias("doc_id")
+    return texts.join(spans, ["k_id", "k_text"], "left").select(doc_id, "data", "spans").mapInArrow(run, OUT_SCHEMA)
 
 
 def op5_run_length_dedup(spark, sf_dir: str) -> DataFrame:
