@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import core_queries, portfolio_queries
+
 
 def queries() -> dict:
-    return {}
+    return core_queries.QUERIES | portfolio_queries.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return core_queries.ORACLES | portfolio_queries.ORACLES
