@@ -131,7 +131,7 @@ CTE = {
     "cal": "SELECT CAST(d AS DATE) AS day FROM generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY) x(d)",
     "hol": "SELECT day FROM cal WHERE (month(day) = 1 AND day(day) = 1) OR (isodow(day) < 6 AND day NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders))",
     "td": "SELECT day FROM cal WHERE isodow(day) < 6 AND day NOT IN (SELECT day FROM hol)",
-    "rt": "SELECT day, min(t) FILTER (t >= day) AS following, max(t) FILTER (t <= day) AS preceding FROM cal, (SELECT day AS t FROM td) WHERE abs(date_diff('day', day, t)) < 30 GROUP BY day",
+    "rt": "SELECT day, min(t) FILTER (t >= day) AS following, max(t) FILTER (t <= day) AS preceding FROM cal, (SELECT day AS t FROM td) GROUP BY day",
 }
 _NEEDS = {
     "sb": ["s"], "ug": ["s"], "tr": ["den"], "txn": ["tr"], "tp": ["txn"], "pr1": ["tp"], "pr2": ["pr1"], "pos": ["pr2"], "cd": ["pos", "tp"], "hold": ["pos", "cd"], "pg": ["p", "g"], "fg": ["fx", "g"],
