@@ -176,7 +176,9 @@ def link(docs: DataFrame, shingle: int, percent: int, rows: int = ROWS, bands: i
         pair = F.explode(F.array(*[F.struct(F.least("c", h).alias("a"), F.greatest("c", h).alias("b")) for h in names])).alias("p")
         return frame.select(pair).select("p.a", "p.b").where("a <> b")
 
-    texts = docs.select(*row_key(id_col, text_col), utf8(F.col(text_col)).alias("data")).join(reps.select("k_id", "k_text", "c"), ["k_id", "k_text"]).dropDuplicates(["c"]).select("c", "data")
+    # Only classes that share a band are ever confirmed: their texts are set apart once.
+    banded = reps.select("k_id", "k_text", "c").join(rows_in.select("c").distinct(), "c", "left_semi")
+    texts = cut(docs.select(*row_key(id_col, text_col), utf8(F.col(text_col)).alias("data")).join(banded, ["k_id", "k_text"]).dropDuplicates(["c"]).select("c", "data"))
     sigs = reps.select("c", "sig")
 
     def tested(pairs: DataFrame) -> DataFrame:
