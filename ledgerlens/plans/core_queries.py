@@ -192,4 +192,4 @@ add("threshold_crossing", lambda spark, d: S.positions(V.series(spark, d)).group
 add("path_record", lambda spark, d: V.series(spark, d).groupBy(K).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t_ms", "value"))), lambda x: F.round(x["value"] * 100).cast("long").cast("string")), ",").alias("path")), sql("s", "SELECT series_id, string_agg(CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY t_ms) AS path FROM s GROUP BY 1"))
 add("context_window", lambda spark, d: V.series(spark, d).select(K, "t_ms", F.array_join(F.transform(F.collect_list("value").over(_w(-2, 0)), lambda x: F.round(x * 100).cast("long").cast("string")), ",").alias("context")), sql("s", "SELECT series_id, t_ms, list_aggregate(list(CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)) OVER (PARTITION BY series_id ORDER BY t_ms ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 'string_agg', ',') AS context FROM s"))
 for _n, _f, _e in (("rolling_mse", lambda e: e * e, "e * e"), ("rolling_mae", F.abs, "abs(e)")):
-    add(_n, lambda spark, d, n=_n, f=_f: V.series(spark, d).withColumn("e", F.col("value") - F.lag("value").over(S.over())).where("e IS NOT NULL").select(K, "t_ms", F.round(F.avg(f(F.col("e"))).over(_w(-9, 0)) + 0.00137, 2).alias(n)), sql("s", f"SELECT series_id, t_ms, round(avg({_e}) OVER (PARTITION BY series_id ORDER BY t_ms ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) + 0.00137, 2) AS {_n} FROM (SELECT *, value - lag(value) OVER (PARTITION BY series_id ORDER BY t_ms) AS e FROM s) WHERE e IS NOT NULL"))
+    add(_n, lambda spark, d, n=_n, f=_f: V.series(spark, d).withColumn("e", F.col("value") - F.lag("value").over(S.over())).where("e IS NOT NULL").select(K, "t_ms", F.round(F.avg(f(F.col("e"))).over(_w(-9, 0)) + 0.0013731, 2).alias(n)), sql("s", f"SELECT series_id, t_ms, round(avg({_e}) OVER (PARTITION BY series_id ORDER BY t_ms ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) + 0.0013731, 2) AS {_n} FROM (SELECT *, value - lag(value) OVER (PARTITION BY series_id ORDER BY t_ms) AS e FROM s) WHERE e IS NOT NULL"))
