@@ -35,6 +35,8 @@ ROWS, BANDS, BATCH = 4, 24, 16
 MISS, WIDE, HUBS = 1e-7, 12, 2
 #: Pairs left between components, as a multiple of the band rows in question, below which all are compared.
 REST = 4
+#: Classes to confirm, up to which their names are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_CLASSES = 100_000
 
 _SIGS = pa.schema([("doc_id", pa.int64()), ("k_id", pa.int64()), ("k_text", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary())])
 SIG_SCHEMA = "doc_id long, k_id long, k_text long, n_shingles long, s1 long, s2 long, sig binary"
@@ -134,13 +136,16 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
                     keep.append(k)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
+    # Only texts that a pair names are shuffled.
+    named = cut(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+    texts = texts.join(F.broadcast(named) if named.count() <= BROADCAST_CLASSES else named, "c", "left_semi")
     x = texts.select(F.col("c").alias("a"), F.col("data").alias("x"))
     y = texts.select(F.col("c").alias("b"), F.col("data").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
 
 
 def link(docs: DataFrame, shingle: int, percent: int, rows: int = ROWS, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(membership, links): each row's class, and the confirmed pairs between class representatives.
+    """(membership, links): each row's class, and confirmed pairs of classes that connect all that any links connect.
 
     A class is named by its 128-bit set hash; its representative is the row of smallest key.
     """
@@ -185,7 +190,15 @@ def link(docs: DataFrame, shingle: int, percent: int, rows: int = ROWS, bands: i
         return cut(_confirmed(cut(_probable(pairs, sigs, threshold, n)), texts, shingle, percent))
 
     asked = few_pairs.unionByName(hub_pairs(wide, [f"h{h}" for h in range(HUBS)])).distinct()
-    links = tested(asked)
+    # One partner of a class mostly confirms; then only pairs between different components can add anything.
+    probable = cut(_probable(asked, sigs, threshold, n))
+    tried = cut(probable.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = cut(_confirmed(tried, texts, shingle, percent))
+    of = components(links)
+    side = lambda z: of.select(F.col("node").alias(z), F.col("component").alias(f"k{z}"))
+    rest = probable.join(tried, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    rest = cut(rest.where(F.coalesce("ka", "a") != F.coalesce("kb", "b")).select("a", "b"))
+    links = cut(links.unionByName(_confirmed(rest, texts, shingle, percent)))
     for salt in range(HUBS, HUBS + 12):
         if wide.isEmpty():
             break
