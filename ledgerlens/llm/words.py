@@ -25,9 +25,9 @@ def _powers(base: int, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_BASE, CHUNK + 1), _powers(_INVERSE, CHUNK + 1)
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` of a byte array, A-Z lowered, in order."""
-    out = []
+def words_at(data: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` of a byte array, in order, and where it begins; ``fold`` lowers A-Z."""
+    out, places = [], []
     at = 0
     while at < len(data):
         end = min(len(data), at + CHUNK)
@@ -41,11 +41,17 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
         edge = np.diff(np.concatenate([[True], gap, [True]]).view(np.int8))
         begin, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         if len(begin):
-            low = _LOWER[piece].astype(np.uint64) + np.uint64(1)
+            low = (_LOWER[piece] if fold else piece).astype(np.uint64) + np.uint64(1)
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(low * _DOWN[: len(piece)], dtype=np.uint64)])
             out.append(mix64((total[stop] - total[begin]) * _UP[stop] + (stop - begin).astype(np.uint64)))
+            places.append(begin + at)
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return (np.concatenate(out), np.concatenate(places)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """The hashes of the words of a byte array, A-Z lowered, in order."""
+    return words_at(data)[0]
 
 
 def shingle_set(data: np.ndarray, size: int) -> np.ndarray:
