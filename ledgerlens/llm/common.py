@@ -27,10 +27,15 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: lineage ends there."""
+    """Write ``df`` to a table in the shared folder and read it back: lineage ends there.
+
+    What was shuffled on the way is of no more use. Executors delete such files when the driver's JVM
+    collects the plans that name them, so it is asked to (as spark.cleaner.periodicGC.interval does).
+    """
     spark = df.sparkSession
     path = work_dir(spark)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
