@@ -8,8 +8,12 @@ shared by nobody and left out. A pair has to pass the length filter, the positio
 and after the shared one bound the overlap) and a parity map of 128 bits: the bits in which two maps differ
 are no more than the words in which the sets differ. What passes is verified on the words themselves.
 
-Each class meets the earliest class of each of its prefix words first (a window). Only classes that match none of
-these are joined with all earlier ones, so large groups of near copies make no quadratic table.
+The query joins all classes with each other, so each class comes with the number of its links. Lists of frequent
+words are dealt to a grid of parts. The links of a group of near copies grow with the square of its different texts.
+
+Removal (``dedup_lines``) asks only whether a line has an earlier match and takes a shorter way: each class meets the
+earliest class of each of its prefix words first (a window), and only classes that match none of these are joined
+with all earlier ones.
 
 A line goes if an earlier line (by document id, then place) has the same set or one of similarity 4/5 or
 more. Whether that earlier line goes too plays no part, so the result depends on no processing order.
@@ -39,6 +43,8 @@ from .words import words_at
 BITS, BLOCK = 24, 1 << 14
 #: Code from which a word is frequent (4,096 occurrences); its classes are dealt to so many parts.
 OFTEN, PARTS = 168, 64
+#: Where all classes are joined, lists of frequent words are dealt to a grid of SIDE x SIDE parts.
+SIDE = 8
 #: Blocks of words, joined one after the other.
 PASSES = 4
 #: Columns that tell the set of a line: 192 bits of hashes, and its size.
@@ -171,8 +177,11 @@ def _postings(classes: DataFrame, *more: str) -> DataFrame:
     return each.select(F.shiftright("v", 32).alias("w"), q.alias("q"), "c", "k", "m1", "m2", *more, F.col("v").bitwiseAND(F.lit(0x80000000)).cast("boolean").alias("often"))
 
 
-def similar_classes(table: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(classes, pairs): each class with its first line and size, and verified pairs (earlier, later) of first lines: one or more for each class that has any."""
+def similar_classes(table: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(classes, pairs): each class with its first line and size, and verified pairs (earlier, later) of first lines.
+
+    ``every`` gives all pairs; without it there are one or more for each class that has an earlier match.
+    """
     grouped = table.groupBy(*_SET).agg(F.min(F.struct("k_id", "k_text", "line_no")).alias("first"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"))
     classes = cut(grouped.withColumn("c", F.monotonically_increasing_id()))
 
@@ -185,6 +194,18 @@ def similar_classes(table: DataFrame, docs: DataFrame, id_col: str = "doc_id", t
         # Words are taken in PASSES blocks, so that the shuffle of one block is gone before the next.
         return ordered(reduce(DataFrame.unionByName, [cut(make(F.pmod("w", F.lit(PASSES)) == i).distinct()) for i in range(PASSES)]))
 
+    def all_pairs(block: Column) -> DataFrame:
+        # Words that are not frequent: both sides read one shuffle. Frequent words: a pair meets in the one part of its row and column.
+        posts = _postings(classes).where(block)
+        rare = posts.where("NOT often").drop("often")
+        part, each = F.pmod(F.xxhash64("m1", "m2"), F.lit(SIDE)), F.sequence(F.lit(0), F.lit(SIDE - 1))
+        row, column = (posts.where("often").drop("often").withColumn("p", F.explode(F.transform(each, at))) for at in (lambda i: part * SIDE + i, lambda i: i * SIDE + part))
+        met = [x.alias("x").join(y.alias("y"), on).where("x.c < y.c").where(_POSSIBLE) for x, y, on in ((rare, rare, ["w"]), (row, column, ["w", "p"]))]
+        return met[0].select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).unionByName(met[1].select(F.col("x.c").alias("a"), F.col("y.c").alias("b")))
+
+    if every:
+        return classes, _verified(by_pass(all_pairs), docs, id_col, text_col)
+
     def hub_pairs(block: Column) -> DataFrame:
         # Lists of frequent words are dealt to many parts, each with an earliest class of its own.
         part = F.when(F.col("often"), F.pmod(F.xxhash64("m1"), F.lit(PARTS))).otherwise(F.lit(0))
@@ -226,16 +247,37 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     return joined.withColumn("both", F.size(F.array_intersect("xw", "yw"))).where("5L * both >= 4L * (size(xw) + size(yw) - both)").select("earlier", "later").distinct()
 
 
+def _marked(table: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The lines that an earlier line matches, with the earliest such line that the pairs name."""
+    matched = pairs.groupBy(F.col("later").alias("first")).agg(F.min("earlier").alias("by"))
+    marked = classes.select(*_SET, "first", "copies").join(matched, "first", "left").where("copies > 1 OR by IS NOT NULL").select(*_SET, "first", "by")
+    hit = table.select("k_id", "k_text", "line_no", *_SET).join(marked, _SET)
+    own = F.struct("k_id", "k_text", "line_no")
+    return hit.where(F.col("by").isNotNull() | (own != F.col("first"))).select("k_id", "k_text", "line_no", F.coalesce("by", "first").alias("match"))
+
+
 def removable_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lines, removed): the line table, and of it the lines that an earlier line matches, with such a line."""
     table = cut(line_table(docs, id_col, text_col))
     classes, pairs = similar_classes(table, docs, id_col, text_col)
-    pairs = cut(pairs)
-    matched = pairs.groupBy(F.col("later").alias("first")).agg(F.min("earlier").alias("by"))
-    marked = classes.select(*_SET, "first", "copies").join(matched, "first", "left").where("copies > 1 OR by IS NOT NULL").select(*_SET, "first", "by")
-    hit = table.select("k_id", "k_text", "line_no", *_SET).join(marked, _SET)
+    return table, _marked(table, classes, cut(pairs))
+
+
+def linked_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a line with words: its class (named by its first line), the lines of the class, its links and its earliest match.
+
+    ``n_links`` counts the other classes of similarity 4/5 or more; ``match`` is the earliest line of the same
+    set or of a linked class, and null where no earlier line matches.
+    """
+    table = cut(line_table(docs, id_col, text_col))
+    classes, pairs = similar_classes(table, docs, id_col, text_col, every=True)
+    ends = F.explode(F.array(F.struct(F.col("later").alias("first"), F.col("earlier").alias("by")), F.struct(F.col("earlier").alias("first"), F.lit(None).alias("by")))).alias("e")
+    links = cut(pairs.select(ends).groupBy("e.first").agg(F.count("*").alias("n_links"), F.min("e.by").alias("by")))
+    known = classes.select(*_SET, "first", "copies").join(links, "first", "left").select(*_SET, "first", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "by")
     own = F.struct("k_id", "k_text", "line_no")
-    return table, hit.where(F.col("by").isNotNull() | (own != F.col("first"))).select("k_id", "k_text", "line_no", F.coalesce("by", "first").alias("match"))
+    # A line has a class in any case; by comes before first, as pairs name the earlier class first.
+    match = F.coalesce("by", F.when(own != F.col("first"), F.col("first")))
+    return table.select("k_id", "k_text", "line_no", *_SET).join(known, _SET).select("k_id", "k_text", "line_no", F.col("first").alias("class"), "copies", "n_links", match.alias("match"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,13 +291,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op10_line_join(spark, sf_dir: str) -> DataFrame:
-    """Every document with its lines, the lines removed and the documents that hold their earlier matches."""
+    """Every document with its lines, the lines removed, the documents that hold their earliest matches, and the class, copies and links of each line."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    table, hit = removable_lines(docs)
-    per_line = table.groupBy("k_id", "k_text").agg(F.count("*").alias("n_lines"))
-    per_hit = hit.groupBy("k_id", "k_text").agg(F.count("*").alias("n_removed"), F.sort_array(F.collect_list("line_no")).alias("removed_lines"), F.array_sort(F.collect_set("match.k_id")).alias("matched_docs"))
+    return line_join(docs)
+
+
+def line_join(docs: DataFrame) -> DataFrame:
+    gone = F.col("match").isNotNull()
+    per = linked_lines(docs).groupBy("k_id", "k_text").agg(
+        # Repeated rows give a line many times.
+        F.count("*").alias("n_lines"), F.count_if(gone).alias("n_removed"), F.sort_array(F.collect_list(F.when(gone, F.col("line_no")))).alias("removed_lines"),
+        F.array_sort(F.collect_set("match.k_id")).alias("matched_docs"), F.array_sort(F.collect_set(F.struct("line_no", "class", "copies", "n_links"))).alias("classes"),
+    )
     keyed = docs.select("doc_id", *row_key())
-    return keyed.join(per_line, ["k_id", "k_text"], "left").join(per_hit, ["k_id", "k_text"], "left").select(
+    return keyed.join(per, ["k_id", "k_text"], "left").select(
         "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"), F.coalesce("matched_docs", F.array().cast("array<bigint>")).alias("matched_docs"),
+        F.coalesce("classes", F.filter(F.array(F.struct(F.lit(0).alias("line_no"), F.struct(F.lit(0).cast("long").alias("k_id"), F.lit(0).cast("long").alias("k_text"), F.lit(0).alias("line_no")).alias("class"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_links"))), lambda x: F.lit(False))).alias("classes"),
     )

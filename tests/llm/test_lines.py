@@ -93,3 +93,24 @@ def test_line_facts_against_sets():
         at += len(want)
     h, key = np.array([5, 6, 5, 1], np.uint64), np.array([3, 3, 3, 7])
     assert h[L._order(h, key)].tolist() == [5, 5, 6, 1]
+
+
+def test_links_of_all_classes(spark, monkeypatch):
+    """Class, copies and number of links of every line, against all pairs of different sets; frequent words go through the grid too."""
+    docs = corpus()
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    lines = {(d, k): words(line) for d, t in docs if t is not None for k, line in enumerate(t.split("\n")) if words(line)}
+    first, copies = {}, defaultdict(int)
+    for place in sorted(lines):
+        first.setdefault(lines[place], place)
+        copies[lines[place]] += 1
+    links = {s: sum(5 * len(s & t) >= 4 * len(s | t) for t in first) - 1 for s in first}
+    assert sum(links.values()) > 2 * sum(n > 0 for n in links.values())
+    want = {p: (first[s], copies[s], links[s]) for p, s in lines.items()}
+    for often in (L.OFTEN, 2):
+        monkeypatch.setattr(L, "OFTEN", often)
+        rows = L.line_join(frame).collect()
+        got = {(r["doc_id"], c["line_no"]): ((c["class"]["k_id"], c["class"]["line_no"]), c["copies"], c["n_links"]) for r in rows for c in r["classes"]}
+        assert got == want and len(rows) == len(docs)
+    gone = brute(docs)
+    assert all((r["n_lines"], r["removed_lines"]) == gone.get(r["doc_id"], (0, [])) for r in rows)
