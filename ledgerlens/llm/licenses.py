@@ -1,7 +1,8 @@
 """License scans by conditional compression.
 
 Candidate blocks are runs of lines that use the vocabulary of license notices and hold at least one
-strong cue; a cue inside a longer prose line gives the words around it. Each block is compressed
+strong cue; a cue inside a longer prose line gives the long notice that stands there, or else the words
+around it. Each block is compressed
 alone and with every template as a raw Zstandard dictionary; templates are ranked by how much they
 shrink the block, and the leaders are confirmed by the exact words missing from or added to the template.
 
@@ -15,8 +16,10 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import pyarrow as pa
 import zstandard
@@ -46,6 +49,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "Copyright. All rights reserved."),
+    *((f"CC-{kind}-{v}", f"Licensed under CC {kind} {v}.") for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("4.0", "3.0", "2.5", "2.0", "1.0")),
 ]
 
 #: A text or line without one of these is never a license block.
@@ -68,6 +72,13 @@ def _vocabulary() -> frozenset[str]:
     return frozenset(w for _, t in TEMPLATES for w in words(t))
 
 
+@cache
+def _long() -> list[tuple[list[str], Counter]]:
+    """Templates that the words kept around a cue may cut: their words, in order and counted."""
+    found = [words(t) for _, t in TEMPLATES]
+    return [(w, Counter(w)) for w in found if len(w) > AROUND]
+
+
 @cache
 def _compressors() -> list:
     plain = zstandard.ZstdCompressor(level=9, write_content_size=False, write_dict_id=False)
@@ -94,18 +105,53 @@ def blocks(text: str) -> list[tuple[int, int, str]]:
             run.append((n, line))
             continue
         close()
-        last = -1
+        last = floor = 0
         for cue in _CUE.finditer(line):
             if cue.start() < last:
                 continue
-            before, after = line[: cue.start()].split(), line[cue.start() :].split()
+            notice = long_notice(line, floor, cue.start())
+            if notice and notice[0] <= cue.start():
+                out.append((n, n, line[slice(*notice)]))
+                last = floor = notice[1]
+                if cue.start() < last:
+                    continue
+                notice = None
+            # A notice that only begins after the cue has cues of its own.
+            end = notice[0] if notice else len(line)
+            before, after = line[floor : cue.start()].split(), line[cue.start() : end].split()
             piece = " ".join(before[-AROUND:] + after[:AROUND])
-            last = cue.start() + len(" ".join(after[:AROUND]))
+            last = min(end, cue.start() + len(" ".join(after[:AROUND])))
             out.append((n, n, piece))
     close()
     return sorted(out)
 
 
+def long_notice(line: str, floor: int, at: int) -> tuple[int, int] | None:
+    """Where a notice after the form of a long template stands around place ``at`` of a line, not before ``floor``."""
+    reach = int((1 + MAX_DIFFERENCE) * max(len(w) for w, _ in _long())) + 1
+    before, after = list(_WORD.finditer(line, floor, at)), list(islice(_WORD.finditer(line, at), reach))
+    around = before[-reach:] + after
+    text = [w.group().lower() for w in around]
+    count, best = Counter(text), None
+    for template, own in _long():
+        allowed = MAX_DIFFERENCE * len(template)
+        if len(template) - (own & count).total() > allowed:
+            continue
+        runs = [r for r in difflib.SequenceMatcher(None, template, text, autojunk=False).get_matching_blocks() if r.size]
+        # Words of the prose far from the notice are no part of it.
+        gap = lambda x, y: y.b - x.b - x.size - max(0, y.a - x.a - x.size)
+        while len(runs) > 1 and gap(runs[0], runs[1]) > runs[0].size:
+            runs.pop(0)
+        while len(runs) > 1 and gap(runs[-2], runs[-1]) > runs[-1].size:
+            runs.pop()
+        shared = sum(r.size for r in runs)
+        lo, hi = runs[0].b, runs[-1].b + runs[-1].size
+        n = max(len(template) - shared, hi - lo - shared)
+        if n <= allowed and (best is None or (n, -len(template)) < best[0]):
+            best = (n, -len(template)), around[lo].start(), around[hi - 1].end()
+    return best and best[1:]
+
+
 def rank(block: str) -> list[tuple[float, int]]:
     """(size reduction, template) of each template, best first; ties go to the earlier template."""
     data = block.lower().encode()
@@ -128,7 +174,8 @@ def judge(block: str) -> tuple:
     """(license_id, reduction, missing, added, verdict) of a block."""
     best = None
     order = rank(block)
-    for reduction, i in order[:CONFIRM]:
+    # Templates that tie with the last leader are confirmed as well.
+    for reduction, i in [x for x in order if x[0] >= order[CONFIRM - 1][0]]:
         missing, added = differences(block, TEMPLATES[i][1])
         n = max(len(missing), len(added))  # a changed word counts once
         if best is None or n < best[0]:

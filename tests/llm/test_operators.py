@@ -165,6 +165,27 @@ def test_license_blocks(spark):
         assert licenses.judge(text)[0] == license_id and licenses.judge(text)[4] == "exact"
 
 
+def test_license_forms_in_documents_and_prose():
+    """Every notice form of the documents, and every long template inside a prose line and with a word changed."""
+    forms = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "All rights reserved.": "proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY-SA 3.0.": "CC-BY-SA-3.0"}
+    prose = " ".join("the river of stones and night walks past green lamps toward some or any mountain village".split() * 6)
+    for text, license_id in forms.items():
+        for line in (text, f"some prose\n{text}\nother prose"):
+            assert [licenses.judge(b)[0] for _, _, b in licenses.blocks(line)] == [license_id]
+    for license_id, text in licenses.TEMPLATES:
+        if len(licenses.words(text)) <= licenses.AROUND:
+            continue
+        found = [licenses.judge(b) for _, _, b in licenses.blocks(f"{prose} {text} {prose}")]
+        assert [(f[0], f[4]) for f in found] == [(license_id, "exact")]
+        changed = text.split()
+        changed[len(changed) // 2] = "zzz"
+        found = [licenses.judge(b) for _, _, b in licenses.blocks(f"{prose} {' '.join(changed)} {prose}")]
+        # The short Apache form is whole inside the changed long one.
+        assert [(f[0], f[4] != "unknown") for f in found] == [(license_id, True)]
+    both = "A license follows: " + licenses.TEMPLATES[2][1] + " Also Licensed under CC BY-NC 4.0. " + prose
+    assert {licenses.judge(b)[0] for _, _, b in licenses.blocks(both)} >= {"MIT", "CC-BY-NC-4.0"}
+
+
 # Pieces.
 def test_pieces_equal_the_library_and_round_trip(spark):
     import sentencepiece
