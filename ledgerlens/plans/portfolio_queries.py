@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -158,8 +160,8 @@ for _n, _e in _FORMS.items():
 add("periods_per_year", lambda spark, d: C.trading_days(spark, _A, _B, V.holidays(spark, d)).groupBy(F.year("day").alias("year")).agg(F.round(F.count("*") / (365 * 86_400_000 / C.YEAR_MS), 4).alias("periods")), sql("td", "SELECT CAST(year(day) AS INT) AS year, round(count(*) / (365 / 365.2425), 4) AS periods FROM td GROUP BY 1"))
 
 
-def _rules(spark, d):
-    o = V.table(spark, d, "orders").where("o_orderkey % 97 = 0").select("o_orderkey", F.to_date("o_orderdate").alias("start"))
+def _rules(spark, d, which: str = "o_orderkey % 97 = 0"):
+    o = V.table(spark, d, "orders").where(which).select("o_orderkey", F.to_date("o_orderdate").alias("start"))
     unit = F.get(F.array(*[F.lit(x) for x in ("day", "week", "month", "quarter", "year")]), (F.col("o_orderkey") % 5).cast("int"))
     return o.select("o_orderkey", "start", F.add_months("start", 18).alias("end"), unit.alias("unit"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("step"))
 
@@ -169,6 +171,26 @@ rc AS (SELECT o_orderkey, CAST(CASE u WHEN 0 THEN st + to_days(CAST(k * sp AS IN
 for _n in ("recurrence_raw", "events_recurring"):
     add_days(_n, lambda spark, d: C.recurrence(_rules(spark, d)).select("o_orderkey", "day"), f"WITH {_REC} SELECT o_orderkey, day FROM rc WHERE day <= en", "day")
 add_days("recurrence_rolled", lambda spark, d: C.recurrence(_rules(spark, d)).select("o_orderkey", "day").join(F.broadcast(C.roll_table(spark, _A, _B, V.holidays(spark, d)).select("day", C.roll("modified_following").alias("rolled"))), "day").select("o_orderkey", "rolled").distinct(), _with(sql("rt", f"SELECT DISTINCT o_orderkey, {_FORMS['modified_following']} AS rolled FROM rc JOIN rt USING (day) WHERE rc.day <= en"), _REC), "rolled")
+
+
+def _calendar(spark, d, months: int = 0):
+    """The roll table of every day from the first order to ``months`` after the last, looked up in a calendar a month longer on both sides.
+
+    Holidays are New Year's Day and the weekdays between the first and the last order without an order.
+    """
+    days = V.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).where("day IS NOT NULL").distinct()
+    first, last, end = days.agg(F.min("day"), F.max("day"), F.add_months(F.max("day"), months)).first()
+    begin, until = first - timedelta(31), end + timedelta(31)
+    every = spark.range(1).select(F.explode(F.sequence(F.lit(begin), F.lit(until))).alias("day"))
+    inside = every.where(F.col("day").between(first, last)).join(days, "day", "left_anti")
+    holidays = inside.unionByName(every.where("month(day) = 1 AND day(day) = 1"))
+    return C.roll_table(spark, str(begin), str(until), holidays).where(F.col("day").between(first, end))
+
+
+# The whole of the recurrences above, whose SQL expands one order in 97 and rolls in a fixed calendar; tests hold these against brute force.
+_all_rules = lambda spark, d: _rules(spark, d, "o_orderkey IS NOT NULL")
+QUERIES["recurrence_all"] = lambda spark, d: C.recurrence(_all_rules(spark, d)).select("o_orderkey", F.col("day").cast("string").alias("day"))
+QUERIES["recurrence_rolled_all"] = lambda spark, d: C.recurrence(_all_rules(spark, d)).select("o_orderkey", "day").join(F.broadcast(_calendar(spark, d, 18).select("day", C.roll("modified_following").alias("rolled"))), "day").select("o_orderkey", F.col("rolled").cast("string").alias("rolled")).distinct()
 _ev = lambda spark, d: V.txns(spark, d).where("type IN ('Dividend', 'Split')").select("ticker", "t_ms", F.col("type").alias("kind"), F.when(F.col("type") == "Split", F.col("quantity")).otherwise(F.col("price")).alias("amount_per_unit"), "currency", "id", PID)
 add("events_in_range", lambda spark, d: _ev(spark, d).where(f"t_ms BETWEEN {MID} AND {MID + 365 * DAY}").select(PID, "ticker", "t_ms", "kind", "id"), sql("txn", f"SELECT portfolio_id, ticker, t_ms, type AS kind, id FROM txn WHERE type IN ('Dividend', 'Split') AND t_ms BETWEEN {MID} AND {MID + 365 * DAY}"))
 add("events_to_transactions", lambda spark, d: r6(C.events_to_transactions(_ev(spark, d)), "price"), sql("txn", "SELECT ticker, t_ms, type, CASE WHEN type = 'Split' THEN quantity ELSE 0 END AS quantity, round(price, 6) AS price, currency FROM txn WHERE type IN ('Dividend', 'Split')"))

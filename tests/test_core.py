@@ -1,4 +1,7 @@
 import math
+import random
+from calendar import monthrange
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from ledgerlens.operators import models as M
 from ledgerlens.operators import resample as R
 from ledgerlens.operators import series as S
 from ledgerlens.operators import valuation as P
+from ledgerlens.plans import portfolio_queries
 from ledgerlens.plans.metrics import Registry
 from ledgerlens.sources import files
 from ledgerlens.streaming import jobs
@@ -141,6 +145,45 @@ def test_calendar(spark):
     assert [str(r["day"]) for r in C.recurrence(rules).orderBy("day").collect()] == ["2024-01-31", "2024-02-29", "2024-03-31", "2024-04-30"]
 
 
+def order_days(spark, tmp_path):
+    """Orders on some days from Saturday 1999-12-18 to Friday 2001-08-03, and the trading days that follow from them."""
+    rng, first, last = random.Random(3), date(1999, 12, 18), date(2001, 8, 3)
+    span = [first + timedelta(k) for k in range((last - first).days + 1)]
+    days = [first, last, *(x for x in span if rng.random() < 0.8)]
+    orders = [(k, x) for k, x in enumerate(days[:60] + days[-5:], 1)] + [(1000 + k, x) for k, x in enumerate(days)]
+    spark.createDataFrame([(k, str(x)) for k, x in orders], "o_orderkey long, o_orderdate string").withColumn("o_orderdate", F.to_timestamp("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    held = set(days)
+    return orders, lambda x: x.weekday() < 5 and (x.month, x.day) != (1, 1) and (not first <= x <= last or x in held)
+
+
+def rolled(day, is_open):
+    """(following, preceding) by walking day by day."""
+    f = p = day
+    while not is_open(f):
+        f += timedelta(1)
+    while not is_open(p):
+        p -= timedelta(1)
+    return f, p
+
+
+def test_recurrences_of_all_orders(spark, tmp_path):
+    orders, is_open = order_days(spark, tmp_path)
+    later = lambda x, n: date(x.year + (x.month - 1 + n) // 12, (x.month - 1 + n) % 12 + 1, min(x.day, monthrange(x.year + (x.month - 1 + n) // 12, (x.month - 1 + n) % 12 + 1)[1]))
+    raw, roll = set(), set()
+    for key, start in orders:
+        n, step, k = key % 5, key % 3 + 1, 0
+        while (day := start + timedelta(k * step * (1, 7)[n]) if n < 2 else later(start, k * step * (1, 3, 12)[n - 2])) <= later(start, 18):
+            f, p = rolled(day, is_open)
+            raw.add((key, str(day)))
+            roll.add((key, str(f if f.month == day.month else p)))
+            k += 1
+    run = portfolio_queries.QUERIES
+    got = [tuple(r) for r in run["recurrence_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(raw) and set(got) == raw and max(d for _, d in raw) > "2003"
+    got = [tuple(r) for r in run["recurrence_rolled_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(roll) and set(got) == roll
+
+
 def test_registry_resolves_chains_and_refuses_cycles(simple):
     r = Registry()
     r.add_series("x2", ["base"], lambda s: S.scalar(s, "mul", 2))
