@@ -145,6 +145,23 @@ def _portfolio_analysis(spark, d):
 add("portfolio_analysis", _portfolio_analysis, _with(sql("pg txn", "SELECT portfolio_id, round((arg_max(nav, t_ms) - arg_min(nav, t_ms)) / arg_min(nav, t_ms), 3) AS total_return FROM (SELECT portfolio_id, t_ms, round(sum(weight / t * value / p0) + 0.00137, 4) + 0.0 AS nav FROM wt JOIN tw USING (portfolio_id) JOIN pg USING (series_id) JOIN pf USING (series_id) GROUP BY 1, 2) GROUP BY 1"), _WT))
 add("portfolio_grid", lambda spark, d: V.txns(spark, d).where("type = 'Buy' AND portfolio_id < 3").select(PID, F.col("ticker").alias(K)).distinct().join(V.prices(spark, d).select(K, "t_ms"), K).select(PID, "t_ms").distinct(), sql("txn p", "SELECT DISTINCT portfolio_id, p.t_ms FROM (SELECT DISTINCT portfolio_id, ticker FROM txn WHERE type = 'Buy' AND portfolio_id < 3) h JOIN p ON p.series_id = h.ticker"))
 
+
+
+def _grid_all(spark, d):
+    """Ticks of every asset that a portfolio ever held and of the rate of every currency but the base, USD, of its holdings and cash."""
+    held = L.holdings(V.txns(spark, d)).groupBy(PID, "asset").agg(F.max(F.col("quantity") != 0).alias("ever")).where("ever").select(PID, "asset")
+    # Cash has no brand: as null it is safe where the join's filters reach this side.
+    shares = held.select(PID, F.when(~F.col("asset").startswith("CASH:"), F.col("asset")).alias("asset"))
+    own = shares.join(V.denomination(spark, d), "asset").select(PID, "currency")
+    cash = held.where("asset LIKE 'CASH:%'").select(PID, F.substring("asset", 6, 99).alias("currency"))
+    wanted = own.unionByName(cash).where("currency <> 'USD'").distinct().withColumnRenamed("currency", K)
+    ticks = lambda keys, series: keys.join(series.select(K, "t_ms"), K).select(PID, "t_ms")
+    return ticks(shares.withColumnRenamed("asset", K), V.prices(spark, d)).unionByName(ticks(wanted, V.fx(spark, d))).distinct()
+
+
+# All portfolios and both kinds of series; the SQL of portfolio_grid covers the prices of three portfolios.
+QUERIES["portfolio_grid_all"] = _grid_all
+
 # Calendars. Days leave as text, which both engines write alike.
 def add_days(name, run, oracle, *days):
     add(name, lambda spark, d: run(spark, d).withColumns({c: F.col(c).cast("string") for c in days}), "SELECT * REPLACE (" + ", ".join(f"CAST(CAST({c} AS DATE) AS VARCHAR) AS {c}" for c in days) + f") FROM ({oracle})")

@@ -1,6 +1,7 @@
 import math
 import random
 from calendar import monthrange
+from collections import defaultdict
 from datetime import date, timedelta
 
 import pytest
@@ -14,6 +15,7 @@ from ledgerlens.operators import resample as R
 from ledgerlens.operators import series as S
 from ledgerlens.operators import valuation as P
 from ledgerlens.plans import portfolio_queries
+from ledgerlens.plans import views as V
 from ledgerlens.plans.metrics import Registry
 from ledgerlens.sources import files
 from ledgerlens.streaming import jobs
@@ -184,6 +186,18 @@ def test_recurrences_of_all_orders(spark, tmp_path):
     assert len(got) == len(roll) and set(got) == roll
 
 
+def test_grid_of_all_portfolios(spark):
+    d = "/root/testdata/sf0.001"
+    held, money, ticks = defaultdict(set), dict(V.denomination(spark, d).collect()), defaultdict(set)
+    for r in L.holdings(V.txns(spark, d)).where("quantity <> 0").collect():
+        held[r["portfolio_id"]].add(r["asset"])
+    for r in [*V.prices(spark, d).collect(), *V.fx(spark, d).collect()]:
+        ticks[r["series_id"]].add(r["t_ms"])
+    want = {(p, x) for p, assets in held.items() for a in assets for s in (a, money.get(a, a.removeprefix("CASH:"))) if s != "USD" for x in ticks[s]}
+    got = [tuple(r) for r in portfolio_queries.QUERIES["portfolio_grid_all"](spark, d).collect()]
+    assert len(got) == len(want) and set(got) == want and len({p for p, _ in got}) > 3
+
+
 def test_registry_resolves_chains_and_refuses_cycles(simple):
     r = Registry()
     r.add_series("x2", ["base"], lambda s: S.scalar(s, "mul", 2))
