@@ -208,6 +208,9 @@ def _calendar(spark, d, months: int = 0):
 _all_rules = lambda spark, d: _rules(spark, d, "o_orderkey IS NOT NULL")
 QUERIES["recurrence_all"] = lambda spark, d: C.recurrence(_all_rules(spark, d)).select("o_orderkey", F.col("day").cast("string").alias("day"))
 QUERIES["recurrence_rolled_all"] = lambda spark, d: C.recurrence(_all_rules(spark, d)).select("o_orderkey", "day").join(F.broadcast(_calendar(spark, d, 18).select("day", C.roll("modified_following").alias("rolled"))), "day").select("o_orderkey", F.col("rolled").cast("string").alias("rolled")).distinct()
+# Every day from the first to the last order; the SQL of roll_* covers 1996 to 2000.
+for _n in _FORMS:
+    QUERIES[f"roll_{_n}_all"] = lambda spark, d, n=_n: _calendar(spark, d).select(F.col("day").cast("string").alias("day"), C.roll(n).cast("string").alias("rolled"))
 _ev = lambda spark, d: V.txns(spark, d).where("type IN ('Dividend', 'Split')").select("ticker", "t_ms", F.col("type").alias("kind"), F.when(F.col("type") == "Split", F.col("quantity")).otherwise(F.col("price")).alias("amount_per_unit"), "currency", "id", PID)
 add("events_in_range", lambda spark, d: _ev(spark, d).where(f"t_ms BETWEEN {MID} AND {MID + 365 * DAY}").select(PID, "ticker", "t_ms", "kind", "id"), sql("txn", f"SELECT portfolio_id, ticker, t_ms, type AS kind, id FROM txn WHERE type IN ('Dividend', 'Split') AND t_ms BETWEEN {MID} AND {MID + 365 * DAY}"))
 add("events_to_transactions", lambda spark, d: r6(C.events_to_transactions(_ev(spark, d)), "price"), sql("txn", "SELECT ticker, t_ms, type, CASE WHEN type = 'Split' THEN quantity ELSE 0 END AS quantity, round(price, 6) AS price, currency FROM txn WHERE type IN ('Dividend', 'Split')"))

@@ -198,6 +198,19 @@ def test_grid_of_all_portfolios(spark):
     assert len(got) == len(want) and set(got) == want and len({p for p, _ in got}) > 3
 
 
+def test_rolls_of_all_days(spark, tmp_path):
+    orders, is_open = order_days(spark, tmp_path)
+    first, last = min(x for _, x in orders), max(x for _, x in orders)
+    span = [first + timedelta(k) for k in range((last - first).days + 1)]
+    forms = {
+        "unadjusted": lambda x, f, p: x, "following": lambda x, f, p: f, "preceding": lambda x, f, p: p,
+        "modified_following": lambda x, f, p: f if f.month == x.month else p, "modified_preceding": lambda x, f, p: p if p.month == x.month else f,
+    }
+    for name, form in forms.items():
+        got = {r["day"]: r["rolled"] for r in portfolio_queries.QUERIES[f"roll_{name}_all"](spark, str(tmp_path)).collect()}
+        assert got == {str(x): str(form(x, *rolled(x, is_open))) for x in span}
+
+
 def test_registry_resolves_chains_and_refuses_cycles(simple):
     r = Registry()
     r.add_series("x2", ["base"], lambda s: S.scalar(s, "mul", 2))
