@@ -28,23 +28,35 @@ _UP, _DOWN = _powers(_BASE, CHUNK + 1), _powers(_INVERSE, CHUNK + 1)
 def words_at(data: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` of a byte array, in order, and where it begins; ``fold`` lowers A-Z."""
     out, places = [], []
-    at = 0
+    at, part = 0, None  # part: hash, length and place of a word that goes on in the next piece
     while at < len(data):
         end = min(len(data), at + CHUNK)
         piece = data[at:end]
-        if end < len(data):  # cut at white space; a word longer than a chunk is cut hard
+        cut = end < len(data)
+        if cut:  # at white space; a word longer than a chunk is carried over the border
             spaces = np.flatnonzero(_SPACE[piece])
             if len(spaces):
-                end = at + int(spaces[-1]) + 1
+                end, cut = at + int(spaces[-1]) + 1, False
                 piece = data[at:end]
         gap = _SPACE[piece]
         edge = np.diff(np.concatenate([[True], gap, [True]]).view(np.int8))
         begin, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        if len(begin):
-            low = (_LOWER[piece] if fold else piece).astype(np.uint64) + np.uint64(1)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(low * _DOWN[: len(piece)], dtype=np.uint64)])
-            out.append(mix64((total[stop] - total[begin]) * _UP[stop] + (stop - begin).astype(np.uint64)))
-            places.append(begin + at)
+        low = (_LOWER[piece] if fold else piece).astype(np.uint64) + np.uint64(1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(low * _DOWN[: len(piece)], dtype=np.uint64)])
+        h, n, place = (total[stop] - total[begin]) * _UP[stop], stop - begin, begin + at
+        if part:
+            if gap[0]:
+                h, n, place = (np.concatenate([np.array([x], y.dtype), y]) for x, y in zip(part, (h, n, place), strict=True))
+            else:
+                h[0] = np.uint64((int(h[0]) + int(part[0]) * pow(_BASE, int(n[0]), 1 << 64)) % (1 << 64))
+                n[0] += part[1]
+                place[0] = part[2]
+            part = None
+        if cut:
+            part = h[-1], n[-1], place[-1]
+            h, n, place = h[:-1], n[:-1], place[:-1]
+        out.append(mix64(h + n.astype(np.uint64)))
+        places.append(place)
         at = end
     return (np.concatenate(out), np.concatenate(places)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 
 from ledgerlens.llm import lines as L
+from ledgerlens.llm import words as W
 from ledgerlens.llm.words import words_at
 
 
@@ -114,3 +115,16 @@ def test_links_of_all_classes(spark, monkeypatch):
         assert got == want and len(rows) == len(docs)
     gone = brute(docs)
     assert all((r["n_lines"], r["removed_lines"]) == gone.get(r["doc_id"], (0, [])) for r in rows)
+
+
+def test_words_longer_than_a_chunk(monkeypatch):
+    """A word of any length is one word, with the hash and place that one large chunk gives."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("aBc \n") if rng.random() < p else "x" for _ in range(60)) for p in (0, 0.02, 0.1, 0.5, 1) for _ in range(60)]
+    datas = [np.frombuffer(t.encode(), np.uint8) for t in [*texts, "x" * 16 + " y", "x" * 8 + " ", "x" * 8, " " * 20, ""]]
+    want = [[a.tolist() for a in words_at(d, fold)] for d in datas for fold in (True, False)]
+    assert len(W.shingle_set(datas[0], 2)) == 1
+    for chunk in (1, 2, 7, 8):
+        monkeypatch.setattr(W, "CHUNK", chunk)
+        assert [[a.tolist() for a in words_at(d, fold)] for d in datas for fold in (True, False)] == want
+        assert len(W.shingle_set(datas[0], 2)) == 1
