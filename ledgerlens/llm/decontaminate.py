@@ -13,7 +13,7 @@ the benchmark.
 
 Defined results: null and empty texts match nothing; items null, or shorter than q after trimming, are
 not searched for; items repeated in the benchmark count once; a repeated document row gives its own
-rows again; other columns are ignored.
+rows again; ``decontaminate`` tells rows with a null or repeated id apart by their texts; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, row_key
 
 Q, EDIT_SHARE, BLOCK_CHARS = 8, 0.08, 4_000_000
 #: Characters scanned at once; longer texts go in overlapping pieces.
 PIECE = 1 << 19
 MATCH_SCHEMA = "doc_id long, item_id long, start long, end long, edits int"
 _MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
+_KEYED = _MATCH.append(pa.field("k_id", pa.int64())).append(pa.field("k_text", pa.int64()))
 #: Stands between texts and outside any text; no character has this code.
 GAP = np.uint32(0xFFFFFFFF)
 _FOLD_ASCII = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -262,9 +263,9 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int)
         yield [(r["i"], r["t"]) for r in part.toLocalIterator()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = Q, edit_share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row for each benchmark item found in a document: doc_id, item_id, start, end, edits."""
-    source = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = Q, edit_share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """As find_leaks, with the key of the row (id and text) besides."""
+    source = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
     out = None
     for block in blocks(benchmark, item_col, item_text, block_chars):
         sent = docs.sparkSession.sparkContext.broadcast(block)
@@ -272,22 +273,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(sent.value, q, edit_share)
             for batch in batches:
-                ids = batch.column(0)
+                ids, k_id, k_text = (batch.column(c) for c in (0, 2, 3))
                 texts = [fold(t) for t in batch.column(1).to_pylist()]
-                rows = [(ids[r].as_py(), index.ids[i], s, e, d) for r, hits in scan_many(index, texts) for i, s, e, d in hits]
+                rows = [(ids[r].as_py(), index.ids[i], s, e, d, k_id[r].as_py(), k_text[r].as_py()) for r, hits in scan_many(index, texts) for i, s, e, d in hits]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _MATCH, strict=True)], schema=_MATCH)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _KEYED, strict=True)], schema=_KEYED)
 
-        found = source.mapInArrow(search, MATCH_SCHEMA)
+        found = source.mapInArrow(search, f"{MATCH_SCHEMA}, k_id long, k_text long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = Q, edit_share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row for each benchmark item found in a document: doc_id, item_id, start, end, edits."""
+    return _leaks(docs, benchmark, id_col, text_col, item_col, item_text, q, edit_share, block_chars).drop("k_id", "k_text")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents in which no benchmark item was found, with all their columns."""
-    leaked = find_leaks(docs, benchmark, **how).select(F.col("doc_id").alias("_leaked")).distinct()
-    own = F.col(how.get("id_col", "doc_id")).cast("long")
-    return docs.join(leaked, own.eqNullSafe(F.col("_leaked")), "left_anti")
+    """The documents in which no benchmark item was found, with all their columns; rows are told apart by id and text."""
+    leaked = _leaks(docs, benchmark, **how).select(F.col("k_id").alias("_k_id"), F.col("k_text").alias("_k_text")).distinct()
+    own = row_key(how.get("id_col", "doc_id"), how.get("text_col", "text"))
+    return docs.join(leaked, (own[0] == F.col("_k_id")) & (own[1] == F.col("_k_text")), "left_anti")
 
 
 def op1_qgram_decontamination(spark, sf_dir: str) -> DataFrame:

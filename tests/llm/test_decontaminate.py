@@ -86,3 +86,12 @@ def test_query_on_edge_cases(spark, block):
     kept = D.decontaminate(docs, bench)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
     assert D.find_leaks(docs.limit(0), bench).count() == 0 and D.find_leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_rows_with_null_or_repeated_ids_go_by_their_texts(spark):
+    item = "a benchmark passage that is long enough to be searched for"
+    docs = spark.createDataFrame([(None, f"here {item} there"), (None, "clean one"), (None, None), (1, item), (1, "clean two"), (2, item), (3, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = {tuple(r) for r in D.decontaminate(docs, bench).collect()}
+    assert kept == {(None, "clean one"), (None, None), (1, "clean two"), (3, "")}
+    assert D.find_leaks(docs, bench).columns == ["doc_id", "item_id", "start", "end", "edits"] and D.find_leaks(docs, bench).count() == 3
