@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,26 +18,42 @@ ASCII_SPACE = r"\x20\x09-\x0D"
 def work_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where that setting is absent (a plain local session) a temporary folder stands in.
+    Where that setting is absent in a local session (tests) a temporary folder stands in; a cluster has to name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Makes Spark delete the shuffle files of a statement as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: lineage ends there.
 
-    What was shuffled on the way is of no more use. Executors delete such files when the driver's JVM
-    collects the plans that name them, so it is asked to (as spark.cleaner.periodicGC.interval does).
+    What was shuffled on the way is of no more use once the table is written, so those files go at once.
     """
     spark = df.sparkSession
-    path = work_dir(spark)
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = work_dir(spark), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Empty tables that ``cut`` wrote, once nothing is left to read them."""
+    for df in frames:
+        df.sparkSession.createDataFrame([], "gone int").write.mode("overwrite").parquet(df.cut_path)
 
 
 def let(value: Column, body) -> Column:

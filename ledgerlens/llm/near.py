@@ -6,13 +6,17 @@ at a time: with a flat prior, m agreements of n give a Beta posterior of the sim
 soon as the chance of reaching the threshold falls below the miss probability. Survivors are confirmed
 on the full shingle sets.
 
-Bands that few classes share give all their pairs. In wider bands each class is paired with a few hubs
-only, and then, round by round, with hubs of other components, until what is left to compare is small
-enough to compare whole: groups of thousands of copies need no quadratic table, and no link between
-different components is left untested.
+First each class of a band meets one hub, the band's smallest class number, so groups of thousands of copies
+need no quadratic table. What these links join is one component. Bands whose classes still fall into several
+components are then dealt to blocks of bounded size, and each pair of blocks is one task's work: pairs of
+different components are pruned batch by batch and confirmed on the full sets where they lie, best first, and
+a task passes over pairs that its own links have joined. A pair belongs to the first band that it shares.
+Only links leave a task: candidates are never rows. No link between different components is left untested.
 
 Defined results: a null, empty or blank text has an empty set and stays alone; fewer words than a shingle
-make one shingle; repeated rows are copies of one another; ties go to the smallest id (null ids last).
+make one shingle; texts of any length are taken whole; repeated rows are copies of one another; ties go to the
+smallest id (null ids last); an empty table gives an empty result; other columns are ignored, whatever their
+names (``keep_first`` returns them as they are).
 """
 
 from __future__ import annotations
@@ -26,16 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_views, cut, mix64, row_key, utf8
+from .common import byte_views, cut, mix64, release, row_key, utf8
 from .components import components
 from .words import shingle_set
 
 ROWS, BANDS, BATCH = 4, 24, 16
-#: Chance of losing a pair at the threshold in one batch; bands wider than WIDE use hubs.
-MISS, WIDE, HUBS = 1e-7, 12, 2
-#: Pairs left between components, as a multiple of the band rows in question, below which all are compared.
-REST = 4
-#: Classes to confirm, up to which their names are broadcast; beyond it they are joined by a shuffle.
+#: Chance of losing a pair at the threshold in one batch.
+MISS = 1e-7
+#: Classes of a band, and shingles of their sets, in one block; each pair of blocks is one task's work.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Pairs of a block compared at once.
+CHUNK = 1 << 16
+#: Classes whose texts are set apart, up to which their names are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_CLASSES = 100_000
 
 _SIGS = pa.schema([("doc_id", pa.int64()), ("k_id", pa.int64()), ("k_text", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary())])
@@ -93,35 +99,54 @@ def signatures(docs: DataFrame, shingle: int, rows: int = ROWS, bands: int = BAN
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), utf8(F.col(text_col)).alias("data")).mapInArrow(run, SIG_SCHEMA)
 
 
-def _probable(pairs: DataFrame, sigs: DataFrame, threshold: float, n: int) -> DataFrame:
-    """The pairs (a, b) that no batch of signature values rules out."""
-    steps = [(k, least_agreements(k, threshold)) for k in range(BATCH, n + 1, BATCH)]
+def _bands(sigs: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit name of each band of each signature (one a row)."""
+    parts = sigs.reshape(len(sigs), -1, rows)
+    h = np.zeros(parts.shape[:2], np.uint64) + np.arange(parts.shape[1], dtype=np.uint64)
+    for r in range(rows):
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])
+    return h
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, n) for c in (2, 3))
-            alive, agree = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int32)
-            for k, least in steps:
-                agree = agree + (x[alive, k - BATCH : k] == y[alive, k - BATCH : k]).sum(axis=1, dtype=np.int32)
-                good = agree >= least
-                alive, agree = alive[good], agree[good]
-            yield batch.select([0, 1]).take(pa.array(alive))
 
-    left = sigs.select(F.col("c").alias("a"), F.col("sig").alias("x"))
-    right = sigs.select(F.col("c").alias("b"), F.col("sig").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+def _steps(n: int, threshold: float) -> list[tuple[int, int]]:
+    """(values compared so far, fewest agreements with which a pair goes on), batch by batch."""
+    return [(k, least_agreements(k, threshold)) for k in range(BATCH, n + 1, BATCH)]
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold, in integer arithmetic."""
+def _surviving(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, steps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs (x[i], y[j]) that no batch of signature values rules out, and their agreements."""
+    alive, agree = np.arange(len(i)), np.zeros(len(i), np.int32)
+    for k, least in steps:
+        agree = agree + (x[i[alive], k - BATCH : k] == y[j[alive], k - BATCH : k]).sum(axis=1, dtype=np.int32)
+        good = agree >= least
+        alive, agree = alive[good], agree[good]
+    return alive, agree
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold, in integer arithmetic."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if 100 * len(a) < percent * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _hub_links(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, n: int) -> DataFrame:
+    """The pairs (a, b) that no batch of signature values rules out and whose full shingle sets reach the threshold."""
+    steps = _steps(n, percent / 100)
+
+    def probable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, n) for c in (2, 3))
+            every = np.arange(batch.num_rows)
+            yield batch.select([0, 1]).take(pa.array(_surviving(x, y, every, every, steps)[0]))
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         for batch in batches:
-            views = [byte_views(batch.column(c)) for c in (2, 3)]
-            names = [batch.column(c).to_pylist() for c in (0, 1)]
+            views, names = [byte_views(batch.column(c)) for c in (2, 3)], [batch.column(c).to_pylist() for c in (0, 1)]
             keep = []
             for k in range(batch.num_rows):
                 sets = []
@@ -131,97 +156,136 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
                             memo.clear()
                         memo[name[k]] = shingle_set(data[offsets[k] : offsets[k + 1]], shingle)
                     sets.append(memo[name[k]])
-                both = len(np.intersect1d(*sets, assume_unique=True))
-                if 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both):
+                if _reaches(*sets, percent):
                     keep.append(k)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    # Only texts that a pair names are shuffled.
-    named = cut(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
-    texts = texts.join(F.broadcast(named) if named.count() <= BROADCAST_CLASSES else named, "c", "left_semi")
-    x = texts.select(F.col("c").alias("a"), F.col("data").alias("x"))
-    y = texts.select(F.col("c").alias("b"), F.col("data").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+    def both(frame: DataFrame, column: str) -> DataFrame:
+        x, y = (texts.select(F.col("c").alias(z), F.col(column).alias(f"{column}_{z}")) for z in ("a", "b"))
+        return frame.join(x, "a").join(y, "b").select("a", "b", f"{column}_a", f"{column}_b")
+
+    left = cut(both(pairs, "sig").mapInArrow(probable, "a long, b long"))
+    out = cut(both(left, "data").mapInArrow(confirmed, "a long, b long"))
+    release(left)
+    return out
+
+
+def _cross_links(rows: list[tuple], band: int, shingle: int, percent: int, per_band: int, steps: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """Links (a, b, component of a, component of b) that join the components of a pair of blocks of one band.
+
+    Rows are (whether in the second block, class, component, set size, signature, text); of a single block, all are in the first.
+    """
+    second, c, k, size = (np.array([r[i] for r in rows]) for i in range(4))
+    sigs = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(len(rows), -1)
+    names = _bands(sigs, per_band)
+    one = not second.any()
+    u = np.flatnonzero(~second)
+    v = u if one else np.flatnonzero(second)
+    open_ = k[u][:, None] != k[v][None, :]
+    if one:
+        open_ = np.triu(open_, 1)
+    a, b = size[u][:, None], size[v][None, :]
+    open_ &= 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+    for t in range(int(np.flatnonzero(names[0].view(np.int64) == band)[0])):  # pairs that share an earlier band belong there
+        open_ &= names[u, t][:, None] != names[v, t][None, :]
+    i, j = (w[x] for w, x in zip((u, v), np.nonzero(open_), strict=True))
+    found = [(at + alive, agree) for at in range(0, len(i), CHUNK) for alive, agree in [_surviving(sigs, sigs, i[at : at + CHUNK], j[at : at + CHUNK], steps)]]
+    if not found:
+        return []
+    alive, agree = (np.concatenate(x) for x in zip(*found, strict=True))
+    alive = alive[np.argsort(-agree, kind="stable")]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = x = root.get(y, y)
+        return x
+
+    sets: dict[int, np.ndarray] = {}
+    out = []
+    for p, q in zip(i[alive].tolist(), j[alive].tolist(), strict=True):
+        x, y = find(int(k[p])), find(int(k[q]))
+        if x == y:
+            continue
+        for r in (p, q):
+            if r not in sets:
+                sets[r] = shingle_set(np.frombuffer(rows[r][5], np.uint8), shingle)
+        if _reaches(sets[p], sets[q], percent):
+            out.append((int(c[p]), int(c[q]), int(k[p]), int(k[q])))
+            root[max(x, y)] = min(x, y)
+    return out
+
+
+_LINK = pa.schema([(x, pa.int64()) for x in ("a", "b", "ka", "kb")])
 
 
-def link(docs: DataFrame, shingle: int, percent: int, rows: int = ROWS, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(membership, links): each row's class, and confirmed pairs of classes that connect all that any links connect.
+def _block_links(open_rows: DataFrame, texts: DataFrame, shingle: int, percent: int, per_band: int, n: int) -> DataFrame:
+    """Links between components, found by pairs of blocks of open bands (rows: band, class c, component k, blocks of the band)."""
+    steps = _steps(n, percent / 100)
 
-    A class is named by its 128-bit set hash; its representative is the row of smallest key.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+
+        def work() -> pa.RecordBatch:
+            found = _cross_links(held, last[0], shingle, percent, per_band, steps)
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(4)], schema=_LINK)
+
+        for batch in batches:
+            for band, p, q, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (band, p, q) != last:
+                    if held:
+                        yield work()
+                    held, last = [], (band, p, q)
+                held.append(row)
+        if held:
+            yield work()
+
+    own = F.pmod(F.xxhash64("c"), F.col("blocks"))
+    dealt = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("second"), "c", "k")
+    rows = dealt.join(texts, "c").select("band", "p", "q", "second", "c", "k", "n_shingles", "sig", "data")
+    return rows.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q").mapInArrow(run, "a long, b long, ka long, kb long")
+
+
+def link(docs: DataFrame, shingle: int, percent: int, rows: int = ROWS, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(membership, links, components): each row's class c, confirmed pairs of classes that connect all that any links connect, and (c, root).
+
+    A class is a number for one shingle set; its representative is the row of smallest key.
     """
-    n, threshold = rows * bands, percent / 100
-    member = cut(signatures(docs, shingle, rows, bands, id_col, text_col).withColumn("c", F.when(F.col("sig").isNotNull(), F.concat_ws(":", F.hex("s1"), F.hex("s2")))))
-    reps = cut(
-        member.where("c IS NOT NULL").groupBy("c").agg(F.min(F.struct("k_id", "k_text")).alias("r"), F.first("sig").alias("sig")).select("c", "r.k_id", "r.k_text", "sig")
-    )
+    n = rows * bands
+    kind = ["s1", "s2", "n_shingles"]
+    signed = cut(signatures(docs, shingle, rows, bands, id_col, text_col))
+    first = signed.where("sig IS NOT NULL").groupBy(*kind).agg(F.min(F.struct("k_id", "k_text")).alias("r"), F.first("sig").alias("sig"))
+    reps = cut(first.select(*kind, "r.k_id", "r.k_text", "sig").withColumn("c", F.monotonically_increasing_id()))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, bands, rows)
-            h = np.zeros(sig.shape[:2], np.uint64) + np.arange(bands, dtype=np.uint64)
-            for r in range(rows):
-                h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
+            h = _bands(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, n), rows)
             c = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), bands)))
             yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), c], names=["band", "c"])
 
-    band = reps.select("c", "sig").mapInArrow(keys, "band long, c string")
-    # Hubs of a band: the classes whose hashes with a salt are least; all are aggregates, so a hot band is never gathered.
-    hubs = [F.min(F.struct(F.xxhash64("c", F.lit(h)), F.col("c")))["c"].alias(f"h{h}") for h in range(HUBS)]
-    shared = band.groupBy("band").agg(F.count("*").alias("n"), *hubs).where("n > 1")
+    band = reps.select("c", "sig").mapInArrow(keys, "band long, c long")
+    # The hub of a band is an aggregate, so a hot band is never gathered.
+    shared = band.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("hub")).where("n > 1").select("band", "hub")
     rows_in = cut(band.join(shared, "band"))
-    few = rows_in.where(F.col("n") <= WIDE).groupBy("band").agg(F.sort_array(F.collect_list("c")).alias("m"))
-    few_pairs = few.select(
-        F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, WIDE), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")
-    ).select("p.a", "p.b")
-    wide = rows_in.where(F.col("n") > WIDE)
-
-    def hub_pairs(frame: DataFrame, names: list[str]) -> DataFrame:
-        pair = F.explode(F.array(*[F.struct(F.least("c", h).alias("a"), F.greatest("c", h).alias("b")) for h in names])).alias("p")
-        return frame.select(pair).select("p.a", "p.b").where("a <> b")
-
-    # Only classes that share a band are ever confirmed: their texts are set apart once.
-    banded = reps.select("k_id", "k_text", "c").join(rows_in.select("c").distinct(), "c", "left_semi")
-    texts = cut(docs.select(*row_key(id_col, text_col), utf8(F.col(text_col)).alias("data")).join(banded, ["k_id", "k_text"]).dropDuplicates(["c"]).select("c", "data"))
-    sigs = reps.select("c", "sig")
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        return cut(_confirmed(cut(_probable(pairs, sigs, threshold, n)), texts, shingle, percent))
-
-    asked = few_pairs.unionByName(hub_pairs(wide, [f"h{h}" for h in range(HUBS)])).distinct()
-    # One partner of a class mostly confirms; then only pairs between different components can add anything.
-    probable = cut(_probable(asked, sigs, threshold, n))
-    tried = cut(probable.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = cut(_confirmed(tried, texts, shingle, percent))
+    # Only classes that share a band are ever confirmed: their texts are set apart once, by the row that stands for each.
+    banded = cut(reps.join(rows_in.select("c").distinct(), "c", "left_semi").select("k_id", "k_text", "c", "n_shingles", "sig"))
+    named = F.broadcast(banded) if banded.count() <= BROADCAST_CLASSES and not banded.isEmpty() else banded
+    found = docs.select(*row_key(id_col, text_col), utf8(F.col(text_col)).alias("data")).join(named.select("k_id", "k_text", "c"), ["k_id", "k_text"])
+    texts = cut(found.dropDuplicates(["c"]).select("c", "data").join(banded.select("c", "n_shingles", "sig"), "c"))
+    links = _hub_links(rows_in.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct(), texts, shingle, percent, n)
     of = components(links)
-    side = lambda z: of.select(F.col("node").alias(z), F.col("component").alias(f"k{z}"))
-    rest = probable.join(tried, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rest = cut(rest.where(F.coalesce("ka", "a") != F.coalesce("kb", "b")).select("a", "b"))
-    links = cut(links.unionByName(_confirmed(rest, texts, shingle, percent)))
-    for salt in range(HUBS, HUBS + 12):
-        if wide.isEmpty():
-            break
-        of = components(links, "a", "b")
-        placed = wide.join(of, F.col("c") == F.col("node"), "left").select("band", "c", F.coalesce("component", "c").alias("k"))
-        split = placed.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n")
-        open_rows = cut(placed.join(split, "band"))
-        sizes = open_rows.groupBy("band", "k").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("c", F.lit(salt)), F.col("c")))["c"].alias("hub"))
-        cross = open_rows.groupBy("band").agg(F.count("*").cast("double").alias("n")).join(sizes.groupBy("band").agg(F.sum(F.col("m") * F.col("m")).cast("double").alias("q")), "band")
-        total, left = cross.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()
-        if not left:
-            break
-        if left <= REST * total + 1000 or salt == HUBS + 11:
-            x = open_rows.select("band", F.col("c").alias("a"), F.col("k").alias("ka"))
-            y = open_rows.select("band", F.col("c").alias("b"), F.col("k").alias("kb"))
-            pairs = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb"))).select("a", "b").distinct()
-            links = cut(links.unionByName(tested(pairs)).distinct())
-            break
-        # Pair every class with the hub of the largest other component in its band.
-        top = sizes.groupBy("band").agg(F.max(F.struct("m", "k", "hub")).alias("t"))
-        pairs = open_rows.join(top, "band").where(F.col("k") != F.col("t.k")).select("c", F.col("t.hub").alias("h"))
-        links = cut(links.unionByName(tested(hub_pairs(pairs, ["h"]).distinct())).distinct())
-    return member, links
+    placed = rows_in.join(of.withColumnRenamed("node", "c"), "c", "left").select("band", "c", F.coalesce("component", "c").alias("k"))
+    sized = placed.join(reps.select("c", "n_shingles"), "c")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks")
+    split = sized.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), blocks).where("lo <> hi").select("band", "blocks")
+    more = cut(_block_links(placed.join(split, "band"), texts, shingle, percent, rows, n))
+    top = components(more, "ka", "kb")
+    root = F.coalesce("r", "k").alias("root")
+    labelled = reps.select(*kind, "c").join(of.withColumnRenamed("node", "c"), "c", "left").select(*kind, "c", F.coalesce("component", "c").alias("k"))
+    labelled = labelled.join(top.select(F.col("node").alias("k"), F.col("component").alias("r")), "k", "left").select(*kind, "c", root)
+    member = signed.select("doc_id", "k_id", "k_text", *kind)
+    return member, links.unionByName(more.select("a", "b")), labelled
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,15 +294,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     class_id and component_id are smallest document ids; ``kept`` marks the row that stays (ties among repeated
     rows share one verdict).
     """
-    member, links = link(docs, shingle, percent, rows, bands, id_col, text_col)
-    of = components(links)
-    first = member.where("c IS NOT NULL").groupBy("c").agg(F.min("k_id").alias("class_k"), F.min("doc_id").alias("class_id"))
-    placed = first.join(of, F.col("c") == F.col("node"), "left").select("c", "class_id", F.coalesce("component", "c").alias("root"))
+    member, _, labelled = link(docs, shingle, percent, rows, bands, id_col, text_col)
+    kind = ["s1", "s2", "n_shingles"]
+    first = member.where("n_shingles > 0").groupBy(*kind).agg(F.min("doc_id").alias("class_id"))
+    placed = cut(first.join(labelled, kind))
     least = placed.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    whole = placed.join(least, "root").select(F.col("c").alias("pc"), "class_id", "component_id")
-    out = member.join(whole, F.col("c") == F.col("pc"), "left")
-    component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "k_id", "k_text", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    whole = placed.join(least, "root").select(*kind, "class_id", "component_id")
+    out = member.join(whole, kind, "left")
+    empty = F.col("n_shingles") == 0
+    component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "k_id", "k_text", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

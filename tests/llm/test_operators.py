@@ -121,9 +121,9 @@ def components(texts, size, percent):
     return [find(k) for k in range(len(texts))], [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("wide", [near.WIDE, 1])
-def test_components_against_brute_force(spark, monkeypatch, wide):
-    monkeypatch.setattr(near, "WIDE", wide)
+@pytest.mark.parametrize("block", [near.BLOCK, 3])
+def test_components_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
     rng = random.Random(11)
     texts = []
     for _ in range(12):
