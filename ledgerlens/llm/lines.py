@@ -1,180 +1,111 @@
-"""Line dedup by an exact set-similarity join.
+"""Line dedup by an exact set-similarity join, in DataFrame functions alone.
 
 A line is the set of its words. Lines of equal sets form a class, named by its first line. The words of a
-class are put in one order over the whole corpus, rarest first (frequencies come from a table of ``2**BITS``
-counters over all words; ties go by hash). Two sets reach similarity 4/5 only if they share a word among the
-first n - ceil(4n/5) + 1 of each, so classes meet on those prefix words; a word that the corpus holds once is
-shared by nobody and left out. A pair has to pass the length filter, the positional filter (words before, at
-and after the shared one bound the overlap) and a parity map of 128 bits: the bits in which two maps differ
+class are put in one order over the whole corpus, rarest first (frequencies come from ``2**BITS`` counters over
+all words; ties go by hash). Two sets reach similarity 4/5 only if they share a word among the first
+n - ceil(4n/5) + 1 of each, so classes meet on those prefix words; a word that the corpus holds once is
+shared by nobody and left out. A pair has to pass the length filter, the positional filter (at their
+first shared word, that and the words after it bound the overlap) and a parity map of 128 bits: the bits in which two maps differ
 are no more than the words in which the sets differ. What passes is verified on the words themselves.
 
 The query joins all classes with each other, so each class comes with the number of its links. Lists of frequent
 words are dealt to a grid of parts. The links of a group of near copies grow with the square of its different texts.
 
 Removal (``dedup_lines``) asks only whether a line has an earlier match and takes a shorter way: each class meets the
-earliest class of each of its prefix words first (a window), and only classes that match none of these are joined
-with all earlier ones.
+earliest class of each of its prefix words first and the one before it (a window), and only classes that match none
+of these are joined with all earlier ones.
 
 A line goes if an earlier line (by document id, then place) has the same set or one of similarity 4/5 or
 more. Whether that earlier line goes too plays no part, so the result depends on no processing order.
 
-Words and prefixes of lines come from numpy in Arrow batches: the form in DataFrame expressions alone needed
-more than three times the CPU seconds allowed (README). Joins, grouping and verification are DataFrame code.
-
-Defined results: blank lines are never matched and stay; a null text has no lines and stays null;
-repeated rows are copies, and the later of them loses its lines (rows that agree in id and text share the fate of
-the first); null ids sort first; other columns are ignored.
+Defined results: blank lines are never matched and stay; a null text has no lines and stays null; an empty table
+gives an empty result; lines and words of any length are taken whole; repeated rows are copies, and the later of
+them loses its lines (rows that agree in id and text share the fate of the first); null ids sort first; other
+columns are ignored, whatever their names (``dedup_lines`` returns them as they are).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_views, cut, mix64, row_key, split_words, utf8
-from .words import words_at
+from .common import cut, release, row_key
 
-#: Counters of words: 2**BITS bytes are broadcast at any size of the corpus. BLOCK of them travel in one row.
-BITS, BLOCK = 24, 1 << 14
-#: Code from which a word is frequent (4,096 occurrences); its classes are dealt to so many parts.
-OFTEN, PARTS = 168, 64
+#: Counters of words: their codes (under a megabyte) are sent to the tasks, at any size of the corpus.
+BITS = 18
+#: Place of a word's counter code in its sort key; code from which a word is frequent (4,096 occurrences); parts of a list of a frequent word.
+CODE, OFTEN, PARTS = 56, 49, 64
 #: Where all classes are joined, lists of frequent words are dealt to a grid of SIDE x SIDE parts.
 SIDE = 8
 #: Blocks of words, joined one after the other.
-PASSES = 4
-#: Columns that tell the set of a line: 192 bits of hashes, and its size.
-_SET = ["s", "n", "m1", "m2"]
-#: Bytes of text taken through numpy at once (a longer text is taken whole).
-SLICE = 1 << 22
+PASSES = 2
+#: Columns that tell the set of a line: 128 bits of hashes, and its size.
+_SET = ["s", "t", "n"]
 #: Lines to verify, up to which their places are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_CLASSES = 200_000
 
-_FACTS = pa.schema(
-    [("k_id", pa.int64()), ("k_text", pa.int64()), ("line_no", pa.int32()), ("s", pa.int64()), ("n", pa.int32()), ("m1", pa.int64()), ("m2", pa.int64()), ("prefix", pa.list_(pa.int64()))]
-)
-FACT_SCHEMA = "k_id long, k_text long, line_no int, s long, n int, m1 long, m2 long, prefix array<long>"
 
+def plain(text: str) -> Column:
+    """A text with each white-space character other than the line break as a blank; null counts as empty."""
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\x0b\f\r", F.coalesce(F.col(text), F.lit("")))
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, start of each row) of runs of texts, joined by line breaks."""
-    data, offsets = byte_views(column)
-    at = 0
-    while at < len(column):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
-        texts = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(at, end)]
-        yield at, np.frombuffer(b"\n".join(texts), np.uint8), offsets[at:end] - offsets[at] + np.arange(end - at)
-        at = end
 
+def distinct_words(line: Column) -> Column:
+    """The different words of a plain line. Splitting by one character takes a third of the time of a regular expression."""
+    return F.array_remove(F.array_distinct(F.split(line, " ")), "")
 
-def word_codes(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """A byte for each counter of words: 1 where one word of the corpus falls once, larger for more occurrences.
 
-    Counts below 128 stand for themselves, larger ones by eight steps an octave; 0 is a counter of no word.
-    """
+def word_codes(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row with a number for each counter of words, as text: 1 where one word of the corpus falls once, four steps an octave, 0 for no word."""
+    words = docs.select(F.explode(F.split(F.replace(plain(text_col), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
+    counts = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.count("*").alias("n"))
+    coded = counts.select("slot", F.least(F.lit(127), 1 + F.floor(4 * F.log2("n"))).cast("tinyint").alias("code"))
+    every = docs.sparkSession.range(1 << BITS).select(F.col("id").cast("int").alias("slot")).join(coded, "slot", "left").select("slot", F.coalesce("code", F.lit(0).cast("tinyint")).alias("code"))
+    side = 1 << (BITS // 2)
+    rows = every.groupBy(F.floor(F.col("slot") / side).alias("block")).agg(F.array_sort(F.collect_list(F.struct("slot", "code"))).alias("x")).select("block", F.col("x.code").alias("codes"))
+    return rows.agg(F.array_sort(F.collect_list(F.struct("block", "codes"))).alias("x")).select(F.array_join(F.flatten("x.codes").cast("array<string>"), ",").alias("codes"))
+
+
+def _slot(h: Column) -> Column:
+    return h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS, np.int64)
-        for batch in batches:
-            for _, data, _ in _slices(batch.column(0)):
-                slot, n = np.unique((words_at(data, fold=False)[0] >> np.uint64(64 - BITS)).astype(np.uint32), return_counts=True)
-                total[slot] += n
-        used = np.flatnonzero(total)
-        for at in range(0, len(used), 1 << 16):
-            slot = used[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array((slot // BLOCK).astype(np.int32)), pa.array((slot % BLOCK).astype(np.int32)), pa.array(total[slot])], names=["block", "slot", "n"])
-
-    def pack(table: pa.Table) -> pa.Table:
-        n = table.column("n").to_numpy()
-        code = np.zeros(BLOCK, np.uint8)
-        code[table.column("slot").to_numpy()] = np.where(n < 128, n, np.minimum(255, 128 + np.floor(8 * np.log2(n / 128)))).astype(np.uint8)
-        return pa.table({"block": table.column("block").slice(0, 1), "codes": pa.array([code.tobytes()], pa.binary())})
-
-    counts = docs.select(utf8(F.col(text_col)).alias("data")).mapInArrow(count, "block int, slot int, n long").repartition("block")
-    blocks = counts.groupBy("block", "slot").agg(F.sum("n").alias("n")).groupBy("block").applyInArrow(pack, "block int, codes binary")
-    out = np.zeros((1 << BITS) // BLOCK * BLOCK, np.uint8)
-    for row in blocks.collect():  # at most 2**BITS / BLOCK rows of BLOCK bytes
-        out[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["codes"], np.uint8)
-    return out
-
-
-def _order(h: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """The order by key, then hash: by one number of 64 bits where that tells all words apart."""
-    if key[-1] >> 30 == 0:
-        one = (key.astype(np.uint64) << np.uint64(34)) | (h >> np.uint64(30))
-        order = np.argsort(one)
-        one, words = one[order], h[order]
-        if not ((one[1:] == one[:-1]) & (words[1:] != words[:-1])).any():
-            return order
-    return np.lexsort((h, key))
-
-
-def _facts(data: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, ...] | None:
-    """Of each line with words: its number in ``data``, set hash, set size, parity map, and the prefix words with their count a line."""
-    h, begin = words_at(data, fold=False)
-    if not len(h):
-        return None
-    line = np.searchsorted(np.flatnonzero(data == 10), begin)
-    key = (line << 8) | codes[h >> np.uint64(64 - BITS)]
-    order = _order(h, key)
-    h, key = h[order], key[order]
-    fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])])
-    h, key = h[fresh], key[fresh]
-    line = key >> 8
-    start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-    n = np.diff(np.append(start, len(h)))
-    bit, high = np.uint64(1) << (h & np.uint64(63)), (h & np.uint64(64)) != 0
-    place = np.arange(len(h)) - np.repeat(start, n)
-    length = np.where(n > 3, n - (4 * n + 4) // 5 + 1, 0)
-    kept = (place < np.repeat(length, n)) & ((key & 255) > 1)
-    often = ((key & 255) >= OFTEN).astype(np.uint64) << np.uint64(31)
-    word = ((h << np.uint64(32)) | often | place.astype(np.uint64))[kept]
-    return (
-        line[start], np.add.reduceat(mix64(h), start), n,
-        np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), start), np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), start),
-        word, np.add.reduceat(kept.astype(np.int64), start),
-    )
+
+def _prefix_length(n: Column) -> Column:
+    """Words of a set of n in which a set of similarity 4/5 has to share one; smaller sets have no partner but their equals."""
+    return F.when(n > 3, n - F.floor((4 * n + 4) / 5).cast("int") + 1).otherwise(0)
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a line with words: its place, set hash, set size, parity map and prefix (32 bits of a word's hash, whether it is frequent, its place)."""
-    shared = docs.sparkSession.sparkContext.broadcast(word_codes(docs, text_col))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = shared.value
-        for batch in batches:
-            for at, data, starts in _slices(batch.column(2)):
-                facts = _facts(data, codes)
-                if facts is None:
-                    continue
-                line, s, n, m1, m2, word, each = facts
-                top = np.searchsorted(np.flatnonzero(data == 10), starts)
-                row = np.searchsorted(top, line, "right") - 1
-                keys = [batch.column(c).take(pa.array(row + at)) for c in (0, 1)]
-                long = [pa.array(x.view(np.int64)) for x in (s, m1, m2)]
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), pa.array(word.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*keys, pa.array((line - top[row]).astype(np.int32)), long[0], pa.array(n.astype(np.int32)), *long[1:], prefix], schema=_FACTS)
-
-    return docs.select(*row_key(id_col, text_col), utf8(F.col(text_col)).alias("data")).mapInArrow(run, FACT_SCHEMA)
-
-
-#: What two classes that share a prefix word must fulfil to reach 4/5; q holds a set's size, then the word's place.
+    """One row a line with words: its place, set hashes, set size, parity map and prefix (sort keys of the words that another line may hold)."""
+    # A folded constant: lambdas may hold no subquery, and a joined column would be copied into each row.
+    codes = F.split(F.lit(word_codes(docs, text_col).first()["codes"]), ",").cast("array<tinyint>")
+    lines = docs.select(*row_key(id_col, text_col), F.posexplode(F.split(plain(text_col), "\n", -1)).alias("line_no", "line")).where(F.trim("line") != "")
+    hashes = F.transform(distinct_words(F.col("line")), lambda w: F.xxhash64(w))
+    keys = F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(codes, _slot(h)).cast("long"), CODE).bitwiseOR(F.shiftrightunsigned(h, 64 - CODE))))
+    keyed = lines.select("k_id", "k_text", "line_no", keys.alias("w"))
+    n = F.size("w")
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    shared = F.filter(F.slice("w", F.lit(1), _prefix_length(n)), lambda k: k >= F.lit(2 << CODE))
+    half = lambda z: F.aggregate("w", F.lit(0).cast("long"), lambda m, k: F.when(k.bitwiseAND(F.lit(64)) == z, m.bitwiseXOR(bit(k))).otherwise(m))
+    return keyed.select("k_id", "k_text", "line_no", F.xxhash64("w").alias("s"), F.xxhash64(F.lit(1), "w").alias("t"), n.alias("n"), half(0).alias("m"), half(64).alias("m2"), shared.alias("prefix"))
+
+
+#: What two classes that share a prefix word must fulfil to reach 4/5 if it is their first; q holds a set's size, then the word's place.
 _POSSIBLE = """
     5L * (x.q >> 32) >= 4L * (y.q >> 32) AND 5L * (y.q >> 32) >= 4L * (x.q >> 32)
-    AND 9L * (least(x.q & 2147483647L, y.q & 2147483647L) + least((x.q >> 32) - (x.q & 2147483647L), (y.q >> 32) - (y.q & 2147483647L))) >= 4L * ((x.q >> 32) + (y.q >> 32))
-    AND 9L * (bit_count(x.m1 ^ y.m1) + bit_count(x.m2 ^ y.m2)) <= (x.q >> 32) + (y.q >> 32)
+    AND 9L * least((x.q >> 32) - (x.q & 2147483647L), (y.q >> 32) - (y.q & 2147483647L)) >= 4L * ((x.q >> 32) + (y.q >> 32))
+    AND 9L * (bit_count(x.m ^ y.m) + bit_count(x.m2 ^ y.m2)) <= (x.q >> 32) + (y.q >> 32)
 """
 
 
-def _postings(classes: DataFrame, *more: str) -> DataFrame:
-    """A narrow row for each class and prefix word: word, size and place, class number, document id, parity map."""
-    each = classes.select("c", F.col("first.k_id").alias("k"), "n", "m1", "m2", *more, F.explode("prefix").alias("v"))
-    q = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("v").bitwiseAND(F.lit(0x7FFFFFFF)))
-    return each.select(F.shiftright("v", 32).alias("w"), q.alias("q"), "c", "k", "m1", "m2", *more, F.col("v").bitwiseAND(F.lit(0x80000000)).cast("boolean").alias("often"))
+def _postings(classes: DataFrame, block: int, *more: str) -> DataFrame:
+    """A narrow row for each class and prefix word of a block: sort key, size and place, class number, document id, parity map."""
+    skipped = _prefix_length(F.col("n")) - F.size("prefix")
+    each = classes.select("c", F.col("first.k_id").alias("k"), "n", "m", "m2", skipped.alias("skipped"), *more, F.posexplode("prefix").alias("i", "w"))
+    q = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("skipped") + F.col("i")).cast("long"))
+    return each.where(F.pmod("w", F.lit(PASSES)) == block).select("w", q.alias("q"), "c", "k", "m", "m2", *more)
 
 
 def similar_classes(table: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -182,53 +113,55 @@ def similar_classes(table: DataFrame, docs: DataFrame, id_col: str = "doc_id", t
 
     ``every`` gives all pairs; without it there are one or more for each class that has an earlier match.
     """
-    grouped = table.groupBy(*_SET).agg(F.min(F.struct("k_id", "k_text", "line_no")).alias("first"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"))
+    grouped = table.groupBy(*_SET).agg(F.min(F.struct("k_id", "k_text", "line_no")).alias("first"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"), F.first("m").alias("m"), F.first("m2").alias("m2"))
     classes = cut(grouped.withColumn("c", F.monotonically_increasing_id()))
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        # Classes met by number; their first lines tell which is the earlier one.
-        of = lambda z: classes.select(F.col("c").alias(z), F.col("first").alias(f"f{z}"))
-        return cut(pairs.distinct().join(of("a"), "a").join(of("b"), "b").select(F.least("fa", "fb").alias("earlier"), F.greatest("fa", "fb").alias("later")).distinct())
+    often = F.col("w") >= F.lit(OFTEN << CODE)
 
     def by_pass(make) -> DataFrame:
         # Words are taken in PASSES blocks, so that the shuffle of one block is gone before the next.
-        return ordered(reduce(DataFrame.unionByName, [cut(make(F.pmod("w", F.lit(PASSES)) == i).distinct()) for i in range(PASSES)]))
+        met = [cut(make(i).distinct()) for i in range(PASSES)]
+        # Classes meet by number; their first lines tell which is the earlier one.
+        of = lambda z: classes.select(F.col("c").alias(z), F.col("first").alias(f"f{z}"))
+        pairs = reduce(DataFrame.unionByName, met).distinct().join(of("a"), "a").join(of("b"), "b")
+        out = cut(pairs.select(F.least("fa", "fb").alias("earlier"), F.greatest("fa", "fb").alias("later")).distinct())
+        release(*met)
+        return out
 
-    def all_pairs(block: Column) -> DataFrame:
+    def all_pairs(block: int) -> DataFrame:
         # Words that are not frequent: both sides read one shuffle. Frequent words: a pair meets in the one part of its row and column.
-        posts = _postings(classes).where(block)
-        rare = posts.where("NOT often").drop("often")
-        part, each = F.pmod(F.xxhash64("m1", "m2"), F.lit(SIDE)), F.sequence(F.lit(0), F.lit(SIDE - 1))
-        row, column = (posts.where("often").drop("often").withColumn("p", F.explode(F.transform(each, at))) for at in (lambda i: part * SIDE + i, lambda i: i * SIDE + part))
+        posts = _postings(classes, block)
+        rare = posts.where(~often)
+        part, each = F.pmod(F.xxhash64("m"), F.lit(SIDE)), F.sequence(F.lit(0), F.lit(SIDE - 1))
+        row, column = (posts.where(often).withColumn("p", F.explode(F.transform(each, at))) for at in (lambda i: part * SIDE + i, lambda i: i * SIDE + part))
         met = [x.alias("x").join(y.alias("y"), on).where("x.c < y.c").where(_POSSIBLE) for x, y, on in ((rare, rare, ["w"]), (row, column, ["w", "p"]))]
         return met[0].select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).unionByName(met[1].select(F.col("x.c").alias("a"), F.col("y.c").alias("b")))
 
     if every:
         return classes, _verified(by_pass(all_pairs), docs, id_col, text_col)
 
-    def hub_pairs(block: Column) -> DataFrame:
+    def hub_pairs(block: int) -> DataFrame:
         # Lists of frequent words are dealt to many parts, each with an earliest class of its own.
-        part = F.when(F.col("often"), F.pmod(F.xxhash64("m1"), F.lit(PARTS))).otherwise(F.lit(0))
-        posts = _postings(classes).where(block).withColumn("w", F.col("w") * PARTS + part).drop("often")
-        hub = F.first(F.struct("c", "q", "m1", "m2")).over(Window.partitionBy("w").orderBy("k", "m1", "m2", "q"))
-        met = posts.select(F.struct("c", "q", "m1", "m2").alias("y"), hub.alias("x")).where("x.c <> y.c").where(_POSSIBLE)
-        return met.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"))
+        posts = _postings(classes, block).withColumn("part", F.when(often, F.pmod(F.xxhash64("m"), F.lit(PARTS))).otherwise(F.lit(0)))
+        one, order = F.struct("c", "q", "m", "m2"), Window.partitionBy("w", "part").orderBy("k", "m", "q")
+        hubs = F.array(F.first(one).over(order), F.lag(one).over(order))
+        met = posts.select(one.alias("y"), hubs.alias("hubs")).select("y", F.explode(F.array_distinct(F.filter("hubs", lambda h: h.isNotNull()))).alias("x"))
+        return met.where("x.c <> y.c").where(_POSSIBLE).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"))
 
     near = by_pass(hub_pairs)
     good = cut(_verified(near, docs, id_col, text_col))
     done = good.select(F.col("later").alias("first"), F.lit(False).alias("open")).distinct()
     # Written once, as all blocks read it.
-    still = cut(classes.join(done, "first", "left").select("c", F.struct("first.k_id").alias("first"), "n", "m1", "m2", "prefix", F.col("open").isNull().alias("open")))
+    still = cut(classes.join(done, "first", "left").select("c", F.struct("first.k_id").alias("first"), "n", "m", "m2", "prefix", F.col("open").isNull().alias("open")))
 
-    def open_pairs(block: Column) -> DataFrame:
+    def open_pairs(block: int) -> DataFrame:
         # Both sides read one shuffle: whether y is open is asked in the join, not before it.
-        posts = _postings(still, "open").where(block).drop("often")
+        posts = _postings(still, block, "open")
         met = posts.alias("x").join(posts.alias("y"), "w").where("CASE WHEN y.open THEN x.k <= y.k AND x.c <> y.c ELSE false END").where(_POSSIBLE)
         return met.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"))
 
     rest = by_pass(open_pairs)
-    rest = rest.join(near, ["earlier", "later"], "left_anti")
-    return classes, good.unionByName(_verified(rest, docs, id_col, text_col))
+    release(still)
+    return classes, good.unionByName(_verified(rest.join(near, ["earlier", "later"], "left_anti"), docs, id_col, text_col))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -237,11 +170,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     wanted = cut(wanted.withColumn("many", F.size("nos")))
     few = (wanted.agg(F.sum("many")).first()[0] or 0) <= BROADCAST_CLASSES
     # Lines of a text are split once, however many of them are asked for.
-    texts = docs.select(*row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    texts = docs.select(*row_key(id_col, text_col), plain(text_col).alias("t"))
     found = texts.join(F.broadcast(wanted) if few else wanted, ["k_id", "k_text"])
     asked = found.select("k_id", "k_text", "nos", F.split("t", "\n", -1).alias("ls")).select("k_id", "k_text", F.explode(F.transform("nos", lambda i: F.struct(i.alias("line_no"), F.get("ls", i).alias("line")))).alias("x"))
     # Repeated rows give a line many times; one is enough.
-    words = asked.groupBy(F.struct("k_id", "k_text", "x.line_no").alias("e")).agg(F.first("x.line").alias("line")).select("e", F.array_distinct(split_words(F.col("line"))).alias("ws"))
+    words = asked.groupBy(F.struct("k_id", "k_text", "x.line_no").alias("e")).agg(F.first("x.line").alias("line")).select("e", distinct_words(F.col("line")).alias("ws"))
     of = lambda name, z: words.select(F.col("e").alias(name), F.col("ws").alias(z))
     joined = pairs.join(of("earlier", "xw"), "earlier").join(of("later", "yw"), "later")
     return joined.withColumn("both", F.size(F.array_intersect("xw", "yw"))).where("5L * both >= 4L * (size(xw) + size(yw) - both)").select("earlier", "later").distinct()

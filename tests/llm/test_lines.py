@@ -70,30 +70,34 @@ def test_repeated_rows_and_null_ids(spark):
     assert texts == [(-1, "a b c d e f g"), (1, ""), (1, ""), (2, "")]
 
 
-def test_line_facts_against_sets():
-    """Sizes, prefixes and parity maps of lines, by sorting words one by one; both ways of ordering agree."""
+def test_line_facts_against_sets(spark):
+    """Sizes, prefixes and parity maps of lines against sets built from the same hashes and counters."""
     rng = random.Random(9)
-    text = "\n".join(" ".join(rng.choice("ab cd ef gh ij kl mn op qr st".split()) + str(rng.randrange(9)) for _ in range(rng.randrange(30))) for _ in range(300))
-    data = np.frombuffer(text.encode(), np.uint8)
-    codes = np.random.default_rng(5).integers(1, 256, 1 << L.BITS, dtype=np.uint8)
-    line, s, n, m1, m2, word, each = L._facts(data, codes)
-    at = 0
-    for k, row in enumerate(text.split("\n")):
-        h = sorted({int(x) for x in words_at(np.frombuffer(row.encode(), np.uint8), fold=False)[0]}, key=lambda x: (codes[x >> (64 - L.BITS)], x))
-        if not h:
-            assert k not in line
-            continue
-        i = int(np.searchsorted(line, k))
-        length = len(h) - -(-4 * len(h) // 5) + 1 if len(h) > 3 else 0
-        want = [((x & 0xFFFFFFFF) << 32) | (int(codes[x >> (64 - L.BITS)] >= L.OFTEN) << 31) | p for p, x in enumerate(h[:length]) if codes[x >> (64 - L.BITS)] > 1]
-        assert (line[i], n[i], each[i]) == (k, len(h), len(want)) and word[at : at + len(want)].tolist() == want
-        parity = 0
-        for x in h:
-            parity ^= 1 << (x & 127)
-        assert int(m1[i]) | (int(m2[i]) << 64) == parity
-        at += len(want)
-    h, key = np.array([5, 6, 5, 1], np.uint64), np.array([3, 3, 3, 7])
-    assert h[L._order(h, key)].tolist() == [5, 5, 6, 1]
+    texts = ["\n".join(" ".join(rng.choice("ab cd ef gh ij kl mn op qr st".split()) + str(rng.randrange(9)) for _ in range(rng.randrange(30))) for _ in range(20)) for _ in range(6)] + ["once\ttold \x0b\r  tale\n \n\x0c", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    codes = [int(x) for x in L.word_codes(docs).first()["codes"].split(",")]
+    vocabulary = sorted({w for t in texts if t for w in t.split()})
+    h = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").selectExpr("w", "xxhash64(w) AS h").collect()}
+    count = defaultdict(int)
+    for t in texts:
+        for w in (t or "").split():
+            count[h[w] & ((1 << L.BITS) - 1)] += 1
+    assert len(codes) == 1 << L.BITS and {k: v for k, v in enumerate(codes) if v} == {k: min(127, 1 + int(np.floor(4 * np.log2(n)))) for k, n in count.items()}
+    rows = {(r["k_id"], r["line_no"]): r for r in L.line_table(docs).collect()}
+    seen = 0
+    for d, t in enumerate(texts):
+        for k, line in enumerate((t or "").split("\n")):
+            w = sorted((codes[h[x] & ((1 << L.BITS) - 1)] << L.CODE) | ((h[x] & (2**64 - 1)) >> (64 - L.CODE)) for x in set(line.split()))
+            if not w:
+                assert (d, k) not in rows
+                continue
+            seen += 1
+            r, parity = rows[d, k], 0
+            for x in w:
+                parity ^= 1 << (x & 127)
+            length = len(w) - -(-4 * len(w) // 5) + 1 if len(w) > 3 else 0
+            assert (r["n"], r["m"] & (2**64 - 1) | (r["m2"] & (2**64 - 1)) << 64, r["prefix"]) == (len(w), parity, [x for x in w[:length] if x >> L.CODE > 1])
+    assert seen == len(rows)
 
 
 def test_links_of_all_classes(spark, monkeypatch):
