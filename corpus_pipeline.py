@@ -12,12 +12,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the current policy; the ledger is joined by content, so repeated rows agree."""
-    keys = [c.alias(f"_{n}") for c, n in zip(common.row_key(), ("k_id", "k_text"), strict=True)]
-    keyed = docs.select(*COLUMNS, F.struct(*keys).alias("_key"))
-    book = quality.ledger(keyed, id_col="_key")
-    kept = quality.apply_policy(book).where("kept").select(F.col("doc_id._k_id").alias("a"), F.col("doc_id._k_text").alias("b")).distinct()
-    return keyed.join(kept, (F.col("_key._k_id") == F.col("a")) & (F.col("_key._k_text") == F.col("b")), "left_semi").select(*COLUMNS)
+    """Documents that pass the current policy. The ledger rides along with each row, so nothing is shuffled or joined."""
+    whole = docs.withColumn("_row", F.struct(*COLUMNS))
+    return quality.apply_policy(quality.ledger(whole, id_col="_row")).where("kept").select("doc_id.*").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
