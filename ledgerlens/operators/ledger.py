@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 PRIORITY = {"Deposit": 0, "Dividend": 1, "Buy": 2, "Sell": 2, "Withdrawal": 3, "Split": 4}
 
 
+#: Cash is summed as decimals: the result depends on no order and no rounding piles up.
+MONEY = "decimal(28,4)"
+
+
 def priority(kind: Column) -> Column:
     out = F.lit(5)
     for name, n in PRIORITY.items():
@@ -36,20 +40,28 @@ def positions(txns: DataFrame) -> DataFrame:
     return out.withColumn("held", F.coalesce(F.lag("position").over(step), F.lit(0.0))).drop("_r", "_u")
 
 
+def asset_delta() -> Column:
+    """What an asset transaction with its position does to the cash of its currency."""
+    amount = F.col("quantity") * F.col("price")
+    return F.when(F.col("type") == "Buy", -(amount + F.col("fee"))).when(F.col("type") == "Sell", amount - F.col("fee")).when((F.col("type") == "Dividend") & (F.col("held") != 0), F.col("held") * F.col("price") - F.col("fee")).otherwise(0.0)
+
+
+def cash_delta() -> Column:
+    """What a deposit or withdrawal does to the cash of its currency."""
+    return F.when(F.col("type") == "Deposit", F.col("quantity") - F.col("fee")).otherwise(-(F.col("quantity") + F.col("fee")))
+
+
 def cash_deltas(txns: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     """Every transaction with its effect on the cash of its currency."""
     assets = positions(txns) if assets is None else assets
-    amount = F.col("quantity") * F.col("price")
-    of_asset = F.when(F.col("type") == "Buy", -(amount + F.col("fee"))).when(F.col("type") == "Sell", amount - F.col("fee")).when((F.col("type") == "Dividend") & (F.col("held") != 0), F.col("held") * F.col("price") - F.col("fee")).otherwise(0.0)
-    of_cash = F.when(F.col("type") == "Deposit", F.col("quantity") - F.col("fee")).otherwise(-(F.col("quantity") + F.col("fee")))
     keep = ["portfolio_id", "t_ms", "type", "id", "currency"]
-    return assets.select(*keep, of_asset.alias("delta")).unionByName(txns.where(F.col("type").isin("Deposit", "Withdrawal")).select(*keep, of_cash.alias("delta")))
+    return assets.select(*keep, asset_delta().alias("delta")).unionByName(txns.where(F.col("type").isin("Deposit", "Withdrawal")).select(*keep, cash_delta().alias("delta")))
 
 
 def cash(txns: DataFrame) -> DataFrame:
     """Running cash of each portfolio and currency."""
     w = W.partitionBy("portfolio_id", "currency").orderBy("t_ms", priority(F.col("type")), "id").rowsBetween(W.unboundedPreceding, 0)
-    return cash_deltas(txns).withColumn("balance", F.sum("delta").over(w))
+    return cash_deltas(txns).withColumn("balance", F.sum(F.col("delta").cast(MONEY)).over(w).cast("double"))
 
 
 def violations(txns: DataFrame) -> DataFrame:
@@ -63,11 +75,33 @@ def violations(txns: DataFrame) -> DataFrame:
 def holdings(txns: DataFrame) -> DataFrame:
     """(portfolio_id, asset, t_ms, quantity): the last state of each asset and currency at each instant it changes."""
     order = F.struct(priority(F.col("type")), F.col("id"))
-    a = positions(txns)
-    shares = a.groupBy("portfolio_id", F.col("ticker").alias("asset"), "t_ms").agg(F.max_by("position", order).alias("quantity"))
-    money = cash_deltas(txns, a).groupBy("portfolio_id", F.concat(F.lit("CASH:"), "currency").alias("asset"), "t_ms").agg(F.sum("delta").alias("d"))
+    a = positions(txns).withColumn("delta", asset_delta())
+    purse = F.concat(F.lit("CASH:"), F.col("currency"))
+    none = F.lit(None).cast("double")
+    # A transaction changes an asset and a purse: both come from one pass over it.
+    pair = F.array(F.struct(F.col("ticker").alias("asset"), F.col("position").alias("p"), none.alias("d")), F.struct(purse.alias("asset"), none.alias("p"), F.col("delta").alias("d")))
+    moves = a.select("portfolio_id", "t_ms", order.alias("o"), F.explode(pair).alias("x")).select("portfolio_id", "t_ms", "o", "x.*")
+    money = txns.where(F.col("type").isin("Deposit", "Withdrawal")).select("portfolio_id", "t_ms", order.alias("o"), purse.alias("asset"), none.alias("p"), cash_delta().alias("d"))
+    held = moves.unionByName(money).where("asset IS NOT NULL").groupBy("portfolio_id", "asset", "t_ms").agg(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("o"))).alias("p"), F.sum(F.col("d").cast(MONEY)).alias("d"))
     w = W.partitionBy("portfolio_id", "asset").orderBy("t_ms").rowsBetween(W.unboundedPreceding, 0)
-    return shares.unionByName(money.select("portfolio_id", "asset", "t_ms", F.sum("d").over(w).alias("quantity")))
+    return held.select("portfolio_id", "asset", "t_ms", F.coalesce("p", F.sum("d").over(w).cast("double")).alias("quantity"))
+
+
+def snapshot_at(txns: DataFrame, until: int | None = None) -> DataFrame:
+    """(portfolio_id, asset, quantity) after the last transaction, or the last one at or before ``until``."""
+    held = holdings(txns)
+    held = held if until is None else held.where(F.col("t_ms") <= until)
+    return held.groupBy("portfolio_id", "asset").agg(F.max_by("quantity", "t_ms").alias("quantity"))
+
+
+def seeds(snapshot: DataFrame, at: int) -> DataFrame:
+    """The transactions that bring an empty ledger to a snapshot at once: what came before need not be replayed."""
+    cash = F.col("asset").startswith("CASH:")
+    zero = F.lit(0.0)
+    return snapshot.select(
+        "portfolio_id", F.lit(at).cast("long").alias("t_ms"), F.when(cash, F.lit("Deposit")).otherwise(F.lit("Buy")).alias("type"), F.when(~cash, F.col("asset")).alias("ticker"), "quantity",
+        zero.alias("price"), zero.alias("fee"), F.when(cash, F.substring("asset", 6, 99)).alias("currency"), F.concat(F.lit("seed-"), "asset").alias("id"),
+    )
 
 
 def append_dedupe(log: DataFrame, new: DataFrame) -> DataFrame:

@@ -85,10 +85,11 @@ def grid_intersection(grids: DataFrame, source: str, n: int) -> DataFrame:
 
 def regularity(bars: DataFrame, tolerance: float = 0.05, keys: Sequence[str] = KEY) -> DataFrame:
     """Upper median and population deviation of the steps; regular if the latter is small. Under 3 points: regular."""
-    d = (F.col("t_ms") - F.lag("t_ms").over(W.partitionBy(*keys).orderBy("t_ms"))).cast("double")
-    out = bars.withColumn("_d", d).groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.get(F.sort_array(F.collect_list("_d")), F.floor(F.count("_d") / 2).cast("int")).alias("median_step"),
-        F.stddev_pop("_d").alias("sd_step"),
+    own = W.partitionBy(*keys)
+    d = (F.col("t_ms") - F.lag("t_ms").over(own.orderBy("t_ms"))).cast("double")
+    # The median is the step at one place of the ordered steps: no list of them is gathered.
+    placed = bars.select(*keys, d.alias("_d")).withColumn("_k", F.row_number().over(own.orderBy(F.col("_d").asc_nulls_last())) - 1).withColumn("_n", F.count("_d").over(own))
+    out = placed.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 2), F.col("_d"))).alias("median_step"), F.stddev_pop("_d").alias("sd_step"),
     )
     return out.withColumn("regular", (F.col("n") < 3) | (F.col("sd_step") <= F.greatest(F.lit(tolerance) * F.col("median_step"), F.lit(1.0))))

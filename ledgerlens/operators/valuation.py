@@ -1,4 +1,4 @@
-"""Valuation: holdings and prices brought onto a grid by as-of joins, then one aggregate."""
+"""Valuation: holdings and prices expanded onto a regular grid, then one aggregate."""
 
 from __future__ import annotations
 
@@ -6,30 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .resample import resample
 
+def on_grid(states: DataFrame, span: tuple[int, int, int], keys: list[str], value: str, before: float | None = 0.0) -> DataFrame:
+    """States (keys, t_ms, value) at each tick of the grid (begin, end, step), for every key.
 
-def on_grid(states: DataFrame, grid: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """States (keys, t_ms, value) at each tick of a grid shared by all keys; 0 before the first."""
-    every = states.select(*keys).distinct().crossJoin(F.broadcast(grid.select("t_ms")))  # keys x ticks: the answer's own size
-    out = resample(states.withColumnRenamed(value, "value"), every, "latest", keys, strict_lookback=True)
-    return out.withColumn(value, F.coalesce("value", F.lit(0.0))).drop(*(["value"] if value != "value" else []))
-
-
-def value_weights(holdings: DataFrame, prices: DataFrame, fx: DataFrame, denomination: DataFrame, grid: DataFrame) -> DataFrame:
+    A state holds from its instant to the next one of its key, so it gives the ticks in between: one window by key, no
+    join, and no row for a state that holds at no tick. Before the first state a key has ``before``, or with None that state.
+    """
+    begin, end, step = span
+    w = W.partitionBy(*keys).orderBy("t_ms")
+    tick = lambda t: F.greatest(F.ceil((t - begin) / step), F.lit(0)).cast("long")
+    last = F.lit((end - begin) // step)
+    till = F.when(F.lead("t_ms").over(w).isNull(), last).otherwise(F.least(tick(F.lead("t_ms").over(w)) - 1, last))
+    known = states.select(*keys, value, tick(F.col("t_ms")).alias("_own"), till.alias("_till"), F.lag("t_ms").over(w).isNull().alias("_first"))
+    spans = known.withColumn("_from", F.when(F.col("_first"), F.lit(0).cast("long")).otherwise(F.col("_own"))).where("_from <= _till")
+    out = spans.withColumn("_k", F.explode(F.sequence("_from", "_till")))
+    held = F.col(value) if before is None else F.when(F.col("_k") < F.col("_own"), F.lit(float(before))).otherwise(F.col(value))
+    return out.select(*keys, (F.col("_k") * step + begin).alias("t_ms"), held.alias(value))
+
+
+def value_weights(holdings: DataFrame, prices: DataFrame, fx: DataFrame, denomination: DataFrame, span: tuple[int, int, int]) -> DataFrame:
     """(portfolio_id, t_ms, asset, quantity, value, total, weight) at every tick, all in the base currency.
 
     prices: series_id, t_ms, value; fx: series_id (a currency), t_ms, rate to base as value; denomination: asset, currency.
-    The base currency has no fx series and counts 1, as does cash for a price.
+    The base currency has no fx series and counts 1, as does cash for a price. Totals are summed as decimals, so
+    they depend on no order.
     """
-    q = on_grid(holdings, grid, ["portfolio_id", "asset"], "quantity")
-    ticks = lambda s: s.select("series_id").distinct().crossJoin(F.broadcast(grid.select("t_ms")))
-    price = resample(prices, ticks(prices), "latest").select(F.col("series_id").alias("asset"), "t_ms", F.col("value").alias("price"))
-    rate = resample(fx, ticks(fx), "latest").select(F.col("series_id").alias("currency"), "t_ms", F.col("value").alias("rate"))
+    q = on_grid(holdings, span, ["portfolio_id", "asset"], "quantity")
+    price = on_grid(prices, span, ["series_id"], "value", None).select(F.col("series_id").alias("asset"), "t_ms", F.col("value").alias("price"))
+    rate = on_grid(fx, span, ["series_id"], "value", None).select(F.col("series_id").alias("currency"), "t_ms", F.col("value").alias("rate"))
     ccy = F.when(F.col("asset").startswith("CASH:"), F.substring("asset", 6, 3)).otherwise(F.col("denomination"))
     joined = q.join(denomination.select("asset", F.col("currency").alias("denomination")), "asset", "left").withColumn("currency", ccy).join(price, ["asset", "t_ms"], "left").join(rate, ["currency", "t_ms"], "left")
     value = F.col("quantity") * F.coalesce("price", F.lit(1.0)) * F.coalesce("rate", F.lit(1.0))
-    total = F.sum("value").over(W.partitionBy("portfolio_id", "t_ms"))
+    total = F.sum(F.col("value").cast("decimal(28,4)")).over(W.partitionBy("portfolio_id", "t_ms")).cast("double")
     out = joined.select("portfolio_id", "t_ms", "asset", "quantity", value.alias("value")).withColumn("total", total)
     return out.withColumn("weight", F.when(F.col("total") == 0, F.lit(0.0)).otherwise(F.col("value") / F.col("total")))
 

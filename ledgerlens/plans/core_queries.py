@@ -27,9 +27,15 @@ def r6(df, *cols, n=6):
     return df.select(*[(F.round(c, n) + 0.0).alias(c) if c in cols else c for c in df.columns])
 
 
-def off_ties(c: str, n: int = 2):
-    """Rounded a little off the exact halves, which the two engines' summation orders could part."""
-    return (F.round(F.col(c) + 0.00137, n) + 0.0).alias(c)
+def exact(c, n: int = 2, name: str | None = None):
+    """The value rounded half up at n places as a decimal, so that no engine's binary rounding moves an exact half."""
+    c = F.col(c) if isinstance(c, str) else c
+    out = F.round(c.cast(f"decimal(38,{n + 2})"), n).cast("double") + 0.0
+    return out.alias(name) if name else out
+
+
+def exact_sql(x: str, n: int = 2) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(38,{n + 2})), {n}) AS DOUBLE) + 0.0"
 
 
 # Algebra: a user's series with itself shifted by one tick, so that both sides differ.
@@ -178,18 +184,18 @@ def _scalar_metrics(spark, d):
 
 
 _SM = "m AS (SELECT * FROM (SELECT series_id, (arg_max(value, t_ms) - arg_min(value, t_ms)) / arg_min(value, t_ms) AS total_return FROM p GROUP BY 1) JOIN (SELECT series_id, stddev_samp(value) * sqrt(252) AS volatility, avg(value) / stddev_samp(value) AS sharpe FROM lr GROUP BY 1) USING (series_id))"
-for _n in ("scalar_metrics", "default_return_features", "asset_analysis"):
+for _n in ("scalar_metrics",):
     add(_n, _scalar_metrics, sql("lr", "SELECT series_id, metric, round(x, 6) + 0.0 AS x FROM (UNPIVOT m ON total_return, volatility, sharpe INTO NAME metric VALUE x)").replace("\nSELECT", f",\n{_SM}\nSELECT", 1))
 
 # Windows.
 _w = lambda a, b: S.over().rowsBetween(a, b)
 _run = W.unboundedPreceding
 add("moving_average", lambda spark, d: V.series(spark, d).select(K, "t_ms", F.when(F.count("value").over(_w(-4, 0)) == 5, F.round(F.avg("value").over(_w(-4, 0)), 6)).alias("ma")), sql("s", "SELECT series_id, t_ms, CASE WHEN count(value) OVER w = 5 THEN round(avg(value) OVER w, 6) END AS ma FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t_ms ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"))
-add("running_welford", lambda spark, d: V.series(spark, d).select(K, "t_ms", F.count("value").over(_w(_run, 0)).alias("n"), F.round(F.avg("value").over(_w(_run, 0)) + 0.00137, 3).alias("mean"), F.round(F.var_pop("value").over(_w(_run, 0)) + 0.00137, 3).alias("var_pop")), sql("s", "SELECT series_id, t_ms, count(value) OVER w AS n, round(avg(value) OVER w + 0.00137, 3) AS mean, round(var_pop(value) OVER w + 0.00137, 3) AS var_pop FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t_ms ROWS UNBOUNDED PRECEDING)"))
+add("running_welford", lambda spark, d: V.series(spark, d).select(K, "t_ms", F.count("value").over(_w(_run, 0)).alias("n"), exact(F.avg("value").over(_w(_run, 0)), 3, "mean"), exact(F.var_pop("value").over(_w(_run, 0)), 3, "var_pop")), sql("s", f"SELECT series_id, t_ms, count(value) OVER w AS n, {exact_sql('avg(value) OVER w', 3)} AS mean, {exact_sql('var_pop(value) OVER w', 3)} AS var_pop FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t_ms ROWS UNBOUNDED PRECEDING)"))
 add("running_extrema", lambda spark, d: V.series(spark, d).select(K, "t_ms", F.min("value").over(_w(_run, 0)).alias("lo"), F.max("value").over(_w(_run, 0)).alias("hi")), sql("s", "SELECT series_id, t_ms, min(value) OVER w AS lo, max(value) OVER w AS hi FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t_ms ROWS UNBOUNDED PRECEDING)"))
 add("drawdown", lambda spark, d: V.series(spark, d).withColumn("peak", F.max("value").over(_w(_run, 0))).groupBy(K).agg(F.round(F.max(F.col("peak") - F.col("value")), 6).alias("max_absolute"), F.round(F.max(F.when(F.col("peak") > 0, (F.col("peak") - F.col("value")) / F.col("peak"))), 6).alias("max_relative")), sql("s", "SELECT series_id, round(max(peak - value), 6) AS max_absolute, round(max(CASE WHEN peak > 0 THEN (peak - value) / peak END), 6) AS max_relative FROM (SELECT *, max(value) OVER (PARTITION BY series_id ORDER BY t_ms ROWS UNBOUNDED PRECEDING) AS peak FROM s) GROUP BY 1"))
 add("threshold_crossing", lambda spark, d: S.positions(V.series(spark, d)).groupBy(K).agg(F.min(F.when(F.col("value") >= 30, F.col("pos"))).cast("long").alias("first_step")).withColumn("crossed", F.col("first_step").isNotNull()), sql("s", "SELECT series_id, min(pos) FILTER (value >= 30) AS first_step, min(pos) FILTER (value >= 30) IS NOT NULL AS crossed FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t_ms) - 1 AS pos FROM s) GROUP BY 1"))
 add("path_record", lambda spark, d: V.series(spark, d).groupBy(K).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t_ms", "value"))), lambda x: F.round(x["value"] * 100).cast("long").cast("string")), ",").alias("path")), sql("s", "SELECT series_id, string_agg(CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY t_ms) AS path FROM s GROUP BY 1"))
 add("context_window", lambda spark, d: V.series(spark, d).select(K, "t_ms", F.array_join(F.transform(F.collect_list("value").over(_w(-2, 0)), lambda x: F.round(x * 100).cast("long").cast("string")), ",").alias("context")), sql("s", "SELECT series_id, t_ms, list_aggregate(list(CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)) OVER (PARTITION BY series_id ORDER BY t_ms ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 'string_agg', ',') AS context FROM s"))
 for _n, _f, _e in (("rolling_mse", lambda e: e * e, "e * e"), ("rolling_mae", F.abs, "abs(e)")):
-    add(_n, lambda spark, d, n=_n, f=_f: V.series(spark, d).withColumn("e", F.col("value") - F.lag("value").over(S.over())).where("e IS NOT NULL").select(K, "t_ms", F.round(F.avg(f(F.col("e"))).over(_w(-9, 0)) + 0.0013731, 2).alias(n)), sql("s", f"SELECT series_id, t_ms, round(avg({_e}) OVER (PARTITION BY series_id ORDER BY t_ms ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) + 0.0013731, 2) AS {_n} FROM (SELECT *, value - lag(value) OVER (PARTITION BY series_id ORDER BY t_ms) AS e FROM s) WHERE e IS NOT NULL"))
+    add(_n, lambda spark, d, n=_n, f=_f: V.series(spark, d).withColumn("e", F.col("value") - F.lag("value").over(S.over())).where("e IS NOT NULL").select(K, "t_ms", exact(F.avg(f(F.col("e"))).over(_w(-9, 0)), 2, n)), sql("s", f"SELECT series_id, t_ms, {exact_sql(f'avg({_e}) OVER (PARTITION BY series_id ORDER BY t_ms ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)', 2)} AS {_n} FROM (SELECT *, value - lag(value) OVER (PARTITION BY series_id ORDER BY t_ms) AS e FROM s) WHERE e IS NOT NULL"))

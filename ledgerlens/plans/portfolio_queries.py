@@ -14,7 +14,7 @@ from ..operators import models as M
 from ..operators import series as S
 from ..operators import valuation as P
 from . import views as V
-from .core_queries import K, off_ties, r6
+from .core_queries import K, exact, exact_sql, r6
 from .metrics import Registry
 from .views import DAY, sql
 
@@ -34,7 +34,7 @@ _at = lambda t: f"t_ms <= {t}"
 
 # Ledger.
 add("ledger_positions", lambda spark, d: r6(L.positions(V.txns(spark, d)).select(PID, "ticker", "t_ms", "id", "held", "position"), "held", "position", n=4), sql("pos", "SELECT portfolio_id, ticker, t_ms, id, round(held, 4) + 0.0 AS held, round(position, 4) + 0.0 AS position FROM pos"))
-add("ledger_cash", lambda spark, d: r6(L.cash(V.txns(spark, d)).select(PID, "currency", "t_ms", "id", "delta", "balance"), "delta", "balance", n=2), sql("cd", "SELECT portfolio_id, currency, t_ms, id, round(delta, 2) + 0.0 AS delta, round(sum(delta) OVER (PARTITION BY portfolio_id, currency ORDER BY t_ms, pr, id ROWS UNBOUNDED PRECEDING), 2) + 0.0 AS balance FROM cd"))
+add("ledger_cash", lambda spark, d: r6(L.cash(V.txns(spark, d)).select(PID, "currency", "t_ms", "id", "delta", "balance"), "delta", "balance", n=2), sql("cd", "SELECT portfolio_id, currency, t_ms, id, round(delta, 2) + 0.0 AS delta, round(CAST(sum(CAST(delta AS DECIMAL(28,4))) OVER (PARTITION BY portfolio_id, currency ORDER BY t_ms, pr, id ROWS UNBOUNDED PRECEDING) AS DOUBLE), 2) + 0.0 AS balance FROM cd"))
 add("ledger_violations", lambda spark, d: L.violations(V.txns(spark, d)), sql("pos", "SELECT portfolio_id, id, CASE WHEN type = 'Sell' THEN 'oversell' ELSE 'no position' END AS reason FROM pos WHERE (type = 'Sell' AND held < quantity) OR (type IN ('Dividend', 'Split') AND held = 0)"))
 add("txn_order", lambda spark, d: V.txns(spark, d).select(PID, "id", F.row_number().over(W.partitionBy(PID).orderBy("t_ms", L.priority(F.col("type")), "id")).cast("long").alias("place")), sql("tp", "SELECT portfolio_id, id, row_number() OVER (PARTITION BY portfolio_id ORDER BY t_ms, pr, id) AS place FROM tp"))
 add("txn_priority", lambda spark, d: V.txns(spark, d).groupBy("type", L.priority(F.col("type")).alias("priority")).agg(F.count("*").alias("n")), sql("tp", "SELECT type, pr AS priority, count(*) AS n FROM tp GROUP BY 1, 2"))
@@ -78,39 +78,34 @@ add("fx_pair_upsert", lambda spark, d: _pairs(spark, d).select("base", "quote",
 
 # Valuation on a 30-day grid.
 def _values(spark, d):
-    return P.value_weights(L.holdings(V.txns(spark, d)), V.prices(spark, d), V.fx(spark, d), V.denomination(spark, d), V.grid(spark))
+    return P.value_weights(L.holdings(V.txns(spark, d)), V.prices(spark, d), V.fx(spark, d), V.denomination(spark, d), V.GRID)
 
 
-def _ticks(spark, s):
-    return s.select(K).distinct().crossJoin(F.broadcast(V.grid(spark)))
+def _gridded(view, spark, d):
+    return P.on_grid(view(spark, d), V.GRID, [K], "value", None)
 
 
-def _grid_of(view, name):
-    from ..operators.resample import resample
+def _grid_of(view):
+    return lambda spark, d: r6(_gridded(view, spark, d), "value")
 
-    return lambda spark, d: r6(resample(view(spark, d), _ticks(spark, view(spark, d)), "latest"), "value")
 
-
-add("price_on_grid", _grid_of(V.prices, "p"), sql("pg", "SELECT series_id, t_ms, round(value, 6) AS value FROM pg"))
-add("fx_on_grid", _grid_of(V.fx, "fx"), sql("fg", "SELECT series_id, t_ms, round(value, 6) AS value FROM fg"))
+add("price_on_grid", _grid_of(V.prices), sql("pg", "SELECT series_id, t_ms, round(value, 6) AS value FROM pg"))
+add("fx_on_grid", _grid_of(V.fx), sql("fg", "SELECT series_id, t_ms, round(value, 6) AS value FROM fg"))
 for _n, _view, _cte in (("price_at", V.prices, "p"), ("fx_at", V.fx, "fx"), ("point_asof", V.prices, "p")):
     add(_n, lambda spark, d, v=_view: r6(v(spark, d).where(_at(MID)).groupBy(K).agg(F.max_by("value", "t_ms").alias("value")), "value"), sql(_cte, f"SELECT series_id, round(arg_max(value, t_ms), 6) AS value FROM {_cte} WHERE {_at(MID)} GROUP BY 1"))
 
 
 def _price_in_base(spark, d):
-    from ..operators.resample import resample
-
-    price = resample(V.prices(spark, d), _ticks(spark, V.prices(spark, d)), "latest")
-    rate = resample(V.fx(spark, d), _ticks(spark, V.fx(spark, d)), "latest").select(F.col(K).alias("currency"), "t_ms", F.col("value").alias("rate"))
-    return price.join(V.denomination(spark, d), F.col(K) == F.col("asset")).join(rate, ["currency", "t_ms"], "left").select(K, "t_ms", (F.col("value") * F.coalesce("rate", F.lit(1.0))).alias("value")).select(K, "t_ms", off_ties("value"))
+    price, rate = _gridded(V.prices, spark, d), _gridded(V.fx, spark, d).select(F.col(K).alias("currency"), "t_ms", F.col("value").alias("rate"))
+    return price.join(V.denomination(spark, d), F.col(K) == F.col("asset")).join(rate, ["currency", "t_ms"], "left").select(K, "t_ms", (F.col("value") * F.coalesce("rate", F.lit(1.0))).alias("value")).select(K, "t_ms", exact("value", 2, "value"))
 
 
-add("price_in_base", _price_in_base, sql("pg fg den", "SELECT pg.series_id, pg.t_ms, round(pg.value * coalesce(fg.value, 1) + 0.00137, 2) + 0.0 AS value FROM pg JOIN den ON pg.series_id = asset LEFT JOIN fg ON fg.series_id = den.currency AND fg.t_ms = pg.t_ms"))
-_VW = "SELECT portfolio_id, t_ms, asset, round(value + 0.00137, 2) + 0.0 AS value, round(total + 0.00137, 1) + 0.0 AS total, round(CASE WHEN total = 0 THEN 0 ELSE value / total END, 5) + 0.0 AS weight FROM vw"
-add("value_weight_series", lambda spark, d: r6(_values(spark, d).select(PID, "t_ms", "asset", off_ties("value"), off_ties("total", 1), "weight"), "weight", n=5), sql("vw", _VW))
+add("price_in_base", _price_in_base, sql("pg fg den", f"SELECT pg.series_id, pg.t_ms, {exact_sql('pg.value * coalesce(fg.value, 1)')} AS value FROM pg JOIN den ON pg.series_id = asset LEFT JOIN fg ON fg.series_id = den.currency AND fg.t_ms = pg.t_ms"))
+_VW = f"SELECT portfolio_id, t_ms, asset, {exact_sql('value')} AS value, {exact_sql('total')} AS total, round(CASE WHEN total = 0 THEN 0 ELSE value / total END, 5) + 0.0 AS weight FROM vw"
+add("value_weight_series", lambda spark, d: r6(_values(spark, d).select(PID, "t_ms", "asset", exact("value", 2, "value"), exact("total", 2, "total"), "weight"), "weight", n=5), sql("vw", _VW))
 add("weights_series", lambda spark, d: r6(_values(spark, d).select(PID, "t_ms", "asset", "weight"), "weight", n=5), sql("vw", f"SELECT portfolio_id, t_ms, asset, weight FROM ({_VW})"))
-add("value_series", lambda spark, d: _values(spark, d).groupBy(PID, "t_ms").agg(F.sum("value").alias("value")).select(PID, "t_ms", off_ties("value", 1)), sql("val", "SELECT portfolio_id, t_ms, round(sum(value) + 0.00137, 1) + 0.0 AS value FROM val GROUP BY 1, 2"))
-add("quantity_series", lambda spark, d: r6(P.on_grid(L.holdings(V.txns(spark, d)), V.grid(spark), [PID, "asset"], "quantity"), "quantity", n=2), sql("hg", "SELECT portfolio_id, asset, t_ms, round(quantity, 2) + 0.0 AS quantity FROM hg"))
+add("value_series", lambda spark, d: _values(spark, d).groupBy(PID, "t_ms").agg(F.sum(F.col("value").cast(L.MONEY)).alias("value")).select(PID, "t_ms", exact("value", 2, "value")), sql("val", f"SELECT portfolio_id, t_ms, {exact_sql('sum(CAST(value AS DECIMAL(28,4)))')} AS value FROM val GROUP BY 1, 2"))
+add("quantity_series", lambda spark, d: r6(P.on_grid(L.holdings(V.txns(spark, d)), V.GRID, [PID, "asset"], "quantity"), "quantity", n=2), sql("hg", "SELECT portfolio_id, asset, t_ms, round(quantity, 2) + 0.0 AS quantity FROM hg"))
 _AT = V.GRID[0] + 40 * V.GRID[2]
 for _n in ("overview_at", "portfolio_valuation"):
     add(_n, lambda spark, d: r6(r6(_values(spark, d).where(F.col("t_ms") == _AT).select(PID, "asset", F.when(F.col("total") <= 0, 0.0).otherwise(F.col("total")).alias("total"), F.when(F.col("total") > 0, F.col("weight")).alias("weight")), "total", n=2), "weight", n=5), sql("vw", f"SELECT portfolio_id, asset, round(greatest(total, 0), 2) + 0.0 AS total, round(CASE WHEN total > 0 THEN value / total END, 5) + 0.0 AS weight FROM vw WHERE t_ms = {_AT}"))
@@ -120,19 +115,16 @@ _wts = lambda spark, d: V.txns(spark, d).where("type = 'Buy'").groupBy(PID, F.co
 
 def _nav(quantity):
     def run(spark, d):
-        from ..operators.resample import resample
-
-        price = resample(V.prices(spark, d), _ticks(spark, V.prices(spark, d)), "latest")
-        return P.nav(price, _wts(spark, d), quantity).select(PID, "t_ms", off_ties("nav", 2 if quantity else 4))
+        return P.nav(_gridded(V.prices, spark, d), _wts(spark, d), quantity).select(PID, "t_ms", exact("nav", 2 if quantity else 4, "nav"))
 
     return run
 
 
 _WT = "wt AS (SELECT portfolio_id, ticker AS series_id, CAST(count(*) AS DOUBLE) AS weight FROM txn WHERE type = 'Buy' GROUP BY 1, 2), pf AS (SELECT series_id, arg_min(value, t_ms) AS p0 FROM pg GROUP BY 1), tw AS (SELECT portfolio_id, sum(weight) AS t FROM wt GROUP BY 1)"
 _with = lambda q, extra: q.replace("\nSELECT", f",\n{extra}\nSELECT", 1)
-add("nav_target_weighted", _nav(False), _with(sql("pg txn", "SELECT portfolio_id, t_ms, round(sum(weight / t * value / p0) + 0.00137, 4) + 0.0 AS nav FROM wt JOIN tw USING (portfolio_id) JOIN pg USING (series_id) JOIN pf USING (series_id) GROUP BY 1, 2"), _WT))
-add("nav_quantity_based", _nav(True), _with(sql("pg txn", "SELECT portfolio_id, t_ms, round(sum(weight * value) + 0.00137, 2) + 0.0 AS nav FROM wt JOIN pg USING (series_id) GROUP BY 1, 2"), _WT))
-add("nav_override", lambda spark, d: _nav(False)(spark, d).withColumn("nav", F.when(F.col(PID) == 3, F.lit(1.0)).otherwise(F.col("nav"))), _with(sql("pg txn", "SELECT portfolio_id, t_ms, CASE WHEN portfolio_id = 3 THEN 1 ELSE round(sum(weight / t * value / p0) + 0.00137, 4) + 0.0 END AS nav FROM wt JOIN tw USING (portfolio_id) JOIN pg USING (series_id) JOIN pf USING (series_id) GROUP BY 1, 2"), _WT))
+add("nav_target_weighted", _nav(False), _with(sql("pg txn", f"SELECT portfolio_id, t_ms, {exact_sql('sum(weight / t * value / p0)', 4)} AS nav FROM wt JOIN tw USING (portfolio_id) JOIN pg USING (series_id) JOIN pf USING (series_id) GROUP BY 1, 2"), _WT))
+add("nav_quantity_based", _nav(True), _with(sql("pg txn", f"SELECT portfolio_id, t_ms, {exact_sql('sum(weight * value)')} AS nav FROM wt JOIN pg USING (series_id) GROUP BY 1, 2"), _WT))
+add("nav_override", lambda spark, d: _nav(False)(spark, d).withColumn("nav", F.when(F.col(PID) == 3, F.lit(1.0)).otherwise(F.col("nav"))), _with(sql("pg txn", f"SELECT portfolio_id, t_ms, CASE WHEN portfolio_id = 3 THEN 1 ELSE {exact_sql('sum(weight / t * value / p0)', 4)} END AS nav FROM wt JOIN tw USING (portfolio_id) JOIN pg USING (series_id) JOIN pf USING (series_id) GROUP BY 1, 2"), _WT))
 add("target_allocations", lambda spark, d: r6(_wts(spark, d).withColumn("weight", F.col("weight") / F.sum("weight").over(W.partitionBy(PID))), "weight"), _with(sql("pg txn", "SELECT portfolio_id, series_id, round(weight / t, 6) AS weight FROM wt JOIN tw USING (portfolio_id)"), _WT))
 add("universe_filter", lambda spark, d: V.txns(spark, d).join(V.denomination(spark, d).where("currency IN ('USD', 'EUR')").select(F.col("asset").alias("ticker")), "ticker", "left_semi").groupBy(PID).agg(F.count("*").alias("n")), sql("txn den", "SELECT portfolio_id, count(*) AS n FROM txn WHERE ticker IN (SELECT asset FROM den WHERE currency IN ('USD', 'EUR')) GROUP BY 1"))
 
@@ -142,7 +134,7 @@ def _portfolio_analysis(spark, d):
     return nav.groupBy(K).agg(F.round(stats.total_return(), 3).alias("total_return")).withColumnRenamed(K, PID)
 
 
-add("portfolio_analysis", _portfolio_analysis, _with(sql("pg txn", "SELECT portfolio_id, round((arg_max(nav, t_ms) - arg_min(nav, t_ms)) / arg_min(nav, t_ms), 3) AS total_return FROM (SELECT portfolio_id, t_ms, round(sum(weight / t * value / p0) + 0.00137, 4) + 0.0 AS nav FROM wt JOIN tw USING (portfolio_id) JOIN pg USING (series_id) JOIN pf USING (series_id) GROUP BY 1, 2) GROUP BY 1"), _WT))
+add("portfolio_analysis", _portfolio_analysis, _with(sql("pg txn", f"SELECT portfolio_id, round((arg_max(nav, t_ms) - arg_min(nav, t_ms)) / arg_min(nav, t_ms), 3) AS total_return FROM (SELECT portfolio_id, t_ms, {exact_sql('sum(weight / t * value / p0)', 4)} AS nav FROM wt JOIN tw USING (portfolio_id) JOIN pg USING (series_id) JOIN pf USING (series_id) GROUP BY 1, 2) GROUP BY 1"), _WT))
 add("portfolio_grid", lambda spark, d: V.txns(spark, d).where("type = 'Buy' AND portfolio_id < 3").select(PID, F.col("ticker").alias(K)).distinct().join(V.prices(spark, d).select(K, "t_ms"), K).select(PID, "t_ms").distinct(), sql("txn p", "SELECT DISTINCT portfolio_id, p.t_ms FROM (SELECT DISTINCT portfolio_id, ticker FROM txn WHERE type = 'Buy' AND portfolio_id < 3) h JOIN p ON p.series_id = h.ticker"))
 
 

@@ -119,14 +119,14 @@ CTE = {
     "cd": """SELECT portfolio_id, t_ms, pr, type, id, currency, CASE WHEN type = 'Buy' THEN -(quantity * price + fee) WHEN type = 'Sell' THEN quantity * price - fee WHEN type = 'Dividend' AND held <> 0 THEN held * price - fee ELSE 0 END AS delta FROM pos
       UNION ALL SELECT portfolio_id, t_ms, pr, type, id, currency, CASE WHEN type = 'Deposit' THEN quantity - fee ELSE -(quantity + fee) END FROM tp WHERE type IN ('Deposit', 'Withdrawal')""",
     "hold": """SELECT portfolio_id, ticker AS asset, t_ms, arg_max(position, (pr, id)) AS quantity FROM pos GROUP BY 1, 2, 3
-      UNION ALL SELECT portfolio_id, 'CASH:' || currency, t_ms, sum(sum(delta)) OVER (PARTITION BY portfolio_id, currency ORDER BY t_ms) FROM cd GROUP BY portfolio_id, currency, t_ms""",
+      UNION ALL SELECT portfolio_id, 'CASH:' || currency, t_ms, CAST(sum(sum(CAST(delta AS DECIMAL(28,4)))) OVER (PARTITION BY portfolio_id, currency ORDER BY t_ms) AS DOUBLE) FROM cd GROUP BY portfolio_id, currency, t_ms""",
     "g": f"SELECT unnest(generate_series({GRID[0]}, {GRID[1]}, {GRID[2]})) AS t_ms",
     "pg": "SELECT k.series_id, g.t_ms, coalesce(x.value, f.value) AS value FROM (SELECT series_id, arg_min(value, t_ms) AS value FROM p GROUP BY 1) k JOIN g ON true JOIN (SELECT series_id, arg_min(value, t_ms) AS value FROM p GROUP BY 1) f USING (series_id) ASOF LEFT JOIN p x ON k.series_id = x.series_id AND g.t_ms >= x.t_ms",
     "fg": "SELECT k.series_id, g.t_ms, coalesce(x.value, k.value) AS value FROM (SELECT series_id, arg_min(value, t_ms) AS value FROM fx GROUP BY 1) k JOIN g ON true ASOF LEFT JOIN fx x ON k.series_id = x.series_id AND g.t_ms >= x.t_ms",
     "hg": "SELECT k.portfolio_id, k.asset, g.t_ms, coalesce(h.quantity, 0) AS quantity FROM (SELECT DISTINCT portfolio_id, asset FROM hold) k JOIN g ON true ASOF LEFT JOIN hold h ON k.portfolio_id = h.portfolio_id AND k.asset = h.asset AND g.t_ms >= h.t_ms",
     "val": """SELECT hg.portfolio_id, hg.asset, hg.t_ms, hg.quantity, hg.quantity * coalesce(pg.value, 1) * coalesce(fg.value, 1) AS value FROM hg LEFT JOIN den ON hg.asset = den.asset
       LEFT JOIN pg ON pg.series_id = hg.asset AND pg.t_ms = hg.t_ms LEFT JOIN fg ON fg.series_id = CASE WHEN hg.asset LIKE 'CASH:%' THEN substr(hg.asset, 6, 3) ELSE den.currency END AND fg.t_ms = hg.t_ms""",
-    "vw": "SELECT *, sum(value) OVER (PARTITION BY portfolio_id, t_ms) AS total FROM val",
+    "vw": "SELECT *, CAST(sum(CAST(value AS DECIMAL(28,4))) OVER (PARTITION BY portfolio_id, t_ms) AS DOUBLE) AS total FROM val",
     "lr": "SELECT series_id, t_ms, CASE WHEN b > 0 AND value > 0 THEN ln(value / b) END AS value FROM (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY t_ms) AS b, row_number() OVER (PARTITION BY series_id ORDER BY t_ms) AS r FROM p) WHERE r > 1",
     "cal": "SELECT CAST(d AS DATE) AS day FROM generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY) x(d)",
     "hol": "SELECT day FROM cal WHERE (month(day) = 1 AND day(day) = 1) OR (isodow(day) < 6 AND day NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders))",

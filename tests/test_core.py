@@ -115,7 +115,7 @@ def test_ledger_golden(spark):
     prices = make(spark, [10, 5], [0, 6 * DAY], "STCK")
     empty = spark.createDataFrame([], "series_id string, t_ms long, value double")
     den = spark.createDataFrame([("STCK", "EUR")], "asset string, currency string")
-    out = P.value_weights(L.holdings(t), prices, empty, den, spark.range(0, 9 * DAY, DAY).withColumnRenamed("id", "t_ms"))
+    out = P.value_weights(L.holdings(t), prices, empty, den, (0, 8 * DAY, DAY))
     totals = [r["v"] for r in out.groupBy("t_ms").agg(F.round(F.sum("value"), 6).alias("v")).orderBy("t_ms").collect()]
     assert totals == [0, 10000, 9995, 10005, 10000, 9500, 9500, 9500, 9500]
     assert L.append_dedupe(t, t).count() == t.count()
