@@ -9,11 +9,13 @@ the common-prefix lengths sampled at run ends: walking a stretch backwards throu
 match with the neighbouring suffixes grows by one inside a run and is read from the samples at its ends.
 Those matching statistics mark every start whose match reaches ``length``.
 
-An anchor with more than ``MANY`` different stretches is not put into one block: its strings are hashed one
-by one and counted in a shuffle. Nothing is capped, and no group is gathered in one task.
+An anchor with more than ``MANY`` different stretches is dealt to blocks, and each pair of its blocks gets an index of
+its own: a string occurs elsewhere if it does so in one of these pairs. Nothing is capped, and no group is
+gathered in one task.
 
-Defined results: null texts are empty; texts shorter than ``length`` keep all; repeated rows are copies of
-one another; matches never cross rows; bytes need not stay valid UTF-8, so kept texts are binary.
+Defined results: null texts are empty; texts shorter than ``length`` keep all; texts of any length are taken whole;
+repeated rows are copies of one another; matches never cross rows; an empty table gives an empty result; other columns
+are ignored, whatever their names; bytes need not stay valid UTF-8, so kept texts are binary.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_views, cut, mix64, row_key, utf8
+from .common import byte_views, cut, mix64, release, row_key, utf8
 
 LENGTH, GRAM = 400, 64
 #: Bytes of a text looked at together; bytes of stretches indexed together; stretches of one anchor in a block at most.
@@ -188,61 +190,50 @@ def keyed_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(*row_key(id_col, text_col), utf8(F.col(text_col)).alias("data"))
 
 
-def _indexed(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeated starts of single stretches, found in blocks of whole anchors."""
+def _indexed(contexts: DataFrame, length: int, many: int) -> DataFrame:
+    """Repeated starts of single stretches, found in blocks of whole anchors, or in pairs of blocks of a larger anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
 
         def work():
             rows = []
-            for (_, c, k_id, k_text, at, _), runs in zip(held, long_matches([x[5] for x in held], length), strict=True):
+            for (*_, c, k_id, k_text, at, _), runs in zip(held, long_matches([x[-1] for x in held], length), strict=True):
                 if c == 1:
                     rows += [(k_id, k_text, at + lo, at + hi + length) for lo, hi in runs]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_PART)], schema=_PART)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != last and size >= BLOCK:
+                # Pairs of one anchor share blocks, so they never stand in one index.
+                if held and row[:3] != last and (size >= BLOCK or row[0] == last[0]):
                     yield work()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5])
-                last = row[0]
+                size += len(row[-1])
+                last = row[:3]
         if held:
             yield work()
 
-    return contexts.select("fp", "c", "k_id", "k_text", "at", "data").repartition("fp").sortWithinPartitions("fp").mapInArrow(run, PART_SCHEMA)
-
-
-def _counted(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many stretches: strings hashed one by one and counted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c, k_id, k_text, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = len(data) - length + 1
-                hashes = np.frombuffer(b"".join(hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(n)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, np.int64)) for v in (c, k_id, k_text)] + [pa.array(np.arange(n) + at), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])], names=["c", "k_id", "k_text", "a", "w1", "w2"])
-
-    rows = contexts.select("c", "k_id", "k_text", "at", "data").mapInArrow(run, "c long, k_id long, k_text long, a long, w1 long, w2 long")
-    again = rows.groupBy("w1", "w2").agg(F.sum("c").alias("t")).where("t > 1").select("w1", "w2")
-    return rows.where("c = 1").join(again, ["w1", "w2"], "left_semi").select("k_id", "k_text", "a", (F.col("a") + length).alias("b"))
+    blocks = F.ceil(F.col("d") / many)
+    dealt = contexts.withColumn("own", F.pmod(F.xxhash64("h1", "h2"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    pairs = dealt.select("fp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "c", "k_id", "k_text", "at", "data")
+    return pairs.repartition("fp", "p", "q").sortWithinPartitions("fp", "p", "q").mapInArrow(run, PART_SCHEMA)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
     """(k_id, k_text, spans): byte ranges covered by strings that also start elsewhere; they may overlap."""
     occ = cut(occurrences(docs, length, id_col, text_col))
     # Most anchors occur once: what follows sees only the others.
-    common = occ.groupBy("fp").agg(F.count("*").alias("t")).where("t > 1").select("fp")
+    # Written, so that the join that follows can split a hot anchor.
+    common = cut(occ.groupBy("fp").agg(F.count("*").alias("t")).where("t > 1").select("fp"))
     shared = cut(occ.join(common, "fp", "left_semi"))
+    release(occ, common)
     hull = shared.groupBy("fp", "h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("k_id", "k_text", "at", "n")).alias("r"))
     anchor = hull.groupBy("fp").agg(F.count("*").alias("d"))
     wanted = cut(hull.join(anchor, "fp").where("d > 1 OR c > 1").select("fp", "h1", "h2", "c", "d", "r.*"))
     contexts = wanted.where("d > 1").join(keyed_bytes(docs, id_col, text_col), ["k_id", "k_text"]).select("fp", "h1", "h2", "c", "d", "k_id", "k_text", "at", F.expr(f"substring(data, int(at) + 1, n + {length - 1})").alias("data"))
-    parts = _indexed(contexts.where(F.col("d") <= many), length)
-    if not wanted.where(F.col("d") > many).isEmpty():
-        parts = parts.unionByName(_counted(contexts.where(F.col("d") > many), length))
+    parts = _indexed(contexts, length, many)
     again = wanted.where("c > 1").select("fp", "h1", "h2")
     whole = shared.join(again, ["fp", "h1", "h2"], "left_semi").select("k_id", "k_text", F.col("at").alias("a"), (F.col("at") + F.col("n") + length - 1).alias("b"))
     return whole.unionByName(parts).groupBy("k_id", "k_text").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
@@ -282,6 +273,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
 
 def op5_run_length_dedup(spark, sf_dir: str) -> DataFrame:
-    """Every document without its repeated 400-byte strings, as digests."""
+    """Every document without its repeated 400-byte strings: digests, the removed byte ranges, and what is left as text (broken characters replaced)."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    left = F.expr("make_valid_utf8(cast(kept AS string))").alias("text")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "removed", left)
