@@ -4,8 +4,9 @@ A topology is a list of leaves (region, rack, shard, weight, epoch). A row desce
 every child draws an exponential variate from a hash of (row key, child) with the child's weight as
 rate, and the smallest draw wins, so a child receives rows in proportion to its weight. A changed
 weight changes only that child's own draw: rows move into or out of the subtrees whose weights
-changed, and nowhere else. Leaves added in a later epoch form their own branches under the same region
-and rack, so growth by one shard takes rows only into that shard.
+changed, and nowhere else. A leaf added in a later epoch draws at the root, beside the regions, with its own
+weight: inside its region it would also raise that region's draw, and rows would move into the region's old
+shards. So growth by one shard takes rows only into that shard, an equal share from each of the others.
 
 The law of ``assign`` is "key": row key and topology decide, nothing else does.
 
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: The production tree: 3 regions of 2 racks of 4 shards; growth joins the first region and rack.
 REGIONS, RACKS, PER_RACK = 3, 2, 4
+#: Parts of a shard that are numbered apart, at any size of the table.
+BUCKETS = 1024
 
 
 @dataclass(frozen=True)
@@ -80,23 +83,20 @@ def shard_of(key: Column, leaves: list[Leaf]) -> Column:
     return _descend(key, live, levels, "").cast("int")
 
 
-def assign(df: DataFrame, key_col: str, leaves: list[Leaf], grown: list[Leaf] | None = None, buckets: int | None = None) -> DataFrame:
+def assign(df: DataFrame, key_col: str, leaves: list[Leaf], grown: list[Leaf] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Add ``shard``, a gapless ``slot`` within it, and ``grown_shard`` under a second topology.
 
     Slots are dealt without gathering a shard in one task: rows are numbered within (shard, bucket of the
-    key) and each bucket starts at the summed counts of those before it. ``buckets`` follows the
-    row count unless given; it changes slots, never shards.
+    row) and each bucket starts at the summed counts of those before it. Their number changes slots, never shards.
     """
     kept = [c for c in df.columns if c not in ("shard", "slot", "grown_shard", "_bucket")]
-    if buckets is None:
-        buckets = max(8, df.select(key_col).count() // (len(leaves) * 20_000))
     key = F.col(key_col).cast("string")
     key = F.coalesce(key, F.lit("\x00null"))
     out = df.select(
         *kept,
         shard_of(key, leaves).alias("shard"),
         (shard_of(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(buckets)).cast("int").alias("_bucket"),
+        F.pmod(F.xxhash64(*kept, F.lit("slot")), F.lit(buckets)).cast("int").alias("_bucket"),
     )
     sizes = out.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))  # shards x buckets rows
     before = sizes.select(

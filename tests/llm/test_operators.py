@@ -64,6 +64,32 @@ def test_sharding_law_and_slots(spark):
     assert sharding.assign(docs.limit(0), "doc_id", sharding.tree()).count() == 0
 
 
+def test_draws_recomputed_in_python(spark):
+    """Every descent again with plain Python: exponential draws from seeded hashes, level by level."""
+    import math
+
+    import xxhash
+
+    def draw(key, node, weight):
+        bits = xxhash.xxh64(node.encode(), seed=xxhash.xxh64(key.encode(), seed=42).intdigest()).intdigest() >> 12
+        return -math.log((bits + 0.5) / (1 << 52)) / weight
+
+    def descend(key, leaves, path, depth):
+        if depth == 3:
+            return leaves[0].shard
+        groups = {}
+        for leaf in leaves:
+            groups.setdefault(((leaf.epoch, leaf.region), leaf.rack, leaf.shard)[depth], []).append(leaf)
+        best = min(groups, key=lambda g: draw(key, f"{path}/{g}", sum(x.weight for x in groups[g]))) if len(groups) > 1 else next(iter(groups))
+        return descend(key, groups[best], f"{path}/{best}", depth + 1)
+
+    weighted = [sharding.Leaf(x.region, x.rack, x.shard, 1.0 + x.shard % 3, x.epoch) for x in sharding.tree(26)]
+    df = spark.range(400).select(F.col("id").cast("string").alias("k"))
+    for leaves in (sharding.tree(24), weighted):
+        for r in df.select("k", sharding.shard_of(F.col("k"), leaves).alias("shard")).collect():
+            assert r["shard"] == descend(r["k"], leaves, "", 0)
+
+
 def test_changed_weights_move_rows_within_their_subtrees(spark):
     base = sharding.tree(24)
     heavier = [sharding.Leaf(x.region, x.rack, x.shard, 3.0 if x.shard == 9 else 1.0) for x in base]
@@ -143,6 +169,23 @@ def test_components_against_brute_force(spark, monkeypatch, block):
     assert kept == sorted(k for k, c in enumerate(want) if k == c)
 
 
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """Near copies beside texts that share half their words with them: block pairs give the components of brute force."""
+    monkeypatch.setattr(near, "BLOCK", 40)
+    rng = random.Random(12)
+    base = prose(rng, 60).split(" ")
+    texts = []
+    for k in range(240):
+        w = list(base)
+        for _ in range(rng.randint(0, 5) if k % 4 else rng.randint(6, 16)):
+            w[rng.randrange(len(w))] = f"other{rng.randint(0, 400)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(docs, 2, 80).collect()}
+    want, _ = components(texts, 2, 80)
+    assert len(set(want)) > 10 and [got[k] for k in range(len(texts))] == want
+
+
 def test_near_edges_and_posterior(spark):
     docs = edge_docs(spark, [prose(random.Random(3), 50)])
     kept = near.keep_first(docs)
