@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import core_queries, portfolio_queries, session_queries
+from .plans import core_queries, portfolio_queries, session_queries, store_queries
 
 
 def queries() -> dict:
-    return core_queries.QUERIES | portfolio_queries.QUERIES | session_queries.QUERIES
+    return core_queries.QUERIES | portfolio_queries.QUERIES | session_queries.QUERIES | store_queries.QUERIES
 
 
 def oracle_sql() -> dict:
-    return core_queries.ORACLES | portfolio_queries.ORACLES | session_queries.ORACLES
+    return core_queries.ORACLES | portfolio_queries.ORACLES | session_queries.ORACLES | store_queries.ORACLES

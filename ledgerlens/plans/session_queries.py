@@ -110,6 +110,20 @@ add("portfolio_load", lambda spark, d: r6(_loaded(spark, d), "quantity", n=2), P
 add("portfolio_metadata", lambda spark, d: PQ._snapshots(spark, d).groupBy(PID).agg(F.max("t_ms").alias("t_ms")).join(V.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n"), F.col("n_name").alias("name")), F.col(PID) == F.col("n")).select(PID, "name", F.lit("USD").alias("base_currency"), "t_ms"), sql("hold", "SELECT portfolio_id, n_name AS name, 'USD' AS base_currency, max(t_ms) AS t_ms FROM hold JOIN nation ON n_nationkey = portfolio_id GROUP BY 1, 2"))
 add("portfolio_valuation", lambda spark, d: _values(spark, d).where(F.col("t_ms") == _LAST).groupBy(PID).agg(F.max("total").alias("total"), F.count_if(F.col("quantity") != 0).alias("n_assets")).withColumn("total", exact("total")), sql("vw", f"SELECT portfolio_id, {exact_sql('max(total)')} AS total, count(*) FILTER (quantity <> 0) AS n_assets FROM vw WHERE t_ms = {_LAST} GROUP BY 1"))
 
+_GRIDS = """held AS (SELECT portfolio_id, asset FROM hold GROUP BY 1, 2 HAVING bool_or(quantity <> 0)),
+want AS (SELECT portfolio_id, currency FROM held JOIN den USING (asset) WHERE currency <> 'USD' UNION SELECT portfolio_id, substr(asset, 6) FROM held WHERE asset LIKE 'CASH:%' AND substr(asset, 6) <> 'USD')"""
+add("portfolio_grid", PQ._grid_all, _with(sql("hold den p fx", "SELECT DISTINCT portfolio_id, t_ms FROM (SELECT portfolio_id, p.t_ms FROM held JOIN p ON p.series_id = held.asset UNION ALL SELECT portfolio_id, fx.t_ms FROM want JOIN fx ON fx.series_id = want.currency)"), _GRIDS))
+
+# Transaction logs: all transactions, with ids that no two portfolios share.
+_log = lambda spark, d: V.txns(spark, d).withColumn("id", F.concat_ws(":", F.col(PID).cast("string"), "id"))
+_LOG = "lg AS (SELECT * REPLACE (concat_ws(':', portfolio_id, id) AS id) FROM txn)"
+_of_log = lambda body: _with(sql("txn", body), _LOG)
+_half = PQ._half
+add("txn_append_dedupe", lambda spark, d: L.append_dedupe(_half(_log(spark, d), 0), _log(spark, d).where(F.col("t_ms") < MID)).select(PID, "id"), _of_log(f"SELECT portfolio_id, id FROM lg WHERE length(id) % 2 = 0 OR t_ms < {MID}"))
+add("txn_add", lambda spark, d: L.append_dedupe(_half(_log(spark, d), 0), _half(_log(spark, d), 1)).groupBy(PID).agg(F.count("*").alias("n")), _of_log("SELECT portfolio_id, count(*) AS n FROM lg GROUP BY 1"))
+add("txn_delete", lambda spark, d: _log(spark, d).join(_half(_log(spark, d), 0).select("id"), "id", "left_anti").select(PID, "id"), _of_log("SELECT portfolio_id, id FROM lg WHERE length(id) % 2 = 1"))
+add("txn_update", lambda spark, d: _half(_log(spark, d), 1).select(PID, "id", "quantity").unionByName(_half(_log(spark, d), 0).select(PID, F.concat("id", F.lit("-v2")).alias("id"), (F.col("quantity") + 1).alias("quantity"))), _of_log("SELECT portfolio_id, CASE WHEN length(id) % 2 = 1 THEN id ELSE id || '-v2' END AS id, CASE WHEN length(id) % 2 = 1 THEN quantity ELSE quantity + 1 END AS quantity FROM lg"))
+
 # Calendars from the first to the last order and beyond, and recurrences of every order.
 _LOCAL = 9 * HOUR
 add("calendar_schedule", lambda spark, d: C.trading_days(spark, PQ._A, PQ._B, V.holidays(spark, d)).select((F.unix_millis(F.col("day").cast("timestamp")) - _LOCAL).alias("t_ms")), sql("td", f"SELECT epoch_ms(CAST(day AS TIMESTAMP)) - {_LOCAL} AS t_ms FROM td"))

@@ -67,7 +67,7 @@ def import_broker(spark: SparkSession, path: str, base: str = "EUR", ticker_curr
     allowed = F.when(cash, kind.isin("DEPOSIT", "WITHDRAWAL")).otherwise(kind.isin("BUY", "SELL", "DIVIDEND"))
     own = F.upper(F.col("Currency")) if "Currency" in raw.columns else F.lit(None).cast("string")
     rows = raw.where(F.trim("Trade Date").rlike(r"^\d{8}$") & allowed)
-    rows = rows.join(F.broadcast(ticker_currency.select(F.col("ticker").alias("_t"), F.col("currency").alias("_c"))), F.col("Symbol") == F.col("_t"), "left") if ticker_currency is not None else rows.withColumn("_c", F.lit(None).cast("string"))
+    rows = rows.join(ticker_currency.select(F.col("ticker").alias("_t"), F.col("currency").alias("_c")), F.col("Symbol") == F.col("_t"), "left") if ticker_currency is not None else rows.withColumn("_c", F.lit(None).cast("string"))
     names = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
     out = rows.select(
         F.unix_millis(F.to_timestamp(F.trim("Trade Date"), "yyyyMMdd")).alias("t_ms"), names[kind].alias("type"), F.when(~cash, F.col("Symbol")).alias("ticker"),
