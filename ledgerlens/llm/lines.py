@@ -49,7 +49,10 @@ BROADCAST_CLASSES = 200_000
 
 def plain(text: str) -> Column:
     """A text with each white-space character other than the line break as a blank; null counts as empty."""
-    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\x0b\f\r", F.coalesce(F.col(text), F.lit("")))
+    whole, odd = F.coalesce(F.col(text), F.lit("")), "\t\x0b\f\r"
+    # Most texts hold none of these; asking takes a fraction of the time of replacing.
+    held = reduce(Column.__or__, [F.contains(whole, F.lit(c)) for c in odd])
+    return F.when(held, reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), odd, whole)).otherwise(whole)
 
 
 def distinct_words(line: Column) -> Column:
@@ -81,15 +84,24 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row a line with words: its place, set hashes, set size, parity map and prefix (sort keys of the words that another line may hold)."""
     # A folded constant: lambdas may hold no subquery, and a joined column would be copied into each row.
     codes = F.split(F.lit(word_codes(docs, text_col).first()["codes"]), ",").cast("array<tinyint>")
-    lines = docs.select(*row_key(id_col, text_col), F.posexplode(F.split(plain(text_col), "\n", -1)).alias("line_no", "line")).where(F.trim("line") != "")
-    hashes = F.transform(distinct_words(F.col("line")), lambda w: F.xxhash64(w))
-    keys = F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(codes, _slot(h)).cast("long"), CODE).bitwiseOR(F.shiftrightunsigned(h, 64 - CODE))))
+    # Keys come before the lines are dealt out, else each line would carry and hash the whole text again.
+    texts = docs.select(*row_key(id_col, text_col), plain(text_col).alias("t"))
+    lines = texts.select("k_id", "k_text", F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line")).where(F.trim("line") != "")
+    # Numbers are told apart, and sorted where none can be null, as primitive values.
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    code = lambda h: F.coalesce(F.get(codes, _slot(h)), F.lit(0).cast("tinyint")).cast("long")
+    keys = F.sort_array(F.transform(hashes, lambda h: F.shiftleft(code(h), CODE).bitwiseOR(F.shiftrightunsigned(h, 64 - CODE))))
     keyed = lines.select("k_id", "k_text", "line_no", keys.alias("w"))
     n = F.size("w")
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    # Parity of the low six bits over all words, and over those with the seventh bit; their difference is the other half.
+    bit = lambda k, one: F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))
+    parity = lambda one: F.aggregate("w", F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(bit(k, one(k))))
     shared = F.filter(F.slice("w", F.lit(1), _prefix_length(n)), lambda k: k >= F.lit(2 << CODE))
-    half = lambda z: F.aggregate("w", F.lit(0).cast("long"), lambda m, k: F.when(k.bitwiseAND(F.lit(64)) == z, m.bitwiseXOR(bit(k))).otherwise(m))
-    return keyed.select("k_id", "k_text", "line_no", F.xxhash64("w").alias("s"), F.xxhash64(F.lit(1), "w").alias("t"), n.alias("n"), half(0).alias("m"), half(64).alias("m2"), shared.alias("prefix"))
+    facts = keyed.select(
+        "k_id", "k_text", "line_no", F.xxhash64("w").alias("s"), F.xxhash64(F.lit(1), "w").alias("t"), n.alias("n"),
+        parity(lambda k: F.lit(1).cast("long")).alias("low"), parity(lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1).cast("long"))).alias("m2"), shared.alias("prefix"),
+    )
+    return facts.select("k_id", "k_text", "line_no", "s", "t", "n", F.col("low").bitwiseXOR(F.col("m2")).alias("m"), "m2", "prefix")
 
 
 #: What two classes that share a prefix word must fulfil to reach 4/5 if it is their first; q holds a set's size, then the word's place.
@@ -170,9 +182,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     wanted = cut(wanted.withColumn("many", F.size("nos")))
     few = (wanted.agg(F.sum("many")).first()[0] or 0) <= BROADCAST_CLASSES
     # Lines of a text are split once, however many of them are asked for.
-    texts = docs.select(*row_key(id_col, text_col), plain(text_col).alias("t"))
+    texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("t"))
     found = texts.join(F.broadcast(wanted) if few else wanted, ["k_id", "k_text"])
-    asked = found.select("k_id", "k_text", "nos", F.split("t", "\n", -1).alias("ls")).select("k_id", "k_text", F.explode(F.transform("nos", lambda i: F.struct(i.alias("line_no"), F.get("ls", i).alias("line")))).alias("x"))
+    asked = found.select("k_id", "k_text", "nos", F.split(plain("t"), "\n", -1).alias("ls")).select("k_id", "k_text", F.explode(F.transform("nos", lambda i: F.struct(i.alias("line_no"), F.get("ls", i).alias("line")))).alias("x"))
     # Repeated rows give a line many times; one is enough.
     words = asked.groupBy(F.struct("k_id", "k_text", "x.line_no").alias("e")).agg(F.first("x.line").alias("line")).select("e", distinct_words(F.col("line")).alias("ws"))
     of = lambda name, z: words.select(F.col("e").alias(name), F.col("ws").alias(z))
