@@ -4,11 +4,13 @@ Candidate blocks are runs of lines that use the vocabulary of license notices an
 strong cue; a cue inside a longer prose line gives the long notice that stands there, or else the words
 around it. Each block is compressed
 alone and with every template as a raw Zstandard dictionary; templates are ranked by how much they
-shrink the block, and the leaders are confirmed by the exact words missing from or added to the template.
+shrink the block, and the leaders, with all others that could still be confirmed, are confirmed by the exact
+words missing from or added to the template.
 
 A text without a cue is left out by a regular expression in the scan, before any Python.
 
-Defined results: null and empty texts give no row; a block that no template confirms is returned with
+Defined results: null and empty texts and empty tables give no row; texts are read whole, whatever their length; of
+templates that are equally near the better ranked wins; a block that no template confirms is returned with
 verdict "unknown"; a repeated document row gives its rows again; other columns are ignored.
 """
 
@@ -79,6 +81,11 @@ def _long() -> list[tuple[list[str], Counter]]:
     return [(w, Counter(w)) for w in found if len(w) > AROUND]
 
 
+@cache
+def _counted() -> list[Counter]:
+    return [Counter(words(t)) for _, t in TEMPLATES]
+
+
 @cache
 def _compressors() -> list:
     plain = zstandard.ZstdCompressor(level=9, write_content_size=False, write_dict_id=False)
@@ -171,18 +178,26 @@ def differences(block: str, template: str) -> tuple[list[str], list[str]]:
 
 
 def judge(block: str) -> tuple:
-    """(license_id, reduction, missing, added, verdict) of a block."""
+    """(license_id, reduction, missing, added, verdict) of a block.
+
+    The leaders are compared with the block word for word, and so is each template further down that holds
+    words enough of it to be confirmed. Of the confirmed ones the nearest wins, else the nearest leader.
+    """
     best = None
     order = rank(block)
-    # Templates that tie with the last leader are confirmed as well.
-    for reduction, i in [x for x in order if x[0] >= order[CONFIRM - 1][0]]:
+    count = Counter(words(block))
+    for reduction, i in order:
+        template = _counted()[i]
+        allowed = MAX_DIFFERENCE * template.total()
+        # Templates that tie with the last leader are leaders as well.
+        if reduction < order[CONFIRM - 1][0] and template.total() - (template & count).total() > allowed:
+            continue
         missing, added = differences(block, TEMPLATES[i][1])
         n = max(len(missing), len(added))  # a changed word counts once
-        if best is None or n < best[0]:
-            best = (n, i, reduction, missing, added)
-    n, i, reduction, missing, added = best
-    size = len(words(TEMPLATES[i][1]))
-    verdict = "exact" if n == 0 else "variant" if n <= MAX_DIFFERENCE * size else "unknown"
+        if best is None or (n > allowed, n) < best[0]:
+            best = (n > allowed, n), i, reduction, missing, added
+    (beyond, n), i, reduction, missing, added = best
+    verdict = "unknown" if beyond else "exact" if n == 0 else "variant"
     return TEMPLATES[i][0] if verdict != "unknown" else None, reduction, missing, added, verdict
 
 

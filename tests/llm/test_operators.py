@@ -229,6 +229,33 @@ def test_license_forms_in_documents_and_prose():
     assert {licenses.judge(b)[0] for _, _, b in licenses.blocks(both)} >= {"MIT", "CC-BY-NC-4.0"}
 
 
+def test_license_of_least_difference():
+    """Changed notices against a comparison with every template: whatever its rank, the nearest that fits is found."""
+    rng = random.Random(8)
+    for _, text in licenses.TEMPLATES * 4:
+        block = text.split()
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randrange(len(block))
+            block[k : k + 1] = rng.choice([[], [block[k], "river"], ["stone"], block[k : k + 1] * 2])
+            block = block or ["license"]
+        block = " ".join(block)
+        fits = []
+        for license_id, template in licenses.TEMPLATES:
+            n = max(map(len, licenses.differences(block, template)))
+            if n <= licenses.MAX_DIFFERENCE * len(licenses.words(template)):
+                fits.append((n, license_id))
+        license_id, _, missing, added, verdict = licenses.judge(block)
+        if not fits:
+            assert (license_id, verdict) == (None, "unknown")
+            continue
+        n = max(len(missing), len(added))
+        assert (n, license_id) in fits and n == min(fits)[0] and verdict == ("variant" if n else "exact")
+
+
+def test_licenses_of_an_empty_table(spark):
+    assert licenses.scan(spark.createDataFrame([], "doc_id long, text string, block string")).count() == 0
+
+
 # Pieces.
 def test_pieces_equal_the_library_and_round_trip(spark):
     import sentencepiece
