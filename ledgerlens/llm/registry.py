@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, lines, near, pieces, quality, secret_scan, sharding, suffix, warc
+from . import decontaminate, licenses, lines, mixing, near, periodic, pieces, quality, secret_scan, sharding, suffix, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_streaming_pieces": pieces.op8_streaming_pieces,
         "op9_seekable_warc": warc.op9_seekable_warc,
         "op10_line_join": lines.op10_line_join,
+        "op12_periodic_runs": periodic.op12_periodic_runs,
+        "op13_water_filling": mixing.op13_water_filling,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_quality_rules": quality.ORACLE, "op9_seekable_warc": warc.ORACLE}
+    return {"op3_quality_rules": quality.ORACLE, "op9_seekable_warc": warc.ORACLE, "op13_water_filling": mixing.ORACLE}
