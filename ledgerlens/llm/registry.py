@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, lines, mixing, near, periodic, pieces, quality, secret_scan, sharding, suffix, warc
+from . import align, decontaminate, licenses, lines, mixing, near, periodic, pieces, quality, secret_scan, sharding, suffix, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_streaming_pieces": pieces.op8_streaming_pieces,
         "op9_seekable_warc": warc.op9_seekable_warc,
         "op10_line_join": lines.op10_line_join,
+        "op11_lockstep_alignment": align.op11_lockstep_alignment,
         "op12_periodic_runs": periodic.op12_periodic_runs,
         "op13_water_filling": mixing.op13_water_filling,
     }
