@@ -31,6 +31,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ MARK = "▁"
 #: A tokens that one place of the state vector goes through; characters of a batch; links that a block holds.
 LANE, BATCH_CHARS, BLOCK_LINKS = 256, 1 << 22, 1 << 21
 #: Pieces and ids remembered by a worker.
-MEMO_PIECES, MEMO_IDS = 400_000, 1 << 23
+MEMO_PIECES, MEMO_IDS = 600_000, 1 << 23
 #: Pairs of a group expanded at once.
 AT_ONCE = 1 << 22
 
@@ -77,12 +78,19 @@ class Tokens:
     b_at: np.ndarray
 
 
+#: Fixed value: how byte-level vocabularies of this kind split texts before merging.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A text by which the quick encoder of ASCII pieces is held against the library, when a worker begins.
+PROBE = " It's  we'll DON'T 12345 a_b(c)==<d>; \t\n\n aaaaaaaaaaaaa %%%%% <|endoftext|> http://x.yz/?q=1&r=%20"
+#: Longest piece that the quick encoder takes.
+QUICK = 64
+
+
 class Tokenizers:
     """Both vocabularies, and what is remembered of pieces that were encoded."""
 
     #: A blank that begins a token of either, whatever stands around; two or more white characters make no such place.
     apart = re.compile(r"(?<=\S) (?=\S)")
-    uneven = re.compile(r"\s | \s|^ | $")
 
     def __init__(self, a_file: str, b_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -101,43 +109,87 @@ class Tokenizers:
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace(MARK, " ").encode())
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.quick = self.quick_encoder()
         self.forget()
 
+    def quick_encoder(self):
+        """A faster encoder of the same merges, where ids follow the order of merging; only for ASCII, where all libraries split alike."""
+        import tiktoken
+
+        special = set(self.a.get_added_tokens_decoder())
+        ranks = {x: i for i, x in enumerate(self.a_bytes) if i not in special}
+        try:
+            encode = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            return encode if encode(PROBE) == self.a.encode(PROBE, add_special_tokens=False).ids else None
+        except (ValueError, KeyError):  # merges of another order
+            return None
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.a_ids, self.b_ids = array("i"), array("i")
         self.a_from, self.b_from, self.fits = array("q", [0]), array("q", [0]), bytearray()
 
+    def a_of(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of A of each piece, a blank before it."""
+        if self.quick is None:
+            return [x.ids for x in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
+        quick = self.quick
+        out = [quick(" " + p) if len(p) <= QUICK and p.isascii() else None for p in pieces]
+        slow = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(slow, self.a.encode_batch_fast([" " + pieces[k] for k in slow], add_special_tokens=False), strict=True):
+            out[k] = x.ids
+        return out
+
     def learn(self, pieces: list[str]) -> None:
-        """Encode pieces, a blank before each; ``fits`` says whether both give its bytes again."""
-        of_b = self.b.encode(pieces, num_threads=1)
-        for piece, x, b in zip(pieces, self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False), of_b, strict=True):
-            a, raw = x.ids, b" " + piece.encode("utf-8", "surrogatepass")
-            self.known[piece] = len(self.fits)
-            fit = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
-            self.fits.append(fit)
-            if fit:
-                self.a_ids.extend(a)
-                self.b_ids.extend(b)
-            self.a_from.append(len(self.a_ids))
-            self.b_from.append(len(self.b_ids))
+        """Encode pieces; ``fits`` says whether both vocabularies give a blank and the piece again."""
+        of_a, of_b = self.a_of(pieces), self.b.encode(pieces, num_threads=1)
+        raw = [b" " + p.encode("utf-8", "surrogatepass") for p in pieces]
+        want = b"".join(raw)
+        a, b = list(chain.from_iterable(of_a)), list(chain.from_iterable(of_b))
+        lengths = lambda ids, flat, size: np.bincount(np.repeat(np.arange(len(ids)), list(map(len, ids))), size[flat], len(ids))
+        sizes = np.array(list(map(len, raw)))
+        good = b"".join(map(self.a_bytes.__getitem__, a)) == want == b"".join(map(self.b_bytes.__getitem__, b))
+        if good and (lengths(of_a, a, self.a_size) == sizes).all() and (lengths(of_b, b, self.b_size) == sizes).all():
+            fits = [True] * len(pieces)
+        else:
+            fits = [b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, r in zip(of_a, of_b, raw, strict=True)]
+            of_a, of_b = ([x if f else [] for x, f in zip(of, fits, strict=True)] for of in (of_a, of_b))
+            a, b = list(chain.from_iterable(of_a)), list(chain.from_iterable(of_b))
+        self.known.update(zip(pieces, range(len(self.fits), len(self.fits) + len(pieces)), strict=True))
+        self.fits.extend(fits)
+        self.a_ids.extend(a)
+        self.b_ids.extend(b)
+        for starts, ids in ((self.a_from, of_a), (self.b_from, of_b)):
+            starts.frombytes((starts[-1] + np.cumsum(np.array(list(map(len, ids)), np.int64))).tobytes())
+
+    def pieces(self, text: str | None) -> list[str]:
+        """A text cut at the blanks that begin a token of either."""
+        if not text:
+            return []
+        # Where every white run is one blank or line end, all blanks do.
+        return text.split(" ") if " ".join(text.split()) == text.replace("\n", " ") else self.apart.split(text)
 
     def encode(self, texts: list[str | None]) -> Tokens:
         """Tokens of each text; none for one that either tokenizer does not give back."""
         if len(self.known) > MEMO_PIECES or len(self.a_ids) + len(self.b_ids) > MEMO_IDS:
             self.forget()
-        split = [[] if not t else self.apart.split(t) if self.uneven.search(t) else t.split(" ") for t in texts]
-        known = self.known
-        new = list(dict.fromkeys(p for t in split for p in t if p not in known))
+        split = list(map(self.pieces, texts))
+        sizes = np.array(list(map(len, split)), np.int64)
+        flat = list(chain.from_iterable(split))
+        found = list(map(self.known.get, flat))
+        missing = [k for k, x in enumerate(found) if x is None]
+        new = list(dict.fromkeys(flat[k] for k in missing))
         for k in range(0, len(new), 4096):
             self.learn(new[k : k + 4096])
-        sizes = np.array(list(map(len, split)), np.int64)
-        which = np.fromiter((known[p] for t in split for p in t), np.int64, int(sizes.sum()))
+        for k in missing:
+            found[k] = self.known[flat[k]]
+        which = np.array(found, np.int64)
+        del split, flat, found
         owner = np.repeat(np.arange(len(texts)), sizes)
-        fits = np.ones(len(texts), bool)
-        fits[owner[np.frombuffer(bytes(self.fits), np.uint8)[which] == 0]] = False
-        keep = fits[owner]
-        which, owner = which[keep], owner[keep]
+        unfit = owner[np.frombuffer(bytes(self.fits), np.uint8)[which] == 0]
+        if len(unfit):
+            keep = ~np.isin(owner, unfit)
+            which, owner = which[keep], owner[keep]
         out = []
         for ids, starts, size in ((self.a_ids, self.a_from, self.a_size), (self.b_ids, self.b_from, self.b_size)):
             starts = np.array(starts)
@@ -204,10 +256,15 @@ def groups(t: Tokens) -> Groups:
     return Groups(na, nb, np.repeat(number, na), np.repeat(number, nb), np.searchsorted(last_a, t.a_at), i, j)
 
 
-def _weighted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the summed weights of each."""
-    if not len(keys):
-        return keys, weights
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of the weights of each."""
     order = np.argsort(keys, kind="stable")
     keys, weights = keys[order], weights[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -223,10 +280,10 @@ def links(t: Tokens, g: Groups, width: int) -> tuple[np.ndarray, np.ndarray, np.
     mine = plain[g.of_a[g.link_a]]
     a, b = g.link_a[mine], g.link_b[mine]
     keys = (doc_of[g.of_a[a]] << code_bits) + t.a[a] * width + t.b[b]
-    keys, weights = _weighted(keys, np.ones(len(keys), np.int64))
+    keys, weights = _counted(keys)
     if not plain.all():
         # Distinct ids of each group of several tokens on both sides.
-        pick = lambda of, ids: _weighted(*((of[~plain[of]] << 32) + ids[~plain[of]], np.ones((~plain[of]).sum(), np.int64)))
+        pick = lambda of, ids: _counted((of[~plain[of]] << 32) + ids[~plain[of]])
         (ka, ca), (kb, cb) = pick(g.of_a, t.a), pick(g.of_b, t.b)
         low = np.searchsorted(kb, (ka >> 32) << 32)
         many = np.searchsorted(kb, ((ka >> 32) + 1) << 32) - low
@@ -238,26 +295,31 @@ def links(t: Tokens, g: Groups, width: int) -> tuple[np.ndarray, np.ndarray, np.
             x = np.repeat(np.arange(begin, end), count)
             y = np.repeat(low[begin:end] - (np.cumsum(count) - count), count) + np.arange(count.sum())
             more = (doc_of[ka[x] >> 32] << code_bits) + (ka[x] & 0xFFFFFFFF) * width + (kb[y] & 0xFFFFFFFF)
-            keys, weights = _weighted(np.concatenate([keys, more]), np.concatenate([weights, ca[x] * cb[y]]))
+            keys, weights = _summed(np.concatenate([keys, more]), np.concatenate([weights, ca[x] * cb[y]]))
             begin = end
     return keys >> code_bits, keys & ((1 << code_bits) - 1), weights
 
 
-def signatures(t: Tokens, g: Groups, a_names: list[str]) -> list[str]:
-    """``a1,a2|b1;a3|b2,b3`` of each document: the ids of its groups in order. ``a_names`` holds each id with ``,``, with ``|`` and with ``;`` after it."""
-    size = len(a_names) // 3
+def signatures(t: Tokens, g: Groups, marked: tuple[np.ndarray, np.ndarray]) -> list[memoryview]:
+    """``a1,a2|b1;a3|b2,b3`` of each document: the ids of its groups in order. ``marked`` is what ``marked_ids`` gives."""
+    table, width = marked
+    size = len(width) // 3
     last = lambda of: np.diff(of, append=-1) != 0
     codes = np.zeros(len(t.a) + len(t.b), np.int64)
     before_b, after_a = np.cumsum(g.nb) - g.nb, np.cumsum(g.na)
     codes[np.arange(len(t.a)) + before_b[g.of_a]] = t.a + size * last(g.of_a)
     codes[np.arange(len(t.b)) + after_a[g.of_b]] = t.b + 2 * size * last(g.of_b)
-    at = t.a_at + t.b_at
-    text = list(map(a_names.__getitem__, codes.tolist()))
-    return ["".join(text[x:y])[:-1] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    chars = table[codes]
+    text = memoryview(chars[chars > 0])
+    at = np.concatenate([[0], np.cumsum(width[codes])])[t.a_at + t.b_at].tolist()
+    return [text[x : max(x, y - 1)] for x, y in zip(at[:-1], at[1:], strict=True)]
 
 
-def names(n: int) -> list[str]:
-    return [f"{i}{mark}" for mark in ",|;" for i in range(n)]
+def marked_ids(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids below n as digits with ``,``, with ``|`` and with ``;`` after them, as rows of bytes filled up with zeros, and their lengths."""
+    names = [f"{i}{mark}".encode() for mark in ",|;" for i in range(n)]
+    longest = max(map(len, names))
+    return np.frombuffer(b"".join(x.ljust(longest, b"\0") for x in names), np.uint8).reshape(-1, longest), np.array(list(map(len, names)))
 
 
 def _batches(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[list, list]]:
@@ -322,7 +384,7 @@ def blocks(docs: DataFrame, files: tuple[str, str], id_col: str, text_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = loaded(files)
-        width, a_names = len(tools.b_bytes), names(max(len(tools.a_bytes), len(tools.b_bytes)))
+        width, marked = len(tools.b_bytes), marked_ids(max(len(tools.a_bytes), len(tools.b_bytes)))
         base, number = TaskContext.get().partitionId() << 32, 0
         stats: list[list] = [[] for _ in range(7)]
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
@@ -341,7 +403,7 @@ def blocks(docs: DataFrame, files: tuple[str, str], id_col: str, text_col: str,
             t = tools.encode(texts)
             g = groups(t)
             doc, code, weight = links(t, g, width)
-            shas = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in signatures(t, g, a_names)]
+            shas = [hashlib.sha256(s).hexdigest() if len(s) else "" for s in signatures(t, g, marked)]
             whole = np.concatenate([[0], np.cumsum(g.na * g.nb)])[g.at]
             for column, x in zip(stats, (ids, np.diff(t.a_at), np.diff(t.b_at), np.diff(g.at), np.diff(whole), shas, np.bincount(doc, minlength=len(ids))), strict=True):
                 column.extend(x if isinstance(x, list) else x.tolist())
