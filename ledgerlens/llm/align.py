@@ -45,7 +45,7 @@ from .common import cut
 
 MARK = "▁"
 #: A tokens that one place of the state vector goes through; characters of a batch; links that a block holds.
-LANE, BATCH_CHARS, BLOCK_LINKS = 256, 1 << 22, 1 << 21
+LANE, BATCH_CHARS, BLOCK_LINKS = 256, 1 << 21, 1 << 21
 #: Pieces and ids remembered by a worker.
 MEMO_PIECES, MEMO_IDS = 600_000, 1 << 23
 #: Pairs of a group expanded at once.
