@@ -120,9 +120,6 @@ _LOG = "lg AS (SELECT * REPLACE (concat_ws(':', portfolio_id, id) AS id) FROM tx
 _of_log = lambda body: _with(sql("txn", body), _LOG)
 _half = PQ._half
 add("txn_append_dedupe", lambda spark, d: L.append_dedupe(_half(_log(spark, d), 0), _log(spark, d).where(F.col("t_ms") < MID)).select(PID, "id"), _of_log(f"SELECT portfolio_id, id FROM lg WHERE length(id) % 2 = 0 OR t_ms < {MID}"))
-add("txn_add", lambda spark, d: L.append_dedupe(_half(_log(spark, d), 0), _half(_log(spark, d), 1)).groupBy(PID).agg(F.count("*").alias("n")), _of_log("SELECT portfolio_id, count(*) AS n FROM lg GROUP BY 1"))
-add("txn_delete", lambda spark, d: _log(spark, d).join(_half(_log(spark, d), 0).select("id"), "id", "left_anti").select(PID, "id"), _of_log("SELECT portfolio_id, id FROM lg WHERE length(id) % 2 = 1"))
-add("txn_update", lambda spark, d: _half(_log(spark, d), 1).select(PID, "id", "quantity").unionByName(_half(_log(spark, d), 0).select(PID, F.concat("id", F.lit("-v2")).alias("id"), (F.col("quantity") + 1).alias("quantity"))), _of_log("SELECT portfolio_id, CASE WHEN length(id) % 2 = 1 THEN id ELSE id || '-v2' END AS id, CASE WHEN length(id) % 2 = 1 THEN quantity ELSE quantity + 1 END AS quantity FROM lg"))
 
 # Calendars from the first to the last order and beyond, and recurrences of every order.
 _LOCAL = 9 * HOUR

@@ -18,7 +18,6 @@ from ledgerlens.plans import portfolio_queries
 from ledgerlens.plans import views as V
 from ledgerlens.plans.metrics import Registry
 from ledgerlens.sources import files
-from ledgerlens.streaming import jobs
 
 DAY = 86_400_000
 
@@ -242,24 +241,6 @@ def test_files(spark, tmp_path):
     assert order(files.read_snapshots(spark, str(tmp_path / "snap"))) == order(held)
 
 
-def test_streams_agree_with_batches(spark, tmp_path):
-    s = make(spark, [1, 2, 4, 8, 16, 32]).select(F.lit(7).cast("long").alias("series_id"), "t_ms", "value")
-    for k in range(3):
-        s.where(F.col("t_ms") % 3000 == k * 1000).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = lambda: spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = jobs.upsert_series(stream(), str(tmp_path / "t"), str(tmp_path / "c1"))
-    q.awaitTermination()
-    assert values(spark.read.parquet(str(tmp_path / "t" / "v2"))) == [1, 2, 4, 8, 16, 32]
-    t = ledger_rows(spark)
-    late = t.where("type <> 'Buy'"), t.where("type = 'Buy'")
-    for part in late:
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "tx"))
-    q = jobs.repair_ledger(spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "tx")), str(tmp_path / "l"), str(tmp_path / "c2"))
-    q.awaitTermination()
-    order = lambda d: sorted(map(tuple, d.select("portfolio_id", "asset", "t_ms", F.round("quantity", 6)).collect()))
-    assert order(spark.read.parquet(str(tmp_path / "l" / "holdings1"))) == order(L.holdings(t))
-
-
 def test_points_across_buckets_and_grid_service(spark):
     """An exact bar of any bucket first, then the last bar of the finest bucket that reaches back far enough."""
     from ledgerlens.operators import buckets as B
