@@ -1,15 +1,19 @@
 """The transaction ledger as window aggregates: positions, cash, violations, snapshots.
 
 Transactions: portfolio_id, t_ms, type, ticker, quantity, price, fee, currency, id. Order within a
-portfolio is (t_ms, type priority, id). Every row is applied as written; ``violations`` lists those that a strict
-ledger refuses.
+portfolio is (t_ms, type priority, id). Every row is applied as written, except in ``strict``, where refused rows change nothing;
+``violations`` lists them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Order of transactions at one instant.
 PRIORITY = {"Deposit": 0, "Dividend": 1, "Buy": 2, "Sell": 2, "Withdrawal": 3, "Split": 4}
@@ -26,18 +30,40 @@ def priority(kind: Column) -> Column:
     return out
 
 
-def positions(txns: DataFrame) -> DataFrame:
+def _pieces(key: list[str], ends: DataFrame, **before) -> DataFrame:
+    """What each piece of time of a key begins with: expressions over the ends of the pieces before it."""
+    return ends.select(*key, "_p", *[c.alias(n) for n, c in before.items()])
+
+
+def positions(txns: DataFrame, piece_ms: int | None = None) -> DataFrame:
     """Asset transactions with ``held`` (before) and ``position`` (after) of the asset.
 
-    With R the running product of split ratios, a position is R times the running sum of quantities by R.
+    With R the running product of split ratios, a position is R times the running sum of quantities by R. With
+    ``piece_ms`` the history of an asset is cut into pieces of time that are summed apart: a piece with product r and sum u turns
+    the position S that it begins with into r (S + u), so only the ends of the pieces are put in order together.
     """
     q = F.when(F.col("type") == "Buy", F.col("quantity")).when(F.col("type") == "Sell", -F.col("quantity")).otherwise(0.0)
     ratio = F.when(F.col("type") == "Split", F.col("quantity")).otherwise(1.0)
-    w = W.partitionBy("portfolio_id", "ticker").orderBy("t_ms", priority(F.col("type")), "id").rowsBetween(W.unboundedPreceding, 0)
+    key = ["portfolio_id", "ticker"]
     assets = txns.where(~F.col("type").isin("Deposit", "Withdrawal"))
-    out = assets.withColumn("_r", F.product(ratio).over(w)).withColumn("_u", F.sum(q / F.col("_r")).over(w)).withColumn("position", F.col("_r") * F.col("_u"))
-    step = W.partitionBy("portfolio_id", "ticker").orderBy("t_ms", priority(F.col("type")), "id")
-    return out.withColumn("held", F.coalesce(F.lag("position").over(step), F.lit(0.0))).drop("_r", "_u")
+    if piece_ms is None:
+        step = W.partitionBy(*key).orderBy("t_ms", priority(F.col("type")), "id")
+        w = step.rowsBetween(W.unboundedPreceding, 0)
+        out = assets.withColumn("_r", F.product(ratio).over(w)).withColumn("_u", F.sum(q / F.col("_r")).over(w)).withColumn("position", F.col("_r") * F.col("_u"))
+        return out.withColumn("held", F.coalesce(F.lag("position").over(step), F.lit(0.0))).drop("_r", "_u")
+    key = ["portfolio_id", "_k"]
+    cut = assets.withColumns({"_k": F.coalesce("ticker", F.lit("")), "_p": F.floor(F.col("t_ms") / piece_ms)})
+    step = W.partitionBy(*key, "_p").orderBy("t_ms", priority(F.col("type")), "id")
+    w = step.rowsBetween(W.unboundedPreceding, 0)
+    local = cut.withColumn("_r", F.product(ratio).over(w)).withColumn("_u", F.sum(q / F.col("_r")).over(w))
+    ends = local.groupBy(*key, "_p").agg(F.max_by(F.struct("_r", "_u"), F.struct("t_ms", priority(F.col("type")), "id")).alias("e"))
+    order = W.partitionBy(*key).orderBy("_p")
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)
+    # R at the start of each piece, and the sum by R of all pieces before it.
+    scaled = ends.withColumn("_r0", F.coalesce(F.product("e._r").over(earlier), F.lit(1.0)))
+    starts = _pieces(key, scaled.withColumn("_u0", F.coalesce(F.sum(F.col("e._u") / F.col("_r0")).over(earlier), F.lit(0.0))), _s=F.col("_r0") * F.col("_u0"))
+    before = local.withColumns({"_lr": F.lag("_r", 1, 1.0).over(step), "_lu": F.lag("_u", 1, 0.0).over(step)})
+    return before.join(starts, [*key, "_p"]).withColumns({"position": F.col("_r") * (F.col("_s") + F.col("_u")), "held": F.col("_lr") * (F.col("_s") + F.col("_lu"))}).select(*txns.columns, "position", "held")
 
 
 def asset_delta() -> Column:
@@ -58,18 +84,84 @@ def cash_deltas(txns: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     return assets.select(*keep, asset_delta().alias("delta")).unionByName(txns.where(F.col("type").isin("Deposit", "Withdrawal")).select(*keep, cash_delta().alias("delta")))
 
 
-def cash(txns: DataFrame) -> DataFrame:
-    """Running cash of each portfolio and currency."""
-    w = W.partitionBy("portfolio_id", "currency").orderBy("t_ms", priority(F.col("type")), "id").rowsBetween(W.unboundedPreceding, 0)
-    return cash_deltas(txns).withColumn("balance", F.sum(F.col("delta").cast(MONEY)).over(w).cast("double"))
-
-
-def violations(txns: DataFrame) -> DataFrame:
+def cash(txns: DataFrame, piece_ms: int | None = None) -> DataFrame:
+    """Running cash of each portfolio and currency; with ``piece_ms``, summed by pieces of time and the pieces' totals."""
+    key = ["portfolio_id", "currency"]
+    deltas, amount = cash_deltas(txns), F.col("delta").cast(MONEY)
+    order = ["t_ms", priority(F.col("type")), "id"]
+    if piece_ms is None:
+        w = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return deltas.withColumn("balance", F.sum(amount).over(w).cast("double"))
+    cut = deltas.withColumn("_p", F.floor(F.col("t_ms") / piece_ms))
+    earlier = W.partitionBy(*key).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    starts = _pieces(key, cut.groupBy(*key, "_p").agg(F.sum(amount).alias("n")), _s=F.coalesce(F.sum("n").over(earlier), F.lit(0).cast(MONEY)))
+    w = W.partitionBy(*key, "_p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    local = cut.withColumn("_own", F.sum(amount).over(w))
+    return local.join(starts, [*key, "_p"]).withColumn("balance", (F.col("_s") + F.col("_own")).cast("double")).drop("_s", "_own", "_p")
+
+
+def ordered(txns: DataFrame, piece_ms: int) -> DataFrame:
+    """Transactions with their ``place`` in their portfolio, counted by pieces of time."""
+    cut = txns.withColumn("_p", F.floor(F.col("t_ms") / piece_ms))
+    earlier = W.partitionBy("portfolio_id").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    starts = _pieces(["portfolio_id"], cut.groupBy("portfolio_id", "_p").agg(F.count("*").alias("n")), _s=F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    own = F.row_number().over(W.partitionBy("portfolio_id", "_p").orderBy("t_ms", priority(F.col("type")), "id"))
+    return cut.withColumn("_own", own).join(starts, ["portfolio_id", "_p"]).withColumn("place", (F.col("_s") + F.col("_own")).cast("long")).drop("_s", "_own", "_p")
+
+
+def strict(txns: DataFrame, arrival: str | None = None) -> DataFrame:
+    """Transactions as a strict ledger takes them: ``held`` before each, ``position`` after it, and the ``reason`` if it is refused.
+
+    A refused row changes nothing, so each verdict hangs on those before it: rows are folded in order within an asset of a
+    portfolio, or in order of ``arrival`` within a portfolio, where a row older than the last one taken is refused too. Tasks stream
+    their sorted rows in Arrow batches and keep the state of one key only (quantities by asset); a key may be of any length.
+    A sale needs the quantity; a dividend or split needs an asset that was ever bought, sold out or not; amounts are not negative.
+    """
+    key = ["portfolio_id"] if arrival else ["portfolio_id", "_k"]
+    rows = txns.withColumn("_k", F.coalesce("ticker", F.concat(F.lit("CASH:"), F.coalesce("currency", F.lit("")))))
+    order = [F.col(arrival)] if arrival else [F.col("t_ms"), priority(F.col("type")), F.col("id")]
+    rows = rows.repartition(*key).sortWithinPartitions(*key, *order)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, last = None, {}, None
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            column = lambda name: batch.column(name).to_pylist()  # noqa: B023, E731
+            for *mine, kind, ticker, quantity, t in zip(*map(column, key), column("type"), column("ticker"), column("quantity"), column("t_ms"), strict=True):
+                if mine != now:
+                    now, held, last = mine, {}, None
+                had, quantity, reason = held.get(ticker), quantity or 0.0, None
+                if arrival and last is not None and t < last:
+                    reason = "out of order"
+                elif kind == "Buy":
+                    held[ticker] = (had or 0.0) + quantity
+                elif kind == "Sell":
+                    if had is None or had < quantity:
+                        reason = "oversell"
+                    else:
+                        held[ticker] = had - quantity
+                elif kind in ("Dividend", "Split"):
+                    if had is None:
+                        reason = "no position"
+                    elif kind == "Split":
+                        held[ticker] = had * quantity
+                elif kind in ("Deposit", "Withdrawal"):
+                    reason = "negative amount" if quantity < 0 else None
+                else:
+                    reason = "unknown type"
+                if reason is None:
+                    last = t
+                for values, x in zip(out, (had or 0.0, held.get(ticker, 0.0), reason), strict=True):
+                    values.append(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, out[:2], (pa.float64(),) * 2), pa.array(out[2], pa.string())], names=[*batch.schema.names, "held", "position", "reason"])
+
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL("held double, position double, reason string").fields])
+    return rows.mapInArrow(fold, schema).drop("_k")
+
+
+def violations(txns: DataFrame, arrival: str | None = None) -> DataFrame:
     """Transactions that a strict ledger refuses, with the reason."""
-    p = positions(txns)
-    reason = F.when((F.col("type") == "Sell") & (F.col("held") < F.col("quantity")), F.lit("oversell")).when(F.col("type").isin("Dividend", "Split") & (F.col("held") == 0), F.lit("no position"))
-    negative = txns.where(F.col("type").isin("Deposit", "Withdrawal") & (F.col("quantity") < 0)).select("portfolio_id", "id", F.lit("negative amount").alias("reason"))
-    return p.select("portfolio_id", "id", reason.alias("reason")).where("reason IS NOT NULL").unionByName(negative)
+    return strict(txns, arrival).where("reason IS NOT NULL").select("portfolio_id", "id", "reason")
 
 
 def holdings(txns: DataFrame) -> DataFrame:

