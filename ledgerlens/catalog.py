@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from .plans import core_queries, portfolio_queries, session_queries, store_queries
 
+MODULES = (core_queries, portfolio_queries, session_queries, store_queries)
+
+
+def _joined(kind: str) -> dict:
+    """The entries of all modules; a name given twice is an error."""
+    out: dict = {}
+    for module in MODULES:
+        entries = getattr(module, kind)
+        if twice := out.keys() & entries.keys():
+            raise ValueError(f"registered twice: {sorted(twice)}")
+        out |= entries
+    return out
+
 
 def queries() -> dict:
-    return core_queries.QUERIES | portfolio_queries.QUERIES | session_queries.QUERIES | store_queries.QUERIES
+    return _joined("QUERIES")
 
 
 def oracle_sql() -> dict:
-    return core_queries.ORACLES | portfolio_queries.ORACLES | session_queries.ORACLES | store_queries.ORACLES
+    return _joined("ORACLES")

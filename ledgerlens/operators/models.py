@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.stats import p_value
 from .series import KEY, finite, over
 
 
@@ -28,7 +29,7 @@ def lagged(df: DataFrame, q: int, keys: Sequence[str] = KEY) -> DataFrame:
 
 
 def fit_ols(df: DataFrame, q: int, keys: Sequence[str] = KEY) -> DataFrame:
-    """(keys, c, phi, sigma, std_errors, t, p, stationary, n) by least squares with intercept, for each series.
+    """(keys, c, phi, sigma, covariance, std_errors, t, p, stationary, n) by least squares with intercept, for each series.
 
     Only (q + 2) squared sums a series leave the aggregate; the solves are (q + 1) wide. Series with too few ticks
     or a singular system have null results.
@@ -47,42 +48,48 @@ def fit_ols(df: DataFrame, q: int, keys: Sequence[str] = KEY) -> DataFrame:
                     m[i, j] = m[j, i] = v
                 n, a, b, yy = m[0, 0], m[: q + 1, : q + 1], m[: q + 1, q + 1], m[q + 1, q + 1]
                 if n <= q + 1 or np.linalg.matrix_rank(a) < q + 1:
-                    rows.append((None, None, None, None, None, None, None, int(n)))
+                    rows.append((None,) * 7 + (int(n),))
                     continue
                 inverse = np.linalg.inv(a)
                 beta = inverse @ b
                 s2 = max(0.0, yy - beta @ b) / (n - q - 1)
                 se = np.sqrt(s2 * np.diag(inverse))
                 t = [float(x / e) if e > 0 else None for x, e in zip(beta, se, strict=True)]
-                p = [None if x is None else math.erfc(abs(x) / math.sqrt(2)) for x in t]
                 companion = np.zeros((q, q))
                 companion[0] = beta[1:]
                 companion[1:, :-1] = np.eye(q - 1)
-                rows.append((float(beta[0]), beta[1:].tolist(), math.sqrt(s2), se.tolist(), t, p, bool((abs(np.linalg.eigvals(companion)) < 1).all()), int(n)))
-            out = pd.DataFrame(rows, columns=["c", "phi", "sigma", "std_errors", "t", "p", "stationary", "n"])
+                rows.append((float(beta[0]), beta[1:].tolist(), math.sqrt(s2), (s2 * inverse).tolist(), se.tolist(), t, bool((abs(np.linalg.eigvals(companion)) < 1).all()), int(n)))
+            out = pd.DataFrame(rows, columns=["c", "phi", "sigma", "covariance", "std_errors", "t", "stationary", "n"])
             yield pd.concat([pdf[list(keys)].reset_index(drop=True), out], axis=1)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sums.schema.fields[: len(keys)])
-    return sums.mapInPandas(solve, f"{fields}, c double, phi array<double>, sigma double, std_errors array<double>, t array<double>, p array<double>, stationary boolean, n long")
+    fitted = sums.mapInPandas(solve, f"{fields}, c double, phi array<double>, sigma double, covariance array<array<double>>, std_errors array<double>, t array<double>, stationary boolean, n long")
+    return fitted.withColumn("p", F.transform("t", p_value))
 
 
 def predict(df: DataFrame, models: DataFrame, q: int, keys: Sequence[str] = KEY) -> DataFrame:
-    """One-step predictions at every tick with q predecessors."""
-    x = lagged(df, q, keys).join(models.select(*keys, "c", "phi"), list(keys))
+    """One-step predictions at every tick with q predecessors, with the fitted ``sigma`` of the model."""
+    x = lagged(df, q, keys).join(models.select(*keys, "c", "phi", "sigma"), list(keys))
     total = F.col("c")
     for k in range(1, q + 1):
         total = total + F.col("phi")[k - 1] * F.col(f"x{k}")
-    return x.select(*keys, "t_ms", F.col("y").alias("actual"), total.alias("predicted"))
+    return x.select(*keys, "t_ms", F.col("y").alias("actual"), total.alias("predicted"), "sigma")
 
 
 def evaluate(pred: DataFrame, n_params: int, keys: Sequence[str] = KEY) -> DataFrame:
-    """Error metrics of (actual, predicted) rows for each series."""
+    """Error metrics of (actual, predicted, sigma) rows for each series.
+
+    The likelihood is that of the fitted sigma; rows without one have that of their own root mean squared error.
+    """
+    if "sigma" not in pred.columns:
+        pred = pred.withColumn("sigma", F.lit(None).cast("double"))
     e = F.col("actual") - F.col("predicted")
-    sums = pred.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(e * e).alias("sse"), F.avg(F.abs(e)).alias("mae"), (F.var_pop("actual") * F.count("*")).alias("sst"))
+    sums = pred.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(e * e).alias("sse"), F.avg(F.abs(e)).alias("mae"), (F.var_pop("actual") * F.count("*")).alias("sst"), F.max("sigma").alias("sigma"))
     mse = F.col("sse") / F.col("n")
+    s2 = F.coalesce(F.col("sigma") * F.col("sigma"), mse)
     r2 = F.when(F.col("sst") > 0, 1 - F.col("sse") / F.col("sst"))
     room = F.col("n") - n_params - 1
-    ll = F.when(mse > 0, -F.col("n") / 2 * (F.ln(2 * F.pi() * mse) + 1))
+    ll = F.when(s2 > 0, -F.col("n") / 2 * F.ln(2 * F.pi() * s2) - F.col("sse") / (2 * s2))
     return sums.select(*keys, "n", mse.alias("mse"), F.sqrt(mse).alias("rmse"), "mae", r2.alias("r2"), F.when(room > 0, 1 - (1 - r2) * (F.col("n") - 1) / room).alias("adj_r2"), ll.alias("log_likelihood"), (2 * (n_params + 2) - 2 * ll).alias("aic"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..operators import intervals as I
 from ..operators import resample as R
 from ..operators import series as S
 from . import views as V
@@ -17,6 +18,8 @@ K = "series_id"
 
 
 def add(name: str, run, oracle: str | None = None) -> None:
+    if name in QUERIES:
+        raise ValueError(f"{name} is registered already")
     QUERIES[name] = run
     if oracle:
         ORACLES[name] = oracle
@@ -134,10 +137,22 @@ for _how in ("latest", "linear", "nearest", "exact"):
     add(f"resample_{_how}", lambda spark, d, how=_how: r6(R.resample(V.series(spark, d), V.user_grid(spark, d), how), "value"), sql("s ug", _sql) if _how == "exact" else sql("s ug", _sql).replace("\nSELECT", f",\n{_l}\nSELECT", 1))
 add("resample_stochastic", lambda spark, d: R.stochastic(V.series(spark, d), V.user_grid(spark, d), 1e-9))
 add("series_step", lambda spark, d: R.step_series(V.series(spark, d).withColumn("seq", F.col("value")), V.user_grid(spark, d), -1.0), sql("s ug", "SELECT ug.series_id, ug.t_ms, coalesce(s.value, -1) AS value FROM ug ASOF LEFT JOIN s ON ug.series_id = s.series_id AND ug.t_ms >= s.t_ms"))
-add("segment_mask", lambda spark, d: V.user_grid(spark, d).withColumn("mask", F.when(F.col("t_ms").between(_T0, _T0 + DAY - 1), 1).otherwise(0)), sql("ug", f"SELECT *, CAST(t_ms >= {_T0} AND t_ms < {_T0 + DAY} AS INT) AS mask FROM ug"))
+
+
+def _order_spans(spark, d):
+    """Half-open spans of each customer's orders, of none to 39 days; one in 50 is open."""
+    o = V.table(spark, d, "orders").select("o_custkey", V.ms("o_orderdate").alias("begin"), "o_orderkey")
+    return o.select("o_custkey", "begin", F.when(F.col("o_orderkey") % 50 != 7, F.col("begin") + (F.col("o_orderkey") % 40) * DAY).alias("end"))
+
+
+def _masked(spark, d):
+    begin, end, step = (F.lit(x).cast("long") for x in V.GRID)
+    ticks = V.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.explode(F.sequence(begin, end, step)).alias("t_ms"))
+    return I.segment_mask(ticks, _order_spans(spark, d), ["o_custkey"], 60 * DAY)
+
+
+add("segment_mask", _masked, sql("g", f"SELECT o_custkey, t_ms, CASE WHEN n > 0 THEN 1 ELSE 0 END AS mask, n AS n_segments FROM (SELECT c.c_custkey AS o_custkey, g.t_ms, count(b) AS n FROM customer c CROSS JOIN g LEFT JOIN (SELECT o_custkey, epoch_us(o_orderdate) // 1000 AS b, CASE WHEN o_orderkey % 50 <> 7 THEN epoch_us(o_orderdate) // 1000 + (o_orderkey % 40) * {DAY} END AS e FROM orders) s ON s.o_custkey = c.c_custkey AND g.t_ms >= b AND (e IS NULL OR g.t_ms < e) GROUP BY 1, 2)"))
 add("variance_rate", lambda spark, d: R.variance_rate(V.series(spark, d)).withColumn("variance_rate", F.round(F.col("variance_rate") * 1e6, 6)), sql("s", "SELECT series_id, round(CASE WHEN max(t_ms) = min(t_ms) THEN 0 ELSE coalesce(sum(q * q), 0) / (max(t_ms) - min(t_ms)) END * 1e6, 6) AS variance_rate FROM (SELECT *, value - lag(value) OVER (PARTITION BY series_id ORDER BY t_ms) AS q FROM s) GROUP BY 1"))
-add("get_aligned", lambda spark, d: R.resample(V.buckets(spark, d).where(F.col("freq_ms") == HOUR), V.user_grid(spark, d), "exact"), sql("sb ug", f"SELECT ug.series_id, ug.t_ms, value FROM ug LEFT JOIN sb ON ug.series_id = sb.series_id AND ug.t_ms = sb.t_ms AND freq_ms = {HOUR}"))
-add("get_filled", lambda spark, d: R.resample(V.buckets(spark, d).where(F.col("freq_ms") == HOUR), V.user_grid(spark, d), "latest"), sql("sb ug", f"SELECT ug.series_id, ug.t_ms, value FROM ug ASOF LEFT JOIN (SELECT * FROM sb WHERE freq_ms = {HOUR}) x ON ug.series_id = x.series_id AND ug.t_ms >= x.t_ms"))
 add("grid_union", lambda spark, d: R.grid_union(V.by_type(spark, d)), sql("st", "SELECT DISTINCT t_ms FROM st"))
 add("grid_intersection", lambda spark, d: R.grid_intersection(V.by_type(spark, d), K, 5), sql("st", "SELECT t_ms FROM st GROUP BY 1 HAVING count(DISTINCT series_id) = 5"))
 add("regularity_check", lambda spark, d: r6(R.regularity(V.by_type(spark, d)), "sd_step", n=3), sql("st", "SELECT series_id, count(*) AS n, list_sort(list(q) FILTER (q IS NOT NULL))[count(q) // 2 + 1]::DOUBLE AS median_step, round(stddev_pop(q), 3) AS sd_step, count(*) < 3 OR stddev_pop(q) <= greatest(0.05 * list_sort(list(q) FILTER (q IS NOT NULL))[count(q) // 2 + 1], 1) AS regular FROM (SELECT *, t_ms - lag(t_ms) OVER (PARTITION BY series_id ORDER BY t_ms) AS q FROM st) GROUP BY 1"))
@@ -148,7 +163,7 @@ _SK = "(avg(value * value * value) - 3 * avg(value) * avg(value * value) + 2 * a
 _STATS = {
     "stat_mean": (lambda: stats.mean("value"), "avg(value)"), "stat_variance": (lambda: stats.variance("value"), "var_samp(value)"), "stat_std": (lambda: stats.std("value", False), "stddev_pop(value)"),
     "stat_skew": (lambda: stats.skew("value"), _SK), "stat_kurtosis": (lambda: stats.kurtosis("value"), "kurtosis_pop(value) + 3"), "stat_excess_kurtosis": (lambda: stats.excess_kurtosis("value"), "kurtosis_pop(value)"),
-    "stat_quantile": (lambda: stats.quantile("value", 0.9), "quantile_cont(value, 0.9)"), "stat_minmax": (lambda: F.max("value") - F.min("value"), "max(value) - min(value)"), "stat_cdf": (lambda: stats.cdf("value", 10), "avg(CAST(value <= 10 AS INT))"),
+    "stat_quantile": (lambda: stats.quantile("value", 0.9), "quantile_cont(value, 0.9)"), "stat_cdf": (lambda: stats.cdf("value", 10), "avg(CAST(value <= 10 AS INT))"),
     "jarque_bera": (lambda: stats.jarque_bera("value"), f"count(*) / 6.0 * (({_SK}) ** 2 + kurtosis_pop(value) ** 2 / 4)"), "total_return": (lambda: stats.total_return(), "(arg_max(value, t_ms) - arg_min(value, t_ms)) / arg_min(value, t_ms)"),
 }
 for _n, (_f, _e) in _STATS.items():

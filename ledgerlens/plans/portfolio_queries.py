@@ -23,6 +23,8 @@ ORACLES: dict = {}
 
 
 def add(name: str, run, oracle: str | None = None) -> None:
+    if name in QUERIES:
+        raise ValueError(f"{name} is registered already")
     QUERIES[name] = run
     if oracle:
         ORACLES[name] = oracle
@@ -47,7 +49,6 @@ add("txn_order", lambda spark, d: L.ordered(V.txns(spark, d), PIECE).select(PID,
 add("txn_priority", lambda spark, d: V.txns(spark, d).groupBy("type", L.priority(F.col("type")).alias("priority")).agg(F.count("*").alias("n")), sql("tp", "SELECT type, pr AS priority, count(*) AS n FROM tp GROUP BY 1, 2"))
 add("snapshot_make", lambda spark, d: r6(L.holdings(V.txns(spark, d)).where(_at(MID)).groupBy(PID, "asset").agg(F.max_by("quantity", "t_ms").alias("quantity")), "quantity", n=2), sql("hold", f"SELECT portfolio_id, asset, round(arg_max(quantity, t_ms), 2) + 0.0 AS quantity FROM hold WHERE {_at(MID)} GROUP BY 1, 2"))
 add("portfolio_build", lambda spark, d: r6(L.holdings(V.txns(spark, d)).groupBy(PID, "asset").agg(F.max_by("quantity", "t_ms").alias("quantity")), "quantity", n=2), sql("hold", "SELECT portfolio_id, asset, round(arg_max(quantity, t_ms), 2) + 0.0 AS quantity FROM hold GROUP BY 1, 2"))
-QUERIES["portfolio_load"], ORACLES["portfolio_load"] = QUERIES["portfolio_build"], ORACLES["portfolio_build"]
 
 
 def _snapshots(spark, d):
@@ -56,12 +57,10 @@ def _snapshots(spark, d):
 
 
 _SNAP = "SELECT portfolio_id, t_ms, count(*) AS n_changed FROM hold GROUP BY 1, 2"
-add("snapshot_rebuild", _snapshots, sql("hold", _SNAP))
 add("snapshot_closest", lambda spark, d: _snapshots(spark, d).where(_at(MID)).groupBy(PID).agg(F.max("t_ms").alias("t_ms"), F.max_by("n_changed", "t_ms").alias("n_changed")), sql("hold", f"SELECT portfolio_id, max(t_ms) AS t_ms, arg_max(n_changed, t_ms) AS n_changed FROM ({_SNAP}) WHERE {_at(MID)} GROUP BY 1"))
-for _n in ("snapshot_latest", "latest_snapshot", "portfolio_metadata"):
+for _n in ("snapshot_latest", "latest_snapshot"):
     add(_n, lambda spark, d: _snapshots(spark, d).groupBy(PID).agg(F.max("t_ms").alias("t_ms"), F.max_by("n_changed", "t_ms").alias("n_changed")), sql("hold", f"SELECT portfolio_id, max(t_ms) AS t_ms, arg_max(n_changed, t_ms) AS n_changed FROM ({_SNAP}) GROUP BY 1"))
 add("snapshots_covering", lambda spark, d: _snapshots(spark, d).withColumn("until", F.lead("t_ms").over(W.partitionBy(PID).orderBy("t_ms"))).where(f"t_ms <= {MID + 30 * DAY} AND (until > {MID} OR until IS NULL)").select(PID, "t_ms", "n_changed"), sql("hold", f"SELECT portfolio_id, t_ms, n_changed FROM (SELECT *, lead(t_ms) OVER (PARTITION BY portfolio_id ORDER BY t_ms) AS u FROM ({_SNAP})) WHERE t_ms <= {MID + 30 * DAY} AND (u > {MID} OR u IS NULL)"))
-add("snapshot_replace_from", lambda spark, d: L.replace_from(_snapshots(spark, d), MID, _snapshots(spark, d).where(F.col("t_ms") >= MID).withColumn("n_changed", F.lit(0).cast("long"))), sql("hold", f"SELECT portfolio_id, t_ms, CASE WHEN t_ms < {MID} THEN n_changed ELSE 0 END AS n_changed FROM ({_SNAP})"))
 add("portfolio_list", lambda spark, d: V.txns(spark, d).select(PID).distinct(), sql("txn", "SELECT DISTINCT portfolio_id FROM txn"))
 add("portfolio_soft_delete", lambda spark, d: V.txns(spark, d).select(PID).distinct().withColumn("deleted", F.col(PID) % 5 == 0).where("NOT deleted").select(PID), sql("txn", "SELECT DISTINCT portfolio_id FROM txn WHERE portfolio_id % 5 <> 0"))
 add("portfolio_create", lambda spark, d: V.table(spark, d, "nation").select(F.col("n_nationkey").alias(PID)).join(V.txns(spark, d).where(F.col(PID) < 20), PID, "left_anti").select(PID, F.lit(MID - 1).alias("t_ms")), sql("txn", f"SELECT n_nationkey AS portfolio_id, CAST({MID - 1} AS BIGINT) AS t_ms FROM nation WHERE n_nationkey NOT IN (SELECT portfolio_id FROM txn WHERE portfolio_id < 20)"))
@@ -69,11 +68,6 @@ add("portfolio_create", lambda spark, d: V.table(spark, d, "nation").select(F.co
 # Transaction log.
 _half = lambda t, k: t.where(F.pmod(F.length("id"), F.lit(2)) == k)
 add("txn_scan", lambda spark, d: V.txns(spark, d).where(F.col("t_ms") >= MID).select(PID, "id", "t_ms"), sql("txn", f"SELECT portfolio_id, id, t_ms FROM txn WHERE t_ms >= {MID}"))
-_dep = lambda spark, d: V.txns(spark, d).where("type = 'Deposit'")
-add("txn_append_dedupe", lambda spark, d: L.append_dedupe(_half(_dep(spark, d), 0), _dep(spark, d).where(F.col("t_ms") < MID)).select(PID, "id"), sql("txn", f"SELECT portfolio_id, id FROM txn WHERE type = 'Deposit' AND (length(id) % 2 = 0 OR t_ms < {MID})"))
-add("txn_add", lambda spark, d: L.append_dedupe(_half(_dep(spark, d), 0), _half(_dep(spark, d), 1)).groupBy(PID).agg(F.count("*").alias("n")), sql("txn", "SELECT portfolio_id, count(*) AS n FROM txn WHERE type = 'Deposit' GROUP BY 1"))
-add("txn_delete", lambda spark, d: _dep(spark, d).join(_half(_dep(spark, d), 0).select("id"), "id", "left_anti").select(PID, "id"), sql("txn", "SELECT portfolio_id, id FROM txn WHERE type = 'Deposit' AND length(id) % 2 = 1"))
-add("txn_update", lambda spark, d: _dep(spark, d).where(F.length("id") % 2 == 1).select(PID, "id", "quantity").unionByName(_half(_dep(spark, d), 0).select(PID, F.concat("id", F.lit("-v2")).alias("id"), (F.col("quantity") + 1).alias("quantity"))), sql("txn", "SELECT portfolio_id, CASE WHEN length(id) % 2 = 1 THEN id ELSE id || '-v2' END AS id, CASE WHEN length(id) % 2 = 1 THEN quantity ELSE quantity + 1 END AS quantity FROM txn WHERE type = 'Deposit'"))
 add("enum_validate", lambda spark, d: V.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n")).join(F.broadcast(spark.createDataFrame([(k, v) for k, v in V.PRIORITIES.items() if v != "GBP"], "o_orderpriority string, currency string")), "o_orderpriority", "left").select("o_orderpriority", "n", "currency", F.col("currency").isNotNull().alias("valid")), "SELECT o_orderpriority, count(*) AS n, " + V._PRIO.replace("'GBP'", "NULL") + " AS currency, o_orderpriority <> '5-LOW' AS valid FROM orders GROUP BY 1")
 add("asset_list", lambda spark, d: V.denomination(spark, d).select("asset").distinct(), sql("den", "SELECT DISTINCT asset FROM den"))
 add("asset_save", lambda spark, d: V.denomination(spark, d).withColumn("v", F.lit(0)).unionByName(V.denomination(spark, d).where("currency = 'EUR'").withColumn("currency", F.lit("CHF")).withColumn("v", F.lit(1))).groupBy("asset").agg(F.max_by("currency", "v").alias("currency")), sql("den", "SELECT asset, CASE WHEN currency = 'EUR' THEN 'CHF' ELSE currency END AS currency FROM den"))
@@ -98,7 +92,7 @@ def _grid_of(view):
 
 add("price_on_grid", _grid_of(V.prices), sql("pg", "SELECT series_id, t_ms, round(value, 6) AS value FROM pg"))
 add("fx_on_grid", _grid_of(V.fx), sql("fg", "SELECT series_id, t_ms, round(value, 6) AS value FROM fg"))
-for _n, _view, _cte in (("price_at", V.prices, "p"), ("fx_at", V.fx, "fx"), ("point_asof", V.prices, "p")):
+for _n, _view, _cte in (("price_at", V.prices, "p"), ("fx_at", V.fx, "fx")):
     add(_n, lambda spark, d, v=_view: r6(v(spark, d).where(_at(MID)).groupBy(K).agg(F.max_by("value", "t_ms").alias("value")), "value"), sql(_cte, f"SELECT series_id, round(arg_max(value, t_ms), 6) AS value FROM {_cte} WHERE {_at(MID)} GROUP BY 1"))
 
 
@@ -114,8 +108,7 @@ add("weights_series", lambda spark, d: r6(_values(spark, d).select(PID, "t_ms",
 add("value_series", lambda spark, d: _values(spark, d).groupBy(PID, "t_ms").agg(F.sum(F.col("value").cast(L.MONEY)).alias("value")).select(PID, "t_ms", exact("value", 2, "value")), sql("val", f"SELECT portfolio_id, t_ms, {exact_sql('sum(CAST(value AS DECIMAL(28,4)))')} AS value FROM val GROUP BY 1, 2"))
 add("quantity_series", lambda spark, d: r6(P.on_grid(L.holdings(V.txns(spark, d)), V.GRID, [PID, "asset"], "quantity"), "quantity", n=2), sql("hg", "SELECT portfolio_id, asset, t_ms, round(quantity, 2) + 0.0 AS quantity FROM hg"))
 _AT = V.GRID[0] + 40 * V.GRID[2]
-for _n in ("overview_at", "portfolio_valuation"):
-    add(_n, lambda spark, d: r6(r6(_values(spark, d).where(F.col("t_ms") == _AT).select(PID, "asset", F.when(F.col("total") <= 0, 0.0).otherwise(F.col("total")).alias("total"), F.when(F.col("total") > 0, F.col("weight")).alias("weight")), "total", n=2), "weight", n=5), sql("vw", f"SELECT portfolio_id, asset, round(greatest(total, 0), 2) + 0.0 AS total, round(CASE WHEN total > 0 THEN value / total END, 5) + 0.0 AS weight FROM vw WHERE t_ms = {_AT}"))
+add("overview_at", lambda spark, d: r6(r6(_values(spark, d).where(F.col("t_ms") == _AT).select(PID, "asset", F.when(F.col("total") <= 0, 0.0).otherwise(F.col("total")).alias("total"), F.when(F.col("total") > 0, F.col("weight")).alias("weight")), "total", n=2), "weight", n=5), sql("vw", f"SELECT portfolio_id, asset, round(greatest(total, 0), 2) + 0.0 AS total, round(CASE WHEN total > 0 THEN value / total END, 5) + 0.0 AS weight FROM vw WHERE t_ms = {_AT}"))
 add("weights_sum_check", lambda spark, d: _values(spark, d).groupBy(PID, "t_ms").agg(F.sum("weight").alias("w"), F.max("total").alias("total")).where("total <> 0").groupBy(PID).agg(F.count("*").alias("n_ticks"), (F.max(F.abs(F.col("w") - 1)) < 1e-6).alias("sums_to_one")), sql("vw", "SELECT portfolio_id, count(DISTINCT t_ms) AS n_ticks, true AS sums_to_one FROM vw WHERE total <> 0 GROUP BY 1"))
 _wts = lambda spark, d: V.txns(spark, d).where("type = 'Buy'").groupBy(PID, F.col("ticker").alias(K)).agg(F.count("*").cast("double").alias("weight"))
 
@@ -142,10 +135,6 @@ def _portfolio_analysis(spark, d):
 
 
 add("portfolio_analysis", _portfolio_analysis, _with(sql("pg txn", f"SELECT portfolio_id, round((arg_max(nav, t_ms) - arg_min(nav, t_ms)) / arg_min(nav, t_ms), 3) AS total_return FROM (SELECT portfolio_id, t_ms, {exact_sql('sum(weight / t * value / p0)', 4)} AS nav FROM wt JOIN tw USING (portfolio_id) JOIN pg USING (series_id) JOIN pf USING (series_id) GROUP BY 1, 2) GROUP BY 1"), _WT))
-add("portfolio_grid", lambda spark, d: V.txns(spark, d).where("type = 'Buy' AND portfolio_id < 3").select(PID, F.col("ticker").alias(K)).distinct().join(V.prices(spark, d).select(K, "t_ms"), K).select(PID, "t_ms").distinct(), sql("txn p", "SELECT DISTINCT portfolio_id, p.t_ms FROM (SELECT DISTINCT portfolio_id, ticker FROM txn WHERE type = 'Buy' AND portfolio_id < 3) h JOIN p ON p.series_id = h.ticker"))
-
-
-
 def _grid_all(spark, d):
     """Ticks of every asset that a portfolio ever held and of the rate of every currency but the base, USD, of its holdings and cash."""
     held = L.holdings(V.txns(spark, d)).groupBy(PID, "asset").agg(F.max(F.col("quantity") != 0).alias("ever")).where("ever").select(PID, "asset")
@@ -158,9 +147,6 @@ def _grid_all(spark, d):
     return ticks(shares.withColumnRenamed("asset", K), V.prices(spark, d)).unionByName(ticks(wanted, V.fx(spark, d))).distinct()
 
 
-# All portfolios and both kinds of series; the SQL of portfolio_grid covers the prices of three portfolios.
-QUERIES["portfolio_grid_all"] = _grid_all
-
 # Calendars. Days leave as text, which both engines write alike.
 def add_days(name, run, oracle, *days):
     add(name, lambda spark, d: run(spark, d).withColumns({c: F.col(c).cast("string") for c in days}), "SELECT * REPLACE (" + ", ".join(f"CAST(CAST({c} AS DATE) AS VARCHAR) AS {c}" for c in days) + f") FROM ({oracle})")
@@ -168,25 +154,19 @@ def add_days(name, run, oracle, *days):
 
 _A, _B = "1995-01-01", "2001-12-31"
 add_days("trading_day_weekday", lambda spark, d: V.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct().withColumn("open", C.is_weekday(F.col("day"))), "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, isodow(o_orderdate) < 6 AS open FROM orders", "day")
-for _n in ("trading_day_holiday", "calendar_schedule"):
-    add_days(_n, lambda spark, d: C.trading_days(spark, _A, _B, V.holidays(spark, d)), sql("td", "SELECT day FROM td"), "day")
+add_days("trading_day_holiday", lambda spark, d: C.trading_days(spark, _A, _B, V.holidays(spark, d)), sql("td", "SELECT day FROM td"), "day")
 _FORMS = {"unadjusted": "day", "following": "following", "preceding": "preceding", "modified_following": "CASE WHEN date_trunc('month', following) = date_trunc('month', day) THEN following ELSE preceding END", "modified_preceding": "CASE WHEN date_trunc('month', preceding) = date_trunc('month', day) THEN preceding ELSE following END"}
-for _n, _e in _FORMS.items():
-    add_days(f"roll_{_n}", lambda spark, d, n=_n: C.roll_table(spark, _A, _B, V.holidays(spark, d)).where("year(day) BETWEEN 1996 AND 2000").select("day", C.roll(n).alias("rolled")), sql("rt", f"SELECT day, {_e} AS rolled FROM rt WHERE year(day) BETWEEN 1996 AND 2000"), "day", "rolled")
 add("periods_per_year", lambda spark, d: C.trading_days(spark, _A, _B, V.holidays(spark, d)).groupBy(F.year("day").alias("year")).agg(F.round(F.count("*") / (365 * 86_400_000 / C.YEAR_MS), 4).alias("periods")), sql("td", "SELECT CAST(year(day) AS INT) AS year, round(count(*) / (365 / 365.2425), 4) AS periods FROM td GROUP BY 1"))
 
 
-def _rules(spark, d, which: str = "o_orderkey % 97 = 0"):
-    o = V.table(spark, d, "orders").where(which).select("o_orderkey", F.to_date("o_orderdate").alias("start"))
+def _rules(spark, d):
+    o = V.table(spark, d, "orders").where("o_orderkey IS NOT NULL").select("o_orderkey", F.to_date("o_orderdate").alias("start"))
     unit = F.get(F.array(*[F.lit(x) for x in ("day", "week", "month", "quarter", "year")]), (F.col("o_orderkey") % 5).cast("int"))
     return o.select("o_orderkey", "start", F.add_months("start", 18).alias("end"), unit.alias("unit"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("step"))
 
 
-_REC = """r AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS st, CAST(CAST(o_orderdate AS DATE) + INTERVAL 18 MONTH AS DATE) AS en, o_orderkey % 5 AS u, o_orderkey % 3 + 1 AS sp FROM orders WHERE o_orderkey % 97 = 0),
+_REC = """r AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS st, CAST(CAST(o_orderdate AS DATE) + INTERVAL 18 MONTH AS DATE) AS en, o_orderkey % 5 AS u, o_orderkey % 3 + 1 AS sp FROM orders),
 rc AS (SELECT o_orderkey, CAST(CASE u WHEN 0 THEN st + to_days(CAST(k * sp AS INT)) WHEN 1 THEN st + to_days(CAST(k * sp * 7 AS INT)) WHEN 2 THEN st + to_months(CAST(k * sp AS INT)) WHEN 3 THEN st + to_months(CAST(k * sp * 3 AS INT)) ELSE st + to_months(CAST(k * sp * 12 AS INT)) END AS DATE) AS day, en FROM r, range(600) x(k))"""
-for _n in ("recurrence_raw", "events_recurring"):
-    add_days(_n, lambda spark, d: C.recurrence(_rules(spark, d)).select("o_orderkey", "day"), f"WITH {_REC} SELECT o_orderkey, day FROM rc WHERE day <= en", "day")
-add_days("recurrence_rolled", lambda spark, d: C.recurrence(_rules(spark, d)).select("o_orderkey", "day").join(F.broadcast(C.roll_table(spark, _A, _B, V.holidays(spark, d)).select("day", C.roll("modified_following").alias("rolled"))), "day").select("o_orderkey", "rolled").distinct(), _with(sql("rt", f"SELECT DISTINCT o_orderkey, {_FORMS['modified_following']} AS rolled FROM rc JOIN rt USING (day) WHERE rc.day <= en"), _REC), "rolled")
 
 
 def _calendar(spark, d, months: int = 0):
@@ -203,13 +183,6 @@ def _calendar(spark, d, months: int = 0):
     return C.roll_table(spark, str(begin), str(until), holidays).where(F.col("day").between(first, end))
 
 
-# The whole of the recurrences above, whose SQL expands one order in 97 and rolls in a fixed calendar; tests hold these against brute force.
-_all_rules = lambda spark, d: _rules(spark, d, "o_orderkey IS NOT NULL")
-QUERIES["recurrence_all"] = lambda spark, d: C.recurrence(_all_rules(spark, d)).select("o_orderkey", F.col("day").cast("string").alias("day"))
-QUERIES["recurrence_rolled_all"] = lambda spark, d: C.recurrence(_all_rules(spark, d)).select("o_orderkey", "day").join(F.broadcast(_calendar(spark, d, 18).select("day", C.roll("modified_following").alias("rolled"))), "day").select("o_orderkey", F.col("rolled").cast("string").alias("rolled")).distinct()
-# Every day from the first to the last order; the SQL of roll_* covers 1996 to 2000.
-for _n in _FORMS:
-    QUERIES[f"roll_{_n}_all"] = lambda spark, d, n=_n: _calendar(spark, d).select(F.col("day").cast("string").alias("day"), C.roll(n).cast("string").alias("rolled"))
 _ev = lambda spark, d: V.txns(spark, d).where("type IN ('Dividend', 'Split')").select("ticker", "t_ms", F.col("type").alias("kind"), F.when(F.col("type") == "Split", F.col("quantity")).otherwise(F.col("price")).alias("amount_per_unit"), "currency", "id", PID)
 add("events_in_range", lambda spark, d: _ev(spark, d).where(f"t_ms BETWEEN {MID} AND {MID + 365 * DAY}").select(PID, "ticker", "t_ms", "kind", "id"), sql("txn", f"SELECT portfolio_id, ticker, t_ms, type AS kind, id FROM txn WHERE type IN ('Dividend', 'Split') AND t_ms BETWEEN {MID} AND {MID + 365 * DAY}"))
 add("events_to_transactions", lambda spark, d: r6(C.events_to_transactions(_ev(spark, d)), "price"), sql("txn", "SELECT ticker, t_ms, type, CASE WHEN type = 'Split' THEN quantity ELSE 0 END AS quantity, round(price, 6) AS price, currency FROM txn WHERE type IN ('Dividend', 'Split')"))
@@ -221,11 +194,26 @@ _m1 = lambda body: _with(sql("st", body), _L1)
 _fit = lambda spark, d, q=1: M.fit_ols(V.by_type(spark, d), q)
 add("ar_fit_ols", lambda spark, d: _fit(spark, d).select(K, (F.round("c", 5) + 0.0).alias("c"), (F.round(F.col("phi")[0], 6) + 0.0).alias("phi"), "n"), _m1("SELECT series_id, round(c, 5) + 0.0 AS c, round(phi, 6) + 0.0 AS phi, n FROM b"))
 add("ar_fit_ols_q3", lambda spark, d: _fit(spark, d, 3).select(K, "c", "phi", "n"))
-add("ar_diagnostics", lambda spark, d: _fit(spark, d).select(K, F.round("sigma", 5).alias("sigma"), F.round(F.col("std_errors")[1], 6).alias("se_phi")), _m1("SELECT series_id, round(sqrt(sum((actual - predicted) ** 2) / (count(*) - 2)), 5) AS sigma, round(sqrt(sum((actual - predicted) ** 2) / (count(*) - 2)) / sqrt(any_value(sxx)), 6) AS se_phi FROM pd JOIN (SELECT series_id, regr_sxx(y, x1) AS sxx FROM x WHERE x1 IS NOT NULL GROUP BY 1) USING (series_id) GROUP BY 1"))
+_RAT = "0.17087277"
+for _x in ("-0.82215223", "1.48851587", "-1.13520398", "0.27886807", "-0.18628806", "0.09678418", "0.37409196", "1.00002368", "-1.26551223"):
+    _RAT = f"({_x} + u * {_RAT})"
+_PV = lambda t: f"u * exp({_RAT} - (({t}) / sqrt(2)) ** 2)"
+_DIAG = f"""dg AS (SELECT series_id, any_value(b.c) AS c, any_value(b.phi) AS phi, sqrt(sum((actual - predicted) ** 2) / (count(*) - 2)) AS sigma, any_value(sxx) AS sxx, any_value(mx) AS mx, count(*) AS n FROM pd JOIN b USING (series_id) JOIN (SELECT series_id, regr_sxx(y, x1) AS sxx, avg(x1) AS mx FROM x WHERE x1 IS NOT NULL GROUP BY 1) USING (series_id) GROUP BY 1),
+de AS (SELECT *, sigma * sqrt(1 / n + mx * mx / sxx) AS se_c, sigma / sqrt(sxx) AS se_phi, -sigma * sigma * mx / sxx AS cov FROM dg),
+dt AS (SELECT *, c / se_c AS t_c, phi / se_phi AS t_phi FROM de)"""
+_SIX = ["sigma", "se_c", "se_phi", "cov", "t_c", "t_phi", "p_c", "p_phi"]
+add("ar_diagnostics", lambda spark, d: r6(_fit(spark, d).select(K, "sigma", F.col("std_errors")[0].alias("se_c"), F.col("std_errors")[1].alias("se_phi"), F.col("covariance")[0][1].alias("cov"), F.col("t")[0].alias("t_c"), F.col("t")[1].alias("t_phi"), F.col("p")[0].alias("p_c"), F.col("p")[1].alias("p_phi")), *_SIX, n=4), _with(_m1("SELECT series_id, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in _SIX) + f" FROM (SELECT *, (SELECT {_PV('t_c')} FROM (SELECT 1 / (1 + abs(t_c) / sqrt(2) / 2) AS u)) AS p_c, (SELECT {_PV('t_phi')} FROM (SELECT 1 / (1 + abs(t_phi) / sqrt(2) / 2) AS u)) AS p_phi FROM dt)"), _DIAG))
 add("ar_stationary", lambda spark, d: _fit(spark, d).select(K, "stationary"), _m1("SELECT series_id, abs(phi) < 1 AS stationary FROM b"))
-add("ar_fit_yule_walker", lambda spark, d: stats.acf(V.by_type(spark, d), 1).where("lag = 1").join(V.by_type(spark, d).groupBy(K).agg(F.avg("value").alias("m")), K).select(K, (F.round("acf", 6) + 0.0).alias("phi"), F.round((1 - F.col("acf")) * F.col("m"), 5).alias("c")), _with(sql("st", "SELECT series_id, round(r, 6) + 0.0 AS phi, round((1 - r) * m, 5) AS c FROM (SELECT series_id, sum(z * zl) / sum(z * z) AS r, any_value(m) AS m FROM zz GROUP BY 1)"), "zz AS (SELECT series_id, m, z, coalesce(lag(z) OVER (PARTITION BY series_id ORDER BY t_ms), 0) AS zl FROM (SELECT *, avg(value) OVER (PARTITION BY series_id) AS m, value - avg(value) OVER (PARTITION BY series_id) AS z FROM st))"))
-add("ar_predict", lambda spark, d: r6(M.predict(V.by_type(spark, d), _fit(spark, d), 1), "actual", "predicted", n=5), _m1("SELECT series_id, t_ms, round(actual, 5) AS actual, round(predicted, 5) AS predicted FROM pd"))
-add("ar_evaluate", lambda spark, d: r6(M.evaluate(M.predict(V.by_type(spark, d), _fit(spark, d), 1), 1).select(K, "n", "mse", "rmse", "mae", "r2"), "mse", "rmse", "mae", "r2", n=5), _m1("SELECT series_id, count(*) AS n, round(avg((actual - predicted) ** 2), 5) AS mse, round(sqrt(avg((actual - predicted) ** 2)), 5) AS rmse, round(avg(abs(actual - predicted)), 5) AS mae, round(1 - sum((actual - predicted) ** 2) / (var_pop(actual) * count(*)), 5) + 0.0 AS r2 FROM pd GROUP BY 1"))
+_YW = """zz AS (SELECT series_id, t_ms, value - avg(value) OVER (PARTITION BY series_id) AS z, avg(value) OVER (PARTITION BY series_id) AS m FROM st),
+zl AS (SELECT series_id, m, z, lag(z, 1) OVER w AS z1, lag(z, 2) OVER w AS z2 FROM zz WINDOW w AS (PARTITION BY series_id ORDER BY t_ms)),
+gm AS (SELECT series_id, any_value(m) AS m, count(*) AS n, sum(z * z) AS g0, sum(z * z1) AS g1, sum(z * z2) AS g2 FROM zl GROUP BY 1),
+yw AS (SELECT series_id, m, n, g0, g1, g2, 1 AS "order", g1 / g0 AS a, CAST(NULL AS DOUBLE) AS b FROM gm UNION ALL SELECT series_id, m, n, g0, g1, g2, 2, g1 * (g0 - g2) / (g0 * g0 - g1 * g1), (g0 * g2 - g1 * g1) / (g0 * g0 - g1 * g1) FROM gm),
+ys AS (SELECT *, (1 - a - coalesce(b, 0)) * m AS c, (g0 - a * g1 - coalesce(b * g2, 0)) / n AS sigma2 FROM yw),
+ya AS (SELECT *, n * ln(sigma2) + 2 * ("order" + 1) AS aic FROM ys)"""
+add("ar_fit_yule_walker", lambda spark, d: r6(stats.yule_walker(V.by_type(spark, d), 2).select(K, "order", "c", F.col("phi")[0].alias("phi1"), F.get("phi", F.lit(1)).alias("phi2"), "sigma2", "aic", "chosen"), "c", "phi1", "phi2", "sigma2", "aic", n=5), _with(sql("st", "SELECT series_id, CAST(\"order\" AS INT) AS \"order\", round(c, 5) + 0.0 AS c, round(a, 5) + 0.0 AS phi1, round(b, 5) + 0.0 AS phi2, round(sigma2, 5) + 0.0 AS sigma2, round(aic, 5) + 0.0 AS aic, \"order\" = arg_min(\"order\", (aic, \"order\")) OVER (PARTITION BY series_id) AS chosen FROM ya"), _YW))
+add("ar_predict", lambda spark, d: r6(M.predict(V.by_type(spark, d), _fit(spark, d), 1).drop("sigma"), "actual", "predicted", n=5), _m1("SELECT series_id, t_ms, round(actual, 5) AS actual, round(predicted, 5) AS predicted FROM pd"))
+_EV = ["mse", "rmse", "mae", "r2", "adj_r2", "log_likelihood", "aic"]
+add("ar_evaluate", lambda spark, d: r6(M.evaluate(M.predict(V.by_type(spark, d), _fit(spark, d), 1), 1).select(K, "n", *_EV), *_EV, n=4), _with(_m1("SELECT series_id, n, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in _EV) + " FROM (SELECT *, sqrt(mse) AS rmse, 1 - (1 - r2) * (n - 1) / (n - 2) AS adj_r2, 6 - 2 * log_likelihood AS aic FROM (SELECT *, -n / 2.0 * ln(2 * pi() * sse / (n - 2)) - (n - 2) / 2.0 AS log_likelihood FROM ev))"), "ev AS (SELECT series_id, count(*) AS n, sum((actual - predicted) ** 2) AS sse, avg((actual - predicted) ** 2) AS mse, avg(abs(actual - predicted)) AS mae, 1 - sum((actual - predicted) ** 2) / (var_pop(actual) * count(*)) AS r2 FROM pd GROUP BY 1)"))
 add("ar_forecast", lambda spark, d: r6(M.forecast(V.by_type(spark, d), _fit(spark, d), 1, 3), "predicted", n=5), _m1("SELECT series_id, t0 + k * dt AS t_ms, round(CASE k WHEN 1 THEN c + phi * v WHEN 2 THEN c + phi * (c + phi * v) ELSE c + phi * (c + phi * (c + phi * v)) END, 5) AS predicted FROM (SELECT series_id, max(t_ms) AS t0, arg_max(value, t_ms) AS v, max(t_ms) - list_sort(list(t_ms), 'DESC')[2] AS dt FROM st GROUP BY 1) JOIN b USING (series_id), range(1, 4) q(k)"))
 
 
@@ -251,7 +239,7 @@ def _registry() -> Registry:
 
 
 _UM = sql("s", "SELECT series_id, round(avg(value), 4) AS mean, count(*) FILTER (value > 10) AS above FROM s GROUP BY 1")
-for _n in ("udaf_metric", "metric_remove", "feature_install"):
+for _n in ("udaf_metric", "metric_remove"):
     add(_n, lambda spark, d: _registry().evaluate(V.series(spark, d), [K]), _UM)
 add("udaf_metric_param", lambda spark, d: _registry().evaluate(V.series(spark, d), [K], {"above": {"x": 20.0}}), _UM.replace("value > 10", "value > 20"))
 add("udaf_metric_multi", lambda spark, d: _registry().evaluate_multi(V.by_type(spark, d), ["click", "view"], K, lambda c: F.round(F.sum(c[0]) + F.sum(c[1]), 3), "total"), sql("st", "SELECT round(sum(value) FILTER (series_id = 'click') + sum(value) FILTER (series_id = 'view'), 3) AS total FROM st WHERE series_id IN ('click', 'view')"))
@@ -267,6 +255,4 @@ def _derived(spark, d):
 
 add("derived_series", _derived, sql("s", "SELECT series_id, t_ms, round(CASE WHEN b > 0 AND value >= 0 THEN (value - b) / b END, 6) + 0.0 AS value FROM (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY t_ms) AS b, row_number() OVER (PARTITION BY series_id ORDER BY t_ms) AS r FROM (SELECT series_id, t_ms, value * 3 AS value FROM s)) WHERE r > 1"))
 add("set_range", lambda spark, d: r6(S.returns(V.prices(spark, d).where(f"t_ms BETWEEN {MID} AND {MID + 365 * DAY}"), "simple"), "value"), sql("p", f"SELECT series_id, t_ms, round((value - b) / b, 6) + 0.0 AS value FROM (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY t_ms) AS b FROM p WHERE t_ms BETWEEN {MID} AND {MID + 365 * DAY}) WHERE b IS NOT NULL"))
-for _n in ("set_frequency", "session_source"):
-    add(_n, lambda spark, d: V.buckets(spark, d).where(F.col("freq_ms") == V.HOUR).groupBy(K).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")), sql("sb", f"SELECT series_id, count(*) AS n, round(sum(value), 4) AS total FROM sb WHERE freq_ms = {V.HOUR} GROUP BY 1"))
 add("analysis_describe", lambda spark, d: V.by_type(spark, d).groupBy(K).agg(F.round(stats.mean("value"), 4).alias("mean"), F.round(stats.std("value", False), 4).alias("sd"), (F.round(stats.skew("value"), 3) + 0.0).alias("skew"), (F.round(stats.kurtosis("value"), 3) + 0.0).alias("kurt"), F.round(F.min("value"), 4).alias("min"), F.round(F.max("value"), 4).alias("max")).join(stats.acf(V.by_type(spark, d), 1).where("lag = 1").select(K, (F.round("acf", 5) + 0.0).alias("acf1")), K), _with(sql("st", "SELECT series_id, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS sd, round((avg(value ** 3) - 3 * avg(value) * avg(value ** 2) + 2 * avg(value) ** 3) / stddev_pop(value) ** 3, 3) + 0.0 AS skew, round(kurtosis_pop(value) + 3, 3) + 0.0 AS kurt, round(min(value), 4) AS min, round(max(value), 4) AS max, any_value(r) AS acf1 FROM st JOIN (SELECT series_id, round(sum(z * zl) / sum(z * z), 5) + 0.0 AS r FROM zz GROUP BY 1) USING (series_id) GROUP BY 1"), "zz AS (SELECT series_id, z, coalesce(lag(z) OVER (PARTITION BY series_id ORDER BY t_ms), 0) AS zl FROM (SELECT series_id, t_ms, value - avg(value) OVER (PARTITION BY series_id) AS z FROM st))"))

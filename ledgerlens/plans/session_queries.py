@@ -12,7 +12,7 @@ from ..operators import series as S
 from . import portfolio_queries as PQ
 from . import views as V
 from .core_queries import K, _requests, _RQ, exact, exact_sql, r6
-from .portfolio_queries import MID, PID, _FORMS, _all_rules, _calendar, _values, _with
+from .portfolio_queries import MID, PID, _FORMS, _REC, _calendar, _rules, _values, _with
 from .views import DAY, HOUR, sql
 
 QUERIES: dict = {}
@@ -20,6 +20,8 @@ ORACLES: dict = {}
 
 
 def add(name: str, run, oracle: str | None = None) -> None:
+    if name in QUERIES:
+        raise ValueError(f"{name} is registered already")
     QUERIES[name] = run
     if oracle:
         ORACLES[name] = oracle
@@ -131,12 +133,11 @@ rx AS (SELECT cx.day, min(t) FILTER (t >= cx.day) AS following, max(t) FILTER (t
 ra AS (SELECT rx.* FROM rx, oe WHERE rx.day BETWEEN f AND CAST(l + INTERVAL {months} MONTH AS DATE))"""
 for _n, _e in _FORMS.items():
     add_days(f"roll_{_n}", lambda spark, d, n=_n: _calendar(spark, d).select("day", C.roll(n).alias("rolled")), f"WITH {_RT(0)} SELECT day, {_e} AS rolled FROM ra", "day", "rolled")
-_REC = PQ._REC.replace(" WHERE o_orderkey % 97 = 0", "")
-add_days("recurrence_raw", lambda spark, d: C.recurrence(_all_rules(spark, d)).select("o_orderkey", "day"), f"WITH {_REC} SELECT o_orderkey, day FROM rc WHERE day <= en", "day")
+add_days("recurrence_raw", lambda spark, d: C.recurrence(_rules(spark, d)).select("o_orderkey", "day"), f"WITH {_REC} SELECT o_orderkey, day FROM rc WHERE day <= en", "day")
 
 
 def _rolled(spark, d):
-    days = C.recurrence(_all_rules(spark, d)).select("o_orderkey", "unit", "day")
+    days = C.recurrence(_rules(spark, d)).select("o_orderkey", "unit", "day")
     return days.join(F.broadcast(_calendar(spark, d, 18).select("day", C.roll("modified_following").alias("rolled"))), "day")
 
 

@@ -7,6 +7,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens import catalog
 from ledgerlens.functions import stats
 from ledgerlens.operators import calendar as C
 from ledgerlens.operators import ledger as L
@@ -14,7 +15,6 @@ from ledgerlens.operators import models as M
 from ledgerlens.operators import resample as R
 from ledgerlens.operators import series as S
 from ledgerlens.operators import valuation as P
-from ledgerlens.plans import portfolio_queries
 from ledgerlens.plans import views as V
 from ledgerlens.plans.metrics import Registry
 from ledgerlens.sources import files
@@ -178,10 +178,10 @@ def test_recurrences_of_all_orders(spark, tmp_path):
             raw.add((key, str(day)))
             roll.add((key, str(f if f.month == day.month else p)))
             k += 1
-    run = portfolio_queries.QUERIES
-    got = [tuple(r) for r in run["recurrence_all"](spark, str(tmp_path)).collect()]
+    run = catalog.queries()
+    got = [tuple(r) for r in run["recurrence_raw"](spark, str(tmp_path)).collect()]
     assert len(got) == len(raw) and set(got) == raw and max(d for _, d in raw) > "2003"
-    got = [tuple(r) for r in run["recurrence_rolled_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in run["recurrence_rolled"](spark, str(tmp_path)).collect()]
     assert len(got) == len(roll) and set(got) == roll
 
 
@@ -193,7 +193,7 @@ def test_grid_of_all_portfolios(spark):
     for r in [*V.prices(spark, d).collect(), *V.fx(spark, d).collect()]:
         ticks[r["series_id"]].add(r["t_ms"])
     want = {(p, x) for p, assets in held.items() for a in assets for s in (a, money.get(a, a.removeprefix("CASH:"))) if s != "USD" for x in ticks[s]}
-    got = [tuple(r) for r in portfolio_queries.QUERIES["portfolio_grid_all"](spark, d).collect()]
+    got = [tuple(r) for r in catalog.queries()["portfolio_grid"](spark, d).collect()]
     assert len(got) == len(want) and set(got) == want and len({p for p, _ in got}) > 3
 
 
@@ -206,7 +206,7 @@ def test_rolls_of_all_days(spark, tmp_path):
         "modified_following": lambda x, f, p: f if f.month == x.month else p, "modified_preceding": lambda x, f, p: p if p.month == x.month else f,
     }
     for name, form in forms.items():
-        got = {r["day"]: r["rolled"] for r in portfolio_queries.QUERIES[f"roll_{name}_all"](spark, str(tmp_path)).collect()}
+        got = {r["day"]: r["rolled"] for r in catalog.queries()[f"roll_{name}"](spark, str(tmp_path)).collect()}
         assert got == {str(x): str(form(x, *rolled(x, is_open))) for x in span}
 
 
@@ -273,3 +273,49 @@ def test_loading_from_a_snapshot_equals_a_replay(spark):
     loaded = L.snapshot_at(L.seeds(L.snapshot_at(t, mid), mid).unionByName(t.where(F.col("t_ms") > mid).select("portfolio_id", "t_ms", "type", "ticker", "quantity", "price", "fee", "currency", "id")))
     rows = lambda df: sorted((r["portfolio_id"], r["asset"], round(r["quantity"], 6)) for r in df.collect())
     assert rows(loaded) == rows(L.snapshot_at(t))
+
+
+def test_segments_by_key(spark):
+    """Masks of tiled, overlapping and open segments, against a check of every pair."""
+    from ledgerlens.operators import intervals as I
+
+    grid = spark.createDataFrame([(k, t) for k in range(6) for t in (100, 150, 200, 250)], "k long, t_ms long")
+    named = [(0, 150, 250), (1, 150, None), (2, 50, 200), (3, 300, None), (4, 20, 50), (5, 50, 200), (5, 200, None)]
+    for width in (1, 30, 1000):
+        got = I.segment_mask(grid, spark.createDataFrame(named, "k long, begin long, end long"), ["k"], width).collect()
+        masks = {k: "".join(str(r["mask"]) for r in sorted(got, key=lambda r: r["t_ms"]) if r["k"] == k) for k in range(6)}
+        assert masks == {0: "0110", 1: "0111", 2: "1100", 3: "0000", 4: "0000", 5: "1111"}
+    rng = random.Random(3)
+    points = [(rng.randint(0, 3), rng.randint(-50, 50)) for _ in range(200)]
+    spans = [(rng.randint(0, 4), a := rng.randint(-80, 60), rng.choice([None, a, a + rng.randint(0, 60)])) for _ in range(60)]
+    got = I.segment_mask(spark.createDataFrame(points, "k long, t_ms long"), spark.createDataFrame(spans, "k long, begin long, end long"), ["k"], 7).collect()
+    want = sorted((k, t, sum(s == k and a <= t and (b is None or t < b) for s, a, b in spans)) for k, t in points)
+    assert sorted((r["k"], r["t_ms"], r["n_segments"]) for r in got) == want and all(r["mask"] == (r["n_segments"] > 0) for r in got)
+
+
+def test_toeplitz_systems_and_erfc(spark):
+    import numpy as np
+
+    rng = random.Random(5)
+    rows, want = [], {}
+    for k in range(30):
+        n = rng.randint(1, 7)
+        first = [4.0 + n] + [rng.uniform(-1, 1) for _ in range(n - 1)]
+        rhs = [rng.uniform(-5, 5) for _ in range(n)]
+        rows.append((k, first, rhs))
+        want[k] = np.linalg.solve([[first[abs(i - j)] for j in range(n)] for i in range(n)], rhs)
+    for r in spark.createDataFrame(rows, "k int, a array<double>, b array<double>").select("k", stats.toeplitz_solve(F.col("a"), F.col("b")).alias("x")).collect():
+        assert r["x"] == pytest.approx(list(want[r["k"]]), rel=1e-9, abs=1e-12)
+    y = [0.0, 1.0]
+    for i in range(400):
+        y.append(1 + 0.5 * y[-1] + 0.3 * y[-2] + rng.gauss(0, 1))
+    s = make(spark, y)
+    fits = {r["order"]: r for r in stats.yule_walker(s, 4).collect()}
+    z = np.array(y) - np.mean(y)
+    g = [float((z[k:] * z[: len(z) - k]).sum()) for k in range(5)]
+    for q in range(1, 5):
+        phi = np.linalg.solve([[g[abs(i - j)] for j in range(q)] for i in range(q)], g[1 : q + 1])
+        assert fits[q]["phi"] == pytest.approx(list(phi)) and fits[q]["c"] == pytest.approx((1 - phi.sum()) * np.mean(y))
+    assert sum(r["chosen"] for r in fits.values()) == 1 and min(fits.values(), key=lambda r: r["aic"])["chosen"] and fits[1]["aic"] > fits[2]["aic"]
+    for r in spark.createDataFrame([(x / 7,) for x in range(-30, 31)], "x double").select("x", stats.erfc(F.col("x")).alias("y")).collect():
+        assert r["y"] == pytest.approx(math.erfc(r["x"]), rel=2e-7)
