@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -194,5 +196,43 @@ def correlation_matrix(df: DataFrame, key: str = "series_id") -> DataFrame:
     x = df.select(F.col(key).alias("a"), "t_ms", F.col("value").alias("x"))
     y = df.select(F.col(key).alias("b"), "t_ms", F.col("value").alias("y"))
     flat = (F.stddev_pop("x") == 0) | (F.stddev_pop("y") == 0)
-    both = x.join(y, "t_ms").where("a < b").groupBy("a", "b").agg(F.when(flat, F.lit(0.0)).otherwise(F.corr("x", "y")).alias("corr"))
+    both = x.join(y, "t_ms").where("a < b").groupBy("a", "b").agg(F.when(flat, F.lit(0.0)).otherwise(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))).alias("corr"))
     return both.unionByName(df.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("corr")).distinct())
+
+
+def correlation_blocks(df: DataFrame, key: str = "series_id", n_blocks: int = 8, chunk_ms: int = 365 * 86_400_000) -> DataFrame:
+    """``correlation_matrix`` for many series: centred values are packed by (chunk of time, block of series), and only packs are paired.
+
+    A task multiplies two packs of one chunk and gives the six sums of each pair of series over their common ticks; the sums are
+    added over the chunks. Ticks of a series are unique; a pack holds ticks x series of its chunk and block.
+    """
+    finite_rows = df.where(finite(F.col("value")))
+    centre = F.avg("value").over(W.partitionBy(key))
+    placed = finite_rows.select(F.col(key).cast("string").alias("s"), "t_ms", (F.col("value") - centre).alias("v"), F.floor(F.col("t_ms") / chunk_ms).alias("chunk"), F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int").alias("block"))
+    packs = placed.groupBy("chunk", "block").agg(F.collect_list(F.struct("s", "t_ms", "v")).alias("rows"))
+    left, right = packs.select("chunk", F.col("block").alias("i"), F.col("rows").alias("x")), packs.select("chunk", F.col("block").alias("j"), F.col("rows").alias("y"))
+    pairs = left.join(right, "chunk").where("i <= j").select("x", "y")
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                x, y = (pd.DataFrame.from_records([tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in rows], columns=["s", "t", "v"]).pivot(index="t", columns="s", values="v") for rows in (x, y))
+                ticks = x.index.intersection(y.index)
+                a, b = (m.loc[ticks].to_numpy() for m in (x, y))
+                here, there = (~np.isnan(m) for m in (a, b))
+                a, b = np.nan_to_num(a), np.nan_to_num(b)
+                p, q = here.astype(float), there.astype(float)
+                sums = [p.T @ q, a.T @ q, p.T @ b, (a * a).T @ q, p.T @ (b * b), a.T @ b]
+                first, second = np.meshgrid(x.columns.to_numpy(), y.columns.to_numpy(), indexing="ij")
+                out = pd.DataFrame({"a": first.ravel(), "b": second.ravel()} | {c: m.ravel() for c, m in zip(("n", "x", "y", "xx", "yy", "xy"), sums, strict=True)})
+                swap = out["a"] > out["b"]
+                out.loc[swap, ["a", "b", "x", "y", "xx", "yy"]] = out.loc[swap, ["b", "a", "y", "x", "yy", "xx"]].to_numpy()
+                yield out[(out["a"] != out["b"]) & (out["n"] > 0)].drop_duplicates(["a", "b"])
+
+    each = pairs.mapInPandas(products, "a string, b string, n double, x double, y double, xx double, yy double, xy double")
+    total = each.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    vx, vy = F.col("xx") - F.col("x") * F.col("x") / F.col("n"), F.col("yy") - F.col("y") * F.col("y") / F.col("n")
+    flat = (vx <= F.col("xx") * 1e-12) | (vy <= F.col("yy") * 1e-12)
+    corr = F.when(flat, F.lit(0.0)).otherwise(F.try_divide(F.col("xy") - F.col("x") * F.col("y") / F.col("n"), F.sqrt(vx * vy)))
+    own = finite_rows.select(F.col(key).cast("string").alias("a")).distinct()
+    return total.select("a", "b", corr.alias("corr")).unionByName(own.select("a", F.col("a").alias("b"), F.lit(1.0).alias("corr")))

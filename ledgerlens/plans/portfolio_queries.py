@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import sketches, stats
 from ..operators import calendar as C
 from ..operators import ledger as L
 from ..operators import models as M
@@ -15,7 +15,7 @@ from ..operators import series as S
 from ..operators import valuation as P
 from . import views as V
 from .core_queries import K, exact, exact_sql, r6
-from .metrics import Registry
+from .metrics import Graph, Registry, before, return_graph
 from .views import DAY, sql
 
 QUERIES: dict = {}
@@ -247,12 +247,39 @@ add("udf_apply", lambda spark, d: r6(V.series(spark, d).withColumn("value", F.ln
 
 
 def _derived(spark, d):
-    r = Registry()
-    r.add_series("doubled", ["base"], lambda s: S.scalar(s, "mul", 2))
-    r.add_series("sum", ["base", "doubled"], lambda a, b: S.combine(a, b, "add"))
-    return r6(S.returns(r.resolve("sum", {"base": V.series(spark, d)}), "simple"), "value")
+    """A diamond: the sum of the base series and its double, and two returns of that sum."""
+    g = Graph()
+    g.transforms |= return_graph().transforms
+    g.add("sum", ["base", "base::double"], lambda a, b: a + b)
+    return r6(g.evaluate(V.series(spark, d), ["base::double", "sum::simple", "sum::log"]), "value")
+
+
+_DER = "q AS (SELECT series_id, t_ms, value, value * 3 AS y, lag(value * 3) OVER (PARTITION BY series_id ORDER BY t_ms) AS b FROM s)"
+add("derived_series", _derived, _with(sql("s", "SELECT series_id, 'base::double' AS item, t_ms, round(value * 2, 6) + 0.0 AS value FROM q UNION ALL SELECT series_id, 'sum::simple', t_ms, round((y - b) / b, 6) + 0.0 FROM q WHERE b > 0 AND y >= 0 UNION ALL SELECT series_id, 'sum::log', t_ms, round(ln(y / b), 6) + 0.0 FROM q WHERE b > 0 AND y > 0"), _DER))
+
+
+def _installed(spark, d):
+    """The default return features of every brand, with two more installed after them, one on the other."""
+    g = return_graph()
+    g.add("momentum", ["base"], lambda x: x / before(x, 5) - 1)
+    g.install("momentum", "momentum::diff")
+    return g.evaluate(V.prices(spark, d), []).withColumn("value", exact("value", 4))
+
+
+_INST = "q AS (SELECT series_id, t_ms, value, lag(value) OVER w AS b, value / lag(value, 5) OVER w - 1 AS m FROM p WINDOW w AS (PARTITION BY series_id ORDER BY t_ms)), qm AS (SELECT *, m - lag(m) OVER (PARTITION BY series_id ORDER BY t_ms) AS dm FROM q), qa AS (SELECT series_id, 'base::log' AS item, t_ms, ln(value / b) AS value FROM qm WHERE b > 0 AND value > 0 UNION ALL SELECT series_id, 'base::simple', t_ms, (value - b) / b FROM qm WHERE b > 0 AND value >= 0 UNION ALL SELECT series_id, 'momentum', t_ms, m FROM qm UNION ALL SELECT series_id, 'momentum::diff', t_ms, dm FROM qm)"
+add("feature_install", _installed, _with(sql("p", f"SELECT series_id, item, t_ms, {exact_sql('value', 4)} AS value FROM qa WHERE value IS NOT NULL"), _INST))
+add("correlation_matrix_blocks", lambda spark, d: r6(stats.correlation_blocks(V.prices(spark, d), n_blocks=4), "corr"), sql("p", "SELECT x.series_id AS a, y.series_id AS b, round(corr(x.value, y.value), 6) + 0.0 AS corr FROM p x JOIN p y ON x.t_ms = y.t_ms AND x.series_id < y.series_id GROUP BY 1, 2 UNION ALL SELECT DISTINCT series_id, series_id, 1.0::DOUBLE FROM p"))
+
+
+def _sketched(spark, d):
+    """Whether the median and the 90 % quantile from merged daily sketches have a rank within twice the stated error, for each event type."""
+    s = V.table(spark, d, "events").select(F.col("event_type").alias(K), V.ms("ts").alias("t_ms"), "value")
+    asked = sketches.quantiles(sketches.merged(sketches.sketched(s, [K], DAY), [K]), [K], [0.5, 0.9]).withColumnRenamed("value", "q")
+    ranks = s.join(F.broadcast(asked), K).groupBy(K, "share").agg(F.count("*").alias("n"), F.avg((F.col("value") < F.col("q")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("q")).cast("double")).alias("upto"))
+    allowed = 2 * sketches.rank_error()
+    return ranks.select(K, "share", "n", ((F.col("below") <= F.col("share") + allowed) & (F.col("upto") >= F.col("share") - allowed)).alias("within"))
 
 
-add("derived_series", _derived, sql("s", "SELECT series_id, t_ms, round(CASE WHEN b > 0 AND value >= 0 THEN (value - b) / b END, 6) + 0.0 AS value FROM (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY t_ms) AS b, row_number() OVER (PARTITION BY series_id ORDER BY t_ms) AS r FROM (SELECT series_id, t_ms, value * 3 AS value FROM s)) WHERE r > 1"))
+add("stat_quantile_sketch", _sketched, "SELECT event_type AS series_id, share, count(*) AS n, true AS within FROM events, (VALUES (0.5::DOUBLE), (0.9::DOUBLE)) v(share) GROUP BY 1, 2")
 add("set_range", lambda spark, d: r6(S.returns(V.prices(spark, d).where(f"t_ms BETWEEN {MID} AND {MID + 365 * DAY}"), "simple"), "value"), sql("p", f"SELECT series_id, t_ms, round((value - b) / b, 6) + 0.0 AS value FROM (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY t_ms) AS b FROM p WHERE t_ms BETWEEN {MID} AND {MID + 365 * DAY}) WHERE b IS NOT NULL"))
 add("analysis_describe", lambda spark, d: V.by_type(spark, d).groupBy(K).agg(F.round(stats.mean("value"), 4).alias("mean"), F.round(stats.std("value", False), 4).alias("sd"), (F.round(stats.skew("value"), 3) + 0.0).alias("skew"), (F.round(stats.kurtosis("value"), 3) + 0.0).alias("kurt"), F.round(F.min("value"), 4).alias("min"), F.round(F.max("value"), 4).alias("max")).join(stats.acf(V.by_type(spark, d), 1).where("lag = 1").select(K, (F.round("acf", 5) + 0.0).alias("acf1")), K), _with(sql("st", "SELECT series_id, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS sd, round((avg(value ** 3) - 3 * avg(value) * avg(value ** 2) + 2 * avg(value) ** 3) / stddev_pop(value) ** 3, 3) + 0.0 AS skew, round(kurtosis_pop(value) + 3, 3) + 0.0 AS kurt, round(min(value), 4) AS min, round(max(value), 4) AS max, any_value(r) AS acf1 FROM st JOIN (SELECT series_id, round(sum(z * zl) / sum(z * z), 5) + 0.0 AS r FROM zz GROUP BY 1) USING (series_id) GROUP BY 1"), "zz AS (SELECT series_id, z, coalesce(lag(z) OVER (PARTITION BY series_id ORDER BY t_ms), 0) AS zl FROM (SELECT series_id, t_ms, value - avg(value) OVER (PARTITION BY series_id) AS z FROM st))"))

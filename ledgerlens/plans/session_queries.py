@@ -93,8 +93,7 @@ UNION ALL SELECT series_id, 'sharpe', max(t_ms), avg(value) / stddev_samp(value)
 UNION ALL SELECT series_id, 'totalReturn', max(t_ms), (arg_max(value, t_ms) - arg_min(value, t_ms)) / arg_min(value, t_ms) FROM {base} GROUP BY 1)"""
 _FS = f"SELECT series_id, item, t_ms, {exact_sql('value', 5)} AS value FROM fs WHERE value IS NOT NULL AND isfinite(value)"
 _shown = lambda df: df.withColumn("value", exact("value", 5))
-for _n in ("default_return_features", "feature_install"):
-    add(_n, lambda spark, d: _shown(return_features(V.prices(spark, d))), _with(sql("p", _FS), _FEATURES("p")))
+add("default_return_features", lambda spark, d: _shown(return_features(V.prices(spark, d))), _with(sql("p", _FS), _FEATURES("p")))
 # The same for each asset over a range at the finest frequency that a cap allows.
 add("asset_analysis", lambda spark, d: _shown(return_features(_raw(spark, d, HOUR).select(K, "t_ms", "value"))), _with(sql("sb", _FS), f"{_RAW(HOUR)}, rawbars AS (SELECT series_id, t_ms, value FROM ({_RAWS})), {_FEATURES('rawbars')}"))
 add("stat_minmax", lambda spark, d: V.series(spark, d).where(S.finite(F.col("value"))).groupBy(K).agg(F.min("value").alias("min"), F.max("value").alias("max")), sql("s", "SELECT series_id, min(value) AS min, max(value) AS max FROM s GROUP BY 1"))

@@ -319,3 +319,53 @@ def test_toeplitz_systems_and_erfc(spark):
     assert sum(r["chosen"] for r in fits.values()) == 1 and min(fits.values(), key=lambda r: r["aic"])["chosen"] and fits[1]["aic"] > fits[2]["aic"]
     for r in spark.createDataFrame([(x / 7,) for x in range(-30, 31)], "x double").select("x", stats.erfc(F.col("x")).alias("y")).collect():
         assert r["y"] == pytest.approx(math.erfc(r["x"]), rel=2e-7)
+
+
+def test_graph_reads_its_source_once(spark, tmp_path):
+    """A diamond of derived series, nested transforms and installed features in one pass; unknown names and cycles are errors."""
+    from ledgerlens.plans.metrics import Graph, before, return_graph
+
+    make(spark, [1, 2, 4, 8, math.nan, 3]).write.parquet(str(tmp_path / "t"))
+    g = return_graph()
+    g.add("sum", ["base", "base::double"], lambda a, b: a + b)
+    g.add("top", ["sum::diff", "sum"], lambda a, b: a + b)
+    g.install("top::diff", "base::log")
+    out = g.evaluate(spark.read.parquet(str(tmp_path / "t")), ["sum"])
+    got = defaultdict(list)
+    for r in out.orderBy("item", "t_ms").collect():
+        got[r["item"]].append(round(r["value"], 6))
+    assert got["sum"] == [3, 6, 12, 24, 9] and got["base::simple"] == [1, 1, 1] and got["top::diff"] == [9, 18] and len(got["base::log"]) == 3
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+    g.remove("top::diff")
+    assert "top::diff" not in {r["item"] for r in g.evaluate(spark.read.parquet(str(tmp_path / "t")), []).collect()}
+    with pytest.raises(KeyError):
+        g.evaluate(out, ["base::nothing"])
+    loop = Graph()
+    loop.add("x", ["y"], lambda y: y)
+    loop.add("y", ["x"], lambda x: before(x))
+    with pytest.raises(ValueError):
+        loop.evaluate(out, ["x"])
+
+
+def test_correlations_by_blocks(spark):
+    rng = random.Random(6)
+    rows = [(f"s{k}", t * 1000, rng.gauss(0, 1) + (t / 9 if k % 2 else 0)) for k in range(7) for t in range(40) if rng.random() < 0.8]
+    rows += [("flat", t * 1000, 5.0) for t in range(40)] + [("far", 10**9, 1.0)]
+    df = spark.createDataFrame(rows, "series_id string, t_ms long, value double")
+    shown = lambda d: sorted((r["a"], r["b"], round(r["corr"], 9)) for r in d.collect() if r["corr"] is not None)
+    for blocks, chunk in ((1, 10**12), (3, 7000)):
+        assert shown(stats.correlation_blocks(df, n_blocks=blocks, chunk_ms=chunk)) == shown(stats.correlation_matrix(df))
+
+
+def test_sketches_merge_within_their_error(spark):
+    from ledgerlens.functions import sketches
+
+    values = [random.Random(k).expovariate(1) for k in range(20_000)]
+    df = spark.createDataFrame([("a", k * 1000, v) for k, v in enumerate(values)], "series_id string, t_ms long, value double")
+    ordered = sorted(values)
+    for bucket in (10**12, 500_000):  # one pass, and forty buckets merged
+        cut = sketches.sketched(df, ["series_id"], bucket)
+        for r in sketches.quantiles(sketches.merged(cut, ["series_id"]), ["series_id"], [0.01, 0.25, 0.5, 0.9, 0.999]).collect():
+            rank = sum(v <= r["value"] for v in ordered) / len(ordered)
+            assert abs(rank - r["share"]) <= 2 * sketches.rank_error()
