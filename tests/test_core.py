@@ -369,3 +369,16 @@ def test_sketches_merge_within_their_error(spark):
         for r in sketches.quantiles(sketches.merged(cut, ["series_id"]), ["series_id"], [0.01, 0.25, 0.5, 0.9, 0.999]).collect():
             rank = sum(v <= r["value"] for v in ordered) / len(ordered)
             assert abs(rank - r["share"]) <= 2 * sketches.rank_error()
+
+
+def test_metadata_and_logs(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("ticker;name;denomination;exchange;sector\nABC;A b;USD;X;Tech\nDEF;D;EUR;Y;\n")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "ABC.attr").write_text("isin=US1\nnote=a=b\nno pair\n")
+    got = {r["ticker"]: (r["denomination"], r["sector"], r["attributes"]) for r in files.read_equities(spark, str(tmp_path / "e.csv"), str(tmp_path / "a")).collect()}
+    assert got == {"ABC": ("USD", "Tech", {"isin": "US1", "note": "a=b"}), "DEF": ("EUR", None, None)}
+    (tmp_path / "c.csv").write_text("ticker;denomination\nUSD;USD\n")
+    assert [tuple(r) for r in files.read_cash(spark, str(tmp_path / "c.csv")).collect()] == [("USD", "USD")]
+    head = "id;timestampMs;type;asset_type;asset_ticker;quantity;price_per_unit;fees;settlement_currency\n"
+    (tmp_path / "t.csv").write_text(head + "".join(f"{k};{k}000;Buy;Equity;ABC;1;2;0;USD\n" for k in (1, 2, 3)))
+    assert sorted(r["id"] for r in files.read_transactions(spark, str(tmp_path / "t.csv"), 2000).collect()) == ["2", "3"]
