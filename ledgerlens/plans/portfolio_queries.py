@@ -35,9 +35,17 @@ MID = 883_612_800_000  # 1998-01-01
 _at = lambda t: f"t_ms <= {t}"
 
 # Ledger.
-#: The history of a portfolio is worked off in pieces of so many days.
+#: The history of a portfolio is worked off in pieces of so many days; that of one asset in a portfolio only where it is long.
 PIECE = 365 * DAY
-add("ledger_positions", lambda spark, d: r6(L.positions(V.txns(spark, d), PIECE).select(PID, "ticker", "t_ms", "id", "held", "position"), "held", "position", n=4), sql("pos", "SELECT portfolio_id, ticker, t_ms, id, round(held, 4) + 0.0 AS held, round(position, 4) + 0.0 AS position FROM pos"))
+_POS = sql("pos", "SELECT portfolio_id, ticker, t_ms, id, round(held, 4) + 0.0 AS held, round(position, 4) + 0.0 AS position FROM pos")
+
+
+def _positions(piece):
+    return lambda spark, d: r6(L.positions(V.txns(spark, d), piece).select(PID, "ticker", "t_ms", "id", "held", "position"), "held", "position", n=4)
+
+
+add("ledger_positions", _positions(None), _POS)
+add("ledger_positions_in_pieces", _positions(PIECE), _POS)
 add("ledger_cash", lambda spark, d: r6(L.cash(V.txns(spark, d), PIECE).select(PID, "currency", "t_ms", "id", "delta", "balance"), "delta", "balance", n=2), sql("cd", "SELECT portfolio_id, currency, t_ms, id, round(delta, 2) + 0.0 AS delta, round(CAST(sum(CAST(delta AS DECIMAL(28,4))) OVER (PARTITION BY portfolio_id, currency ORDER BY t_ms, pr, id ROWS UNBOUNDED PRECEDING) AS DOUBLE), 2) + 0.0 AS balance FROM cd"))
 _STRICT = """o AS (SELECT portfolio_id, ticker, type, id, quantity, row_number() OVER (PARTITION BY portfolio_id, ticker ORDER BY t_ms, pr, id) AS n FROM tp WHERE type NOT IN ('Deposit', 'Withdrawal')),
 f AS (SELECT DISTINCT portfolio_id, ticker, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS q, false AS ever, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS reason FROM o
