@@ -66,10 +66,25 @@ def positions(txns: DataFrame, piece_ms: int | None = None) -> DataFrame:
     return before.join(starts, [*key, "_p"]).withColumns({"position": F.col("_r") * (F.col("_s") + F.col("_u")), "held": F.col("_lr") * (F.col("_s") + F.col("_lu"))}).select(*txns.columns, "position", "held")
 
 
-def asset_delta() -> Column:
-    """What an asset transaction with its position does to the cash of its currency."""
+#: Optional columns: a purchase may be paid in another currency, by a price of its own that counts as it is.
+PAYMENT = ("used_currency", "payment_price")
+
+
+def _elsewhere(txns: DataFrame) -> Column:
+    """Whether a row is a purchase that is paid in another currency."""
+    return (F.col("type") == "Buy") & F.col("used_currency").isNotNull() if set(PAYMENT) <= set(txns.columns) else F.lit(False)
+
+
+def purse(txns: DataFrame) -> Column:
+    """The currency whose cash a transaction moves."""
+    return F.when(_elsewhere(txns), F.col("used_currency")).otherwise(F.col("currency")) if set(PAYMENT) <= set(txns.columns) else F.col("currency")
+
+
+def asset_delta(txns: DataFrame) -> Column:
+    """What an asset transaction with its position does to the cash of its purse."""
     amount = F.col("quantity") * F.col("price")
-    return F.when(F.col("type") == "Buy", -(amount + F.col("fee"))).when(F.col("type") == "Sell", amount - F.col("fee")).when((F.col("type") == "Dividend") & (F.col("held") != 0), F.col("held") * F.col("price") - F.col("fee")).otherwise(0.0)
+    own = F.when(_elsewhere(txns), -F.col("payment_price")) if set(PAYMENT) <= set(txns.columns) else F.when(F.lit(False), F.lit(0.0))
+    return own.when(F.col("type") == "Buy", -(amount + F.col("fee"))).when(F.col("type") == "Sell", amount - F.col("fee")).when((F.col("type") == "Dividend") & (F.col("held") != 0), F.col("held") * F.col("price") - F.col("fee")).otherwise(0.0)
 
 
 def cash_delta() -> Column:
@@ -80,8 +95,9 @@ def cash_delta() -> Column:
 def cash_deltas(txns: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     """Every transaction with its effect on the cash of its currency."""
     assets = positions(txns) if assets is None else assets
-    keep = ["portfolio_id", "t_ms", "type", "id", "currency"]
-    return assets.select(*keep, asset_delta().alias("delta")).unionByName(txns.where(F.col("type").isin("Deposit", "Withdrawal")).select(*keep, cash_delta().alias("delta")))
+    keep = ["portfolio_id", "t_ms", "type", "id"]
+    money = txns.where(F.col("type").isin("Deposit", "Withdrawal")).select(*keep, "currency", cash_delta().alias("delta"))
+    return assets.select(*keep, purse(assets).alias("currency"), asset_delta(assets).alias("delta")).unionByName(money)
 
 
 def cash(txns: DataFrame, piece_ms: int | None = None) -> DataFrame:
@@ -167,13 +183,14 @@ def violations(txns: DataFrame, arrival: str | None = None) -> DataFrame:
 def holdings(txns: DataFrame) -> DataFrame:
     """(portfolio_id, asset, t_ms, quantity): the last state of each asset and currency at each instant it changes."""
     order = F.struct(priority(F.col("type")), F.col("id"))
-    a = positions(txns).withColumn("delta", asset_delta())
-    purse = F.concat(F.lit("CASH:"), F.col("currency"))
+    a = positions(txns)
+    a = a.withColumn("delta", asset_delta(a)).withColumn("currency", purse(a))
+    own = F.concat(F.lit("CASH:"), F.col("currency"))
     none = F.lit(None).cast("double")
     # A transaction changes an asset and a purse: both come from one pass over it.
-    pair = F.array(F.struct(F.col("ticker").alias("asset"), F.col("position").alias("p"), none.alias("d")), F.struct(purse.alias("asset"), none.alias("p"), F.col("delta").alias("d")))
+    pair = F.array(F.struct(F.col("ticker").alias("asset"), F.col("position").alias("p"), none.alias("d")), F.struct(own.alias("asset"), none.alias("p"), F.col("delta").alias("d")))
     moves = a.select("portfolio_id", "t_ms", order.alias("o"), F.explode(pair).alias("x")).select("portfolio_id", "t_ms", "o", "x.*")
-    money = txns.where(F.col("type").isin("Deposit", "Withdrawal")).select("portfolio_id", "t_ms", order.alias("o"), purse.alias("asset"), none.alias("p"), cash_delta().alias("d"))
+    money = txns.where(F.col("type").isin("Deposit", "Withdrawal")).select("portfolio_id", "t_ms", order.alias("o"), own.alias("asset"), none.alias("p"), cash_delta().alias("d"))
     held = moves.unionByName(money).where("asset IS NOT NULL").groupBy("portfolio_id", "asset", "t_ms").agg(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("o"))).alias("p"), F.sum(F.col("d").cast(MONEY)).alias("d"))
     w = W.partitionBy("portfolio_id", "asset").orderBy("t_ms").rowsBetween(W.unboundedPreceding, 0)
     return held.select("portfolio_id", "asset", "t_ms", F.coalesce("p", F.sum("d").over(w).cast("double")).alias("quantity"))
@@ -204,3 +221,21 @@ def append_dedupe(log: DataFrame, new: DataFrame) -> DataFrame:
 def replace_from(old: DataFrame, start: int, new: DataFrame) -> DataFrame:
     """Snapshots before ``start`` and the rebuilt ones."""
     return old.where(F.col("t_ms") < start).unionByName(new)
+
+
+def build(txns: DataFrame, positions: DataFrame | None = None, cash: DataFrame | None = None) -> DataFrame:
+    """(portfolio_id, asset, quantity) of portfolios that open with positions (portfolio_id, asset, quantity) and cash (portfolio_id, currency, amount).
+
+    Amounts of one currency add up, as initial capital does; two opening positions of one asset are an error.
+    """
+    opening = []
+    if positions is not None:
+        if not positions.groupBy("portfolio_id", "asset").count().where("count > 1").isEmpty():
+            raise ValueError("two or more opening positions of the same asset")
+        opening.append(positions.select("portfolio_id", "asset", "quantity"))
+    if cash is not None:
+        opening.append(cash.groupBy("portfolio_id", F.concat(F.lit("CASH:"), "currency").alias("asset")).agg(F.sum("amount").alias("quantity")))
+    log = txns
+    for part in opening:
+        log = log.unionByName(seeds(part, -(2**62)), allowMissingColumns=True)
+    return snapshot_at(log)

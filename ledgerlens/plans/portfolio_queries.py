@@ -143,7 +143,7 @@ def _portfolio_analysis(spark, d):
 
 
 add("portfolio_analysis", _portfolio_analysis, _with(sql("pg txn", f"SELECT portfolio_id, round((arg_max(nav, t_ms) - arg_min(nav, t_ms)) / arg_min(nav, t_ms), 3) AS total_return FROM (SELECT portfolio_id, t_ms, {exact_sql('sum(weight / t * value / p0)', 4)} AS nav FROM wt JOIN tw USING (portfolio_id) JOIN pg USING (series_id) JOIN pf USING (series_id) GROUP BY 1, 2) GROUP BY 1"), _WT))
-def _grid_all(spark, d):
+def _grid_rows(spark, d, rates_only: bool = False):
     """Ticks of every asset that a portfolio ever held and of the rate of every currency but the base, USD, of its holdings and cash."""
     held = L.holdings(V.txns(spark, d)).groupBy(PID, "asset").agg(F.max(F.col("quantity") != 0).alias("ever")).where("ever").select(PID, "asset")
     # Cash has no brand: as null it is safe where the join's filters reach this side.
@@ -151,8 +151,20 @@ def _grid_all(spark, d):
     own = shares.join(V.denomination(spark, d), "asset").select(PID, "currency")
     cash = held.where("asset LIKE 'CASH:%'").select(PID, F.substring("asset", 6, 99).alias("currency"))
     wanted = own.unionByName(cash).where("currency <> 'USD'").distinct().withColumnRenamed("currency", K)
-    ticks = lambda keys, series: keys.join(series.select(K, "t_ms"), K).select(PID, "t_ms")
-    return ticks(shares.withColumnRenamed("asset", K), V.prices(spark, d)).unionByName(ticks(wanted, V.fx(spark, d))).distinct()
+    ticks = lambda keys, series: keys.join(series.select(K, "t_ms"), K).select(PID, K, "t_ms")
+    rates = ticks(wanted, V.fx(spark, d))
+    return rates if rates_only else ticks(shares.withColumnRenamed("asset", K), V.prices(spark, d)).unionByName(rates)
+
+
+def _grid_all(spark, d):
+    return _grid_rows(spark, d).select(PID, "t_ms").distinct()
+
+
+def _grid_common(spark, d):
+    """Ticks that all rates of a portfolio have: with the prices of all its assets there would be none."""
+    rows = _grid_rows(spark, d, rates_only=True).distinct()
+    wanted = rows.groupBy(PID).agg(F.countDistinct(K).alias("n"))
+    return rows.groupBy(PID, "t_ms").agg(F.count("*").alias("held")).join(wanted, PID).where("held = n").select(PID, "t_ms")
 
 
 # Calendars. Days leave as text, which both engines write alike.

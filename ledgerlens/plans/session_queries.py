@@ -115,6 +115,9 @@ _GRIDS = """held AS (SELECT portfolio_id, asset FROM hold GROUP BY 1, 2 HAVING b
 want AS (SELECT portfolio_id, currency FROM held JOIN den USING (asset) WHERE currency <> 'USD' UNION SELECT portfolio_id, substr(asset, 6) FROM held WHERE asset LIKE 'CASH:%' AND substr(asset, 6) <> 'USD')"""
 add("portfolio_grid", PQ._grid_all, _with(sql("hold den p fx", "SELECT DISTINCT portfolio_id, t_ms FROM (SELECT portfolio_id, p.t_ms FROM held JOIN p ON p.series_id = held.asset UNION ALL SELECT portfolio_id, fx.t_ms FROM want JOIN fx ON fx.series_id = want.currency)"), _GRIDS))
 
+_GRID_ROWS = "SELECT DISTINCT portfolio_id, fx.series_id, fx.t_ms FROM want JOIN fx ON fx.series_id = want.currency"
+add("portfolio_grid_intersection", PQ._grid_common, _with(sql("hold den fx", "SELECT portfolio_id, t_ms FROM gr JOIN (SELECT portfolio_id, count(DISTINCT series_id) AS n FROM gr GROUP BY 1) USING (portfolio_id) GROUP BY portfolio_id, t_ms, n HAVING count(*) = n"), f"{_GRIDS}, gr AS ({_GRID_ROWS})"))
+
 # Transaction logs: all transactions, with ids that no two portfolios share.
 _log = lambda spark, d: V.txns(spark, d).withColumn("id", F.concat_ws(":", F.col(PID).cast("string"), "id"))
 _LOG = "lg AS (SELECT * REPLACE (concat_ws(':', portfolio_id, id) AS id) FROM txn)"

@@ -90,6 +90,29 @@ add("txn_delete", lambda spark, d: C.summary(_changed(spark, d, inserts=False, e
 add("txn_update", lambda spark, d: _changed(spark, d, inserts=False, deletes=False).log().select(PID, "id", "t_ms", "quantity"), sql("txn", f"SELECT CAST(portfolio_id AS BIGINT) AS portfolio_id, CASE WHEN {EDITED} THEN id || '-v2' ELSE id END AS id, t_ms, CASE WHEN {EDITED} THEN quantity + 1 ELSE quantity END AS quantity FROM txn"))
 
 
+def _opened(spark, d) -> DataFrame:
+    """Portfolios that open with ten of every asset they ever trade and with initial capital in two parts."""
+    log = V.txns(spark, d)
+    positions = log.where("ticker IS NOT NULL").select(PID, F.col("ticker").alias("asset"), F.lit(10.0).alias("quantity")).distinct()
+    capital = log.select(PID).distinct().select(PID, F.lit("USD").alias("currency"), F.explode(F.array(F.lit(1000.0), F.lit(500.0))).alias("amount"))
+    return r6(L.build(log, positions, capital), "quantity", n=2)
+
+
+_OPENING = f"SELECT * FROM txn UNION ALL SELECT DISTINCT portfolio_id, {-(2**62)}, 'Buy', ticker, 10.0, 0.0, 0.0, NULL, 'o-' || ticker FROM txn WHERE ticker IS NOT NULL UNION ALL SELECT DISTINCT portfolio_id, {-(2**62)}, 'Deposit', NULL, 1500.0, 0.0, 0.0, 'USD', 'o-cash' FROM txn"
+add("portfolio_build_from_opening", _opened, _over(_OPENING, "SELECT portfolio_id, asset, round(arg_max(quantity, t_ms), 2) + 0.0 AS quantity FROM hold WHERE asset IS NOT NULL GROUP BY 1, 2"))
+
+
+def _paid_abroad(spark, d) -> DataFrame:
+    """The cash of logs in which some purchases are paid in euros, at a price of their own."""
+    abroad = (F.col("type") == "Buy") & (F.col("quantity") % 5 == 0)
+    log = V.txns(spark, d).withColumns({"used_currency": F.when(abroad, F.lit("EUR")), "payment_price": F.when(abroad, F.col("quantity") * F.col("price") * 0.9)})
+    return r6(L.cash(log).groupBy(PID, "currency").agg(F.count("*").alias("n"), F.sum(F.col("delta").cast(L.MONEY)).cast("double").alias("balance")), "balance", n=2)
+
+
+_ABROAD = "type = 'Buy' AND quantity % 5 = 0"
+add("ledger_cash_other_currency", _paid_abroad, sql("cd", "SELECT portfolio_id, currency, count(*) AS n, round(CAST(sum(CAST(delta AS DECIMAL(28,4))) AS DOUBLE), 2) + 0.0 AS balance FROM cd GROUP BY 1, 2").replace("id, currency, CASE WHEN type = 'Buy' THEN", f"id, CASE WHEN {_ABROAD} THEN 'EUR' ELSE currency END AS currency, CASE WHEN {_ABROAD} THEN -(quantity * price * 0.9::DOUBLE) WHEN type = 'Buy' THEN"))
+
+
 def _in_waves(df: DataFrame, waves: int, path: str, start) -> None:
     """Rows in the order of their ``wave``: each wave is written to the stream's folder and worked off before the next one comes."""
     session, schema = df.sparkSession, df.drop("wave").schema

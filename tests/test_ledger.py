@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import ledger as L
@@ -70,3 +71,17 @@ def test_pieces_give_the_same_rows(spark):
     places = L.ordered(txns, 8).orderBy("portfolio_id", "place").collect()
     assert [r["id"] for r in places] == [r["id"] for r in txns.orderBy("portfolio_id", "t_ms", L.priority(F.col("type")), "id").collect()]
     assert [r["place"] for r in places if r["portfolio_id"] == 1] == list(range(1, 1 + sum(r["portfolio_id"] == 1 for r in places)))
+
+
+def test_payment_in_another_currency_and_opening_balances(spark):
+    rows = [(1, 1, "Deposit", None, 100.0, 0.0, 0.0, "USD", "a", None, None), (1, 2, "Buy", "A", 4.0, 5.0, 1.0, "USD", "b", "EUR", 17.5), (1, 3, "Buy", "A", 1.0, 5.0, 1.0, "USD", "c", None, None)]
+    txns = spark.createDataFrame(rows, "portfolio_id long, t_ms long, type string, ticker string, quantity double, price double, fee double, currency string, id string, used_currency string, payment_price double")
+    held = lambda df: {r["asset"]: r["quantity"] for r in df.collect()}
+    assert held(L.snapshot_at(txns)) == {"A": 5.0, "CASH:USD": 94.0, "CASH:EUR": -17.5}
+    assert {(r["id"], r["currency"], r["balance"]) for r in L.cash(txns).collect()} == {("a", "USD", 100.0), ("b", "EUR", -17.5), ("c", "USD", 94.0)}
+    positions = spark.createDataFrame([(1, "A", 2.0), (1, "B", 3.0), (2, "A", 1.0)], "portfolio_id long, asset string, quantity double")
+    cash = spark.createDataFrame([(1, "USD", 5.0), (1, "USD", 7.0), (1, "JPY", 1.0)], "portfolio_id long, currency string, amount double")
+    built = {(r["portfolio_id"], r["asset"]): r["quantity"] for r in L.build(txns, positions, cash).where("asset IS NOT NULL").collect()}
+    assert built == {(1, "A"): 7.0, (1, "B"): 3.0, (2, "A"): 1.0, (1, "CASH:USD"): 106.0, (1, "CASH:EUR"): -17.5, (1, "CASH:JPY"): 1.0}
+    with pytest.raises(ValueError):
+        L.build(txns, positions.unionByName(positions.limit(1)))
