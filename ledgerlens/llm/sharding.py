@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: The production tree: 3 regions of 2 racks of 4 shards; growth joins the first region and rack.
+#: The production tree: 3 regions of 2 racks of 4 shards; a shard of a later epoch draws at the root, beside the regions.
 REGIONS, RACKS, PER_RACK = 3, 2, 4
 #: Parts of a shard that are numbered apart, at any size of the table.
 BUCKETS = 1024
