@@ -2,24 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.series import finite, merge
 
 SERIES = "timestamp long, value double"
+EQUITIES = "ticker string, name string, denomination string, exchange string, sector string"
+CASH = "ticker string, denomination string"
 TRANSACTIONS = "id string, timestampMs long, type string, asset_type string, asset_ticker string, quantity double, price_per_unit double, fees double, settlement_currency string"
 # The currencies and transaction types that are accepted.
 CURRENCIES = ["USD", "EUR", "JPY", "KRW", "CAD", "GBP"]
 TYPES = {"BUY": "Buy", "SELL": "Sell", "DIVIDEND": "Dividend", "DEPOSIT": "Deposit", "WITHDRAWAL": "Withdrawal"}
 
 
+def _csv(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    return spark.read.schema(schema).option("sep", ";").option("header", True).csv(path)
+
+
+def _write_csv(df: DataFrame, path: str, *by: str) -> None:
+    df.write.partitionBy(*by).option("sep", ";").option("header", True).csv(path)
+
+
+def _folder_value(part: Column) -> Column:
+    """The value in the name of a partition folder: escaped once by Spark and once in the address of the file."""
+    return F.url_decode(F.url_decode(part))
+
+
 def read_series(spark: SparkSession, root: str) -> DataFrame:
-    """All ``<root>/<series id>/<frequency>.csv`` files, semicolon-separated; rows that are not finite go."""
-    raw = spark.read.schema(SERIES).option("sep", ";").option("header", True).csv(f"{root}/*/*.csv")
-    part = lambda k: F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/(\d+)\.csv$", k)
-    return raw.select(F.url_decode(part(1)).alias("series_id"), part(2).cast("long").alias("freq_ms"), F.col("timestamp").alias("t_ms"), "value").where(finite(F.col("value")))
+    """All ``<root>/<series id>/<frequency>.csv`` files, or those of ``write_series``; rows that are not finite go."""
+    raw = _csv(spark, SERIES, f"{root}/*/*")
+    path = F.col("_metadata.file_path")
+    plain = lambda k: F.regexp_extract(path, r"([^/]+)/(\d+)\.csv$", k)
+    part = lambda k: F.regexp_extract(path, r"series_id=([^/]+)/freq_ms=(\d+)/[^/]+$", k)
+    series = F.when(part(1) != "", _folder_value(part(1))).otherwise(F.url_decode(plain(1)))
+    return raw.select(series.alias("series_id"), F.coalesce(part(2).try_cast("long"), plain(2).try_cast("long")).alias("freq_ms"), F.col("timestamp").alias("t_ms"), "value").where(finite(F.col("value")))
+
+
+def write_series(df: DataFrame, root: str) -> None:
+    """Series as semicolon-separated files in a folder for each series and frequency."""
+    _write_csv(df.select("series_id", "freq_ms", F.col("t_ms").alias("timestamp"), "value").repartition("series_id", "freq_ms"), root, "series_id", "freq_ms")
 
 
 def save_series(df: DataFrame, path: str) -> None:
@@ -36,21 +59,35 @@ def upsert_series(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
 
 def read_equities(spark: SparkSession, path: str, attributes: str | None = None) -> DataFrame:
     """ticker;name;denomination;exchange;sector, with attributes from ``<ticker>.attr`` files of key=value lines."""
-    out = spark.read.schema("ticker string, name string, denomination string, exchange string, sector string").option("sep", ";").option("header", True).csv(path)
+    out = _csv(spark, EQUITIES, path)
     if attributes is None:
         return out.withColumn("attributes", F.lit(None).cast("map<string,string>"))
-    lines = spark.read.text(f"{attributes}/*.attr").where(F.col("value").contains("=")).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.attr$", 1).alias("ticker"), F.split("value", "=", 2).alias("kv"))
+    path_of = F.col("_metadata.file_path")
+    part, plain = F.regexp_extract(path_of, r"ticker=([^/]+)/[^/]+$", 1), F.regexp_extract(path_of, r"([^/]+)\.attr$", 1)
+    ticker = F.when(part != "", _folder_value(part)).otherwise(F.url_decode(plain))
+    lines = spark.read.text(f"{attributes}/*").where(F.col("value").contains("=")).select(ticker.alias("ticker"), F.split("value", "=", 2).alias("kv"))
     maps = lines.groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct(F.col("kv")[0], F.col("kv")[1]))).alias("attributes"))
     return out.join(maps, "ticker", "left")
 
 
+def write_equities(df: DataFrame, path: str, attributes: str) -> None:
+    """The rows without their attributes as one table, the attributes as key=value lines in a folder for each ticker."""
+    _write_csv(df.select("ticker", "name", "denomination", "exchange", "sector"), path)
+    lines = df.select("ticker", F.explode("attributes").alias("k", "v")).select("ticker", F.concat_ws("=", "k", "v").alias("value"))
+    lines.repartition("ticker").write.partitionBy("ticker").text(attributes)
+
+
 def read_cash(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("ticker string, denomination string").option("sep", ";").option("header", True).csv(path)
+    return _csv(spark, CASH, path)
+
+
+def write_cash(df: DataFrame, path: str) -> None:
+    _write_csv(df.select("ticker", "denomination"), path)
 
 
 def read_transactions(spark: SparkSession, path: str, after: int | None = None) -> DataFrame:
     """A transaction log; ``after`` is inclusive."""
-    out = spark.read.schema(TRANSACTIONS).option("sep", ";").option("header", True).csv(path)
+    out = _csv(spark, TRANSACTIONS, path)
     return out if after is None else out.where(F.col("timestampMs") >= after)
 
 
@@ -77,6 +114,14 @@ def import_broker(spark: SparkSession, path: str, base: str = "EUR", ticker_curr
     return out.withColumn("id", F.sha2(F.to_json(F.struct("*")), 256)).orderBy("t_ms")
 
 
+def broker_rows(txns: DataFrame, *more: str) -> DataFrame:
+    """Transactions in the columns of a broker's export, with further columns; the inverse of ``import_broker`` for its types."""
+    return txns.select(
+        F.coalesce("ticker", F.lit("$$CASH_TX")).alias("Symbol"), F.date_format(F.timestamp_millis("t_ms"), "yyyyMMdd").alias("Trade Date"), F.col("price").alias("Purchase Price"),
+        F.col("quantity").alias("Quantity"), F.col("fee").alias("Commission"), F.upper("type").alias("Transaction Type"), F.col("currency").alias("Currency"), *more,
+    )
+
+
 def write_snapshots(holdings: DataFrame, path: str) -> None:
     """Nested snapshots: positions and cash of each (portfolio, instant) in one row."""
     cash = F.col("asset").startswith("CASH:")
