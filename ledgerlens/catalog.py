@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import core_queries, file_queries, portfolio_queries, session_queries, store_queries
+from .plans import analysis_queries, core_queries, file_queries, portfolio_queries, session_queries, store_queries
 
-MODULES = (core_queries, portfolio_queries, session_queries, store_queries, file_queries)
+MODULES = (core_queries, portfolio_queries, session_queries, store_queries, file_queries, analysis_queries)
 
 
 def _joined(kind: str) -> dict:

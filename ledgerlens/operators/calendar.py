@@ -19,6 +19,13 @@ def trading_days(spark: SparkSession, start: str, end: str, holidays: DataFrame
     return days if holidays is None else days.join(holidays.select("day").distinct(), "day", "left_anti")
 
 
+def at_trading_days(instants: DataFrame, holidays: DataFrame, offset_ms: int = 0) -> DataFrame:
+    """Instants (t_ms, ...) with their civil day at an offset from UTC, and whether that is a weekday and no holiday (day)."""
+    day = F.to_date(F.timestamp_millis(F.col("t_ms") + offset_ms))
+    closed = holidays.select("day", F.lit(True).alias("_closed")).distinct()
+    return instants.withColumn("day", day).join(closed, "day", "left").withColumn("open", is_weekday(F.col("day")) & F.col("_closed").isNull()).drop("_closed")
+
+
 def roll_table(spark: SparkSession, start: str, end: str, holidays: DataFrame | None = None) -> DataFrame:
     """(day, following, preceding): the trading days at or next to every calendar day."""
     days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).alias("day"))
@@ -42,7 +49,9 @@ def roll(convention: str) -> Column:
 
 def recurrence(rules: DataFrame) -> DataFrame:
     """Occurrences of rules (start, end dates, unit, step): start + k steps <= end, the day clamped to the month."""
-    k = F.explode(F.sequence(F.lit(0), F.when(F.col("unit").isin("day", "week"), F.datediff("end", "start")).otherwise(F.ceil(F.months_between("end", "start"))).cast("int"))).alias("k")
+    # A sequence to a negative number would count down: a rule that ends before it starts has no occurrence.
+    count = F.when(F.col("unit").isin("day", "week"), F.datediff("end", "start")).otherwise(F.ceil(F.months_between("end", "start"))).cast("int")
+    k = F.explode(F.sequence(F.lit(0), F.greatest(count, F.lit(0)))).alias("k")
     months = {"month": 1, "quarter": 3, "year": 12}
     day = F.when(F.col("unit") == "day", F.date_add("start", F.col("k") * F.col("step"))).when(F.col("unit") == "week", F.date_add("start", F.col("k") * F.col("step") * 7))
     for unit, n in months.items():
@@ -50,6 +59,14 @@ def recurrence(rules: DataFrame) -> DataFrame:
     return rules.select("*", k).withColumn("day", day).where(F.col("day") <= F.col("end"))
 
 
+def recurrence_at(rules: DataFrame) -> DataFrame:
+    """Occurrences t_ms of rules (start_ms, end_ms, unit, step) in UTC; each keeps the start's time of day, and none is after the end."""
+    day = lambda c: F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(c) / 86_400_000).cast("int"))
+    days = recurrence(rules.withColumns({"start": day("start_ms"), "end": day("end_ms")}))
+    t = F.unix_date("day").cast("long") * 86_400_000 + F.pmod("start_ms", F.lit(86_400_000))
+    return days.withColumn("t_ms", t).where(F.col("t_ms") <= F.col("end_ms")).drop("start", "end", "day", "k")
+
+
 def events_to_transactions(events: DataFrame) -> DataFrame:
     """Dividends and coupons become Dividend rows of quantity 0, splits become Split rows."""
     split = F.col("kind") == "Split"

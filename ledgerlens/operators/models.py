@@ -102,3 +102,26 @@ def forecast(df: DataFrame, models: DataFrame, q: int, steps: int, keys: Sequenc
     path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("w"), lambda w, k: F.concat(F.array(dot(w)), w))
     out = joined.select(*keys, "t0", "dt", F.posexplode(F.reverse(F.slice(path, 1, steps))).alias("k", "predicted"))
     return out.select(*keys, (F.col("t0") + (F.col("k") + 1) * F.col("dt")).alias("t_ms"), "predicted")
+
+
+def rolling_error(pred: DataFrame, last_n: int, keys: Sequence[str] = KEY) -> DataFrame:
+    """(keys, rolling_mse, n): the mean squared error of the last_n newest (actual, predicted) rows of each series."""
+    w = W.partitionBy(*keys).orderBy(F.desc("t_ms"))
+    newest = pred.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= last_n)
+    return newest.groupBy(*keys).agg(F.avg((F.col("actual") - F.col("predicted")) ** 2).alias("rolling_mse"), F.count("*").alias("n"))
+
+
+def refit(df: DataFrame, models: DataFrame, q: int, last_n: int, limit: float, keys: Sequence[str] = KEY) -> DataFrame:
+    """(keys, c, phi, sigma, rolling_mse, refitted, context): models after the data of ``df``, which include what they were fitted on.
+
+    A model whose error over its last_n newest predictions is above the limit is fitted anew on all data; the others
+    stay. Every series carries on its q newest values as context, the newest first. A refit that has no solution keeps the old model.
+    """
+    errors = rolling_error(predict(df, models, q, keys), last_n, keys).withColumn("due", F.coalesce(F.col("rolling_mse") > limit, F.lit(False)))
+    names = list(keys)
+    # Only series that are due are fitted.
+    again = fit_ols(df.join(errors.where("due").select(*names), names, "left_semi"), q, keys).where("c IS NOT NULL").select(*names, F.struct("c", "phi", "sigma").alias("new"))
+    newest = df.where(finite(F.col("value"))).withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("t_ms")))).where(F.col("_r") <= q)
+    context = newest.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "value"))), lambda x: x["value"]).alias("context"))
+    joined = models.select(*names, F.struct("c", "phi", "sigma").alias("old")).join(errors, names, "left").join(again, names, "left").join(context, names, "left")
+    return joined.select(*names, F.coalesce("new", "old").alias("m"), "rolling_mse", F.col("new").isNotNull().alias("refitted"), "context").select(*names, "m.*", "rolling_mse", "refitted", "context")

@@ -38,11 +38,38 @@ def value_weights(holdings: DataFrame, prices: DataFrame, fx: DataFrame, denomin
     ccy = F.when(F.col("asset").startswith("CASH:"), F.substring("asset", 6, 3)).otherwise(F.col("denomination"))
     joined = q.join(denomination.select("asset", F.col("currency").alias("denomination")), "asset", "left").withColumn("currency", ccy).join(price, ["asset", "t_ms"], "left").join(rate, ["currency", "t_ms"], "left")
     value = F.col("quantity") * F.coalesce("price", F.lit(1.0)) * F.coalesce("rate", F.lit(1.0))
-    total = F.sum(F.col("value").cast("decimal(28,4)")).over(W.partitionBy("portfolio_id", "t_ms")).cast("double")
-    out = joined.select("portfolio_id", "t_ms", "asset", "quantity", value.alias("value")).withColumn("total", total)
+    return _weighted(joined.select("portfolio_id", "t_ms", "asset", "quantity", value.alias("value")), "portfolio_id", "t_ms")
+
+
+def value_at(holdings: DataFrame, prices: DataFrame, fx: DataFrame, denomination: DataFrame, at: int) -> DataFrame:
+    """(portfolio_id, asset, quantity, value, total, weight) at one instant, as ``value_weights`` has them at a tick of a grid.
+
+    The newest state of each key up to the instant is one aggregate, so no state is spread over a grid.
+    """
+    known = F.when(F.col("t_ms") <= at, F.col("t_ms"))
+    newest = lambda name: F.coalesce(F.max_by("value", known), F.min_by("value", "t_ms")).alias(name)
+    q = holdings.groupBy("portfolio_id", "asset").agg(F.coalesce(F.max_by("quantity", known), F.lit(0.0)).alias("quantity"))
+    price = prices.groupBy(F.col("series_id").alias("asset")).agg(newest("price"))
+    rate = fx.groupBy(F.col("series_id").alias("currency")).agg(newest("rate"))
+    ccy = F.when(F.col("asset").startswith("CASH:"), F.substring("asset", 6, 3)).otherwise(F.col("denomination"))
+    joined = q.join(denomination.select("asset", F.col("currency").alias("denomination")), "asset", "left").withColumn("currency", ccy).join(price, "asset", "left").join(rate, "currency", "left")
+    value = F.col("quantity") * F.coalesce("price", F.lit(1.0)) * F.coalesce("rate", F.lit(1.0))
+    return _weighted(joined.select("portfolio_id", "asset", "quantity", value.alias("value")), "portfolio_id")
+
+
+def _weighted(values: DataFrame, *keys: str) -> DataFrame:
+    """Add the total by key, summed as decimals, and the weight of each value in it."""
+    total = F.sum(F.col("value").cast("decimal(28,4)")).over(W.partitionBy(*keys)).cast("double")
+    out = values.withColumn("total", total)
     return out.withColumn("weight", F.when(F.col("total") == 0, F.lit(0.0)).otherwise(F.col("value") / F.col("total")))
 
 
+def override(nav: DataFrame, supplied: DataFrame) -> DataFrame:
+    """NAV series (portfolio_id, t_ms, nav) in which a supplied series, where there is one, takes the place of the computed one."""
+    kept = nav.join(supplied.select("portfolio_id").distinct(), "portfolio_id", "left_anti")
+    return kept.select("portfolio_id", "t_ms", "nav").unionByName(supplied.select("portfolio_id", "t_ms", "nav"))
+
+
 def nav(prices: DataFrame, weights: DataFrame, quantity_based: bool = False) -> DataFrame:
     """(portfolio_id, t_ms, nav) from weights on prices by their first, or from quantities on prices."""
     first = F.first("value").over(W.partitionBy("series_id").orderBy("t_ms"))

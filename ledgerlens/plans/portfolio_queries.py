@@ -90,6 +90,10 @@ def _values(spark, d):
     return P.value_weights(L.holdings(V.txns(spark, d)), V.prices(spark, d), V.fx(spark, d), V.denomination(spark, d), V.GRID)
 
 
+def values_at(spark, d, at: int):
+    return P.value_at(L.holdings(V.txns(spark, d)), V.prices(spark, d), V.fx(spark, d), V.denomination(spark, d), at)
+
+
 def _gridded(view, spark, d):
     return P.on_grid(view(spark, d), V.GRID, [K], "value", None)
 
@@ -116,7 +120,7 @@ add("weights_series", lambda spark, d: r6(_values(spark, d).select(PID, "t_ms",
 add("value_series", lambda spark, d: _values(spark, d).groupBy(PID, "t_ms").agg(F.sum(F.col("value").cast(L.MONEY)).alias("value")).select(PID, "t_ms", exact("value", 2, "value")), sql("val", f"SELECT portfolio_id, t_ms, {exact_sql('sum(CAST(value AS DECIMAL(28,4)))')} AS value FROM val GROUP BY 1, 2"))
 add("quantity_series", lambda spark, d: r6(P.on_grid(L.holdings(V.txns(spark, d)), V.GRID, [PID, "asset"], "quantity"), "quantity", n=2), sql("hg", "SELECT portfolio_id, asset, t_ms, round(quantity, 2) + 0.0 AS quantity FROM hg"))
 _AT = V.GRID[0] + 40 * V.GRID[2]
-add("overview_at", lambda spark, d: r6(r6(_values(spark, d).where(F.col("t_ms") == _AT).select(PID, "asset", F.when(F.col("total") <= 0, 0.0).otherwise(F.col("total")).alias("total"), F.when(F.col("total") > 0, F.col("weight")).alias("weight")), "total", n=2), "weight", n=5), sql("vw", f"SELECT portfolio_id, asset, round(greatest(total, 0), 2) + 0.0 AS total, round(CASE WHEN total > 0 THEN value / total END, 5) + 0.0 AS weight FROM vw WHERE t_ms = {_AT}"))
+add("overview_at", lambda spark, d: r6(r6(values_at(spark, d, _AT).select(PID, "asset", F.when(F.col("total") <= 0, 0.0).otherwise(F.col("total")).alias("total"), F.when(F.col("total") > 0, F.col("weight")).alias("weight")), "total", n=2), "weight", n=5), sql("vw", f"SELECT portfolio_id, asset, round(greatest(total, 0), 2) + 0.0 AS total, round(CASE WHEN total > 0 THEN value / total END, 5) + 0.0 AS weight FROM vw WHERE t_ms = {_AT}"))
 add("weights_sum_check", lambda spark, d: _values(spark, d).groupBy(PID, "t_ms").agg(F.sum("weight").alias("w"), F.max("total").alias("total")).where("total <> 0").groupBy(PID).agg(F.count("*").alias("n_ticks"), (F.max(F.abs(F.col("w") - 1)) < 1e-6).alias("sums_to_one")), sql("vw", "SELECT portfolio_id, count(DISTINCT t_ms) AS n_ticks, true AS sums_to_one FROM vw WHERE total <> 0 GROUP BY 1"))
 _wts = lambda spark, d: V.txns(spark, d).where("type = 'Buy'").groupBy(PID, F.col("ticker").alias(K)).agg(F.count("*").cast("double").alias("weight"))
 
@@ -132,17 +136,10 @@ _WT = "wt AS (SELECT portfolio_id, ticker AS series_id, CAST(count(*) AS DOUBLE)
 _with = lambda q, extra: q.replace("\nSELECT", f",\n{extra}\nSELECT", 1)
 add("nav_target_weighted", _nav(False), _with(sql("pg txn", f"SELECT portfolio_id, t_ms, {exact_sql('sum(weight / t * value / p0)', 4)} AS nav FROM wt JOIN tw USING (portfolio_id) JOIN pg USING (series_id) JOIN pf USING (series_id) GROUP BY 1, 2"), _WT))
 add("nav_quantity_based", _nav(True), _with(sql("pg txn", f"SELECT portfolio_id, t_ms, {exact_sql('sum(weight * value)')} AS nav FROM wt JOIN pg USING (series_id) GROUP BY 1, 2"), _WT))
-add("nav_override", lambda spark, d: _nav(False)(spark, d).withColumn("nav", F.when(F.col(PID) == 3, F.lit(1.0)).otherwise(F.col("nav"))), _with(sql("pg txn", f"SELECT portfolio_id, t_ms, CASE WHEN portfolio_id = 3 THEN 1 ELSE {exact_sql('sum(weight / t * value / p0)', 4)} END AS nav FROM wt JOIN tw USING (portfolio_id) JOIN pg USING (series_id) JOIN pf USING (series_id) GROUP BY 1, 2"), _WT))
 add("target_allocations", lambda spark, d: r6(_wts(spark, d).withColumn("weight", F.col("weight") / F.sum("weight").over(W.partitionBy(PID))), "weight"), _with(sql("pg txn", "SELECT portfolio_id, series_id, round(weight / t, 6) AS weight FROM wt JOIN tw USING (portfolio_id)"), _WT))
 add("universe_filter", lambda spark, d: V.txns(spark, d).join(V.denomination(spark, d).where("currency IN ('USD', 'EUR')").select(F.col("asset").alias("ticker")), "ticker", "left_semi").groupBy(PID).agg(F.count("*").alias("n")), sql("txn den", "SELECT portfolio_id, count(*) AS n FROM txn WHERE ticker IN (SELECT asset FROM den WHERE currency IN ('USD', 'EUR')) GROUP BY 1"))
 
 
-def _portfolio_analysis(spark, d):
-    nav = _nav(False)(spark, d).select(F.col(PID).alias(K), "t_ms", F.col("nav").alias("value"))
-    return nav.groupBy(K).agg(F.round(stats.total_return(), 3).alias("total_return")).withColumnRenamed(K, PID)
-
-
-add("portfolio_analysis", _portfolio_analysis, _with(sql("pg txn", f"SELECT portfolio_id, round((arg_max(nav, t_ms) - arg_min(nav, t_ms)) / arg_min(nav, t_ms), 3) AS total_return FROM (SELECT portfolio_id, t_ms, {exact_sql('sum(weight / t * value / p0)', 4)} AS nav FROM wt JOIN tw USING (portfolio_id) JOIN pg USING (series_id) JOIN pf USING (series_id) GROUP BY 1, 2) GROUP BY 1"), _WT))
 def _grid_rows(spark, d, rates_only: bool = False):
     """Ticks of every asset that a portfolio ever held and of the rate of every currency but the base, USD, of its holdings and cash."""
     held = L.holdings(V.txns(spark, d)).groupBy(PID, "asset").agg(F.max(F.col("quantity") != 0).alias("ever")).where("ever").select(PID, "asset")
@@ -237,17 +234,6 @@ add("ar_evaluate", lambda spark, d: r6(M.evaluate(M.predict(V.by_type(spark, d),
 add("ar_forecast", lambda spark, d: r6(M.forecast(V.by_type(spark, d), _fit(spark, d), 1, 3), "predicted", n=5), _m1("SELECT series_id, t0 + k * dt AS t_ms, round(CASE k WHEN 1 THEN c + phi * v WHEN 2 THEN c + phi * (c + phi * v) ELSE c + phi * (c + phi * (c + phi * v)) END, 5) AS predicted FROM (SELECT series_id, max(t_ms) AS t0, arg_max(value, t_ms) AS v, max(t_ms) - list_sort(list(t_ms), 'DESC')[2] AS dt FROM st GROUP BY 1) JOIN b USING (series_id), range(1, 4) q(k)"))
 
 
-def _refit(spark, d):
-    """Models of those series whose recent error is above the median, fitted anew."""
-    err = QUERIES["ar_evaluate"](spark, d).select(K, "mse")
-    cut = err.agg(F.percentile("mse", F.lit(0.5)).alias("m"))
-    bad = err.crossJoin(F.broadcast(cut)).where("mse > m").select(K)  # one row is broadcast
-    return M.fit_ols(V.by_type(spark, d).join(bad, K, "left_semi"), 1).select(K, "n")
-
-
-add("ar_refit", _refit, _m1("SELECT series_id, n FROM (SELECT series_id, round(avg((actual - predicted) ** 2), 5) AS mse FROM pd GROUP BY 1) JOIN b USING (series_id) QUALIFY mse > median(mse) OVER ()"))
-
-
 # Registries.
 def _registry() -> Registry:
     r = Registry()

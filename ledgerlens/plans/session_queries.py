@@ -12,7 +12,7 @@ from ..operators import series as S
 from . import portfolio_queries as PQ
 from . import views as V
 from .core_queries import K, _requests, _RQ, exact, exact_sql, r6
-from .portfolio_queries import MID, PID, _FORMS, _REC, _calendar, _rules, _values, _with
+from .portfolio_queries import MID, PID, _FORMS, _REC, _calendar, _rules, _with
 from .views import DAY, HOUR, sql
 
 QUERIES: dict = {}
@@ -100,7 +100,6 @@ add("stat_minmax", lambda spark, d: V.series(spark, d).where(S.finite(F.col("val
 
 
 # Portfolios from their snapshots.
-_LAST = V.GRID[0] + (V.GRID[1] - V.GRID[0]) // V.GRID[2] * V.GRID[2]
 def _loaded(spark, d):
     log = V.txns(spark, d)
     snapshot = L.snapshot_at(log, MID)
@@ -109,7 +108,6 @@ def _loaded(spark, d):
 
 add("portfolio_load", lambda spark, d: r6(_loaded(spark, d), "quantity", n=2), PQ.ORACLES["portfolio_build"])
 add("portfolio_metadata", lambda spark, d: PQ._snapshots(spark, d).groupBy(PID).agg(F.max("t_ms").alias("t_ms")).join(V.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n"), F.col("n_name").alias("name")), F.col(PID) == F.col("n")).select(PID, "name", F.lit("USD").alias("base_currency"), "t_ms"), sql("hold", "SELECT portfolio_id, n_name AS name, 'USD' AS base_currency, max(t_ms) AS t_ms FROM hold JOIN nation ON n_nationkey = portfolio_id GROUP BY 1, 2"))
-add("portfolio_valuation", lambda spark, d: _values(spark, d).where(F.col("t_ms") == _LAST).groupBy(PID).agg(F.max("total").alias("total"), F.count_if(F.col("quantity") != 0).alias("n_assets")).withColumn("total", exact("total")), sql("vw", f"SELECT portfolio_id, {exact_sql('max(total)')} AS total, count(*) FILTER (quantity <> 0) AS n_assets FROM vw WHERE t_ms = {_LAST} GROUP BY 1"))
 
 _GRIDS = """held AS (SELECT portfolio_id, asset FROM hold GROUP BY 1, 2 HAVING bool_or(quantity <> 0)),
 want AS (SELECT portfolio_id, currency FROM held JOIN den USING (asset) WHERE currency <> 'USD' UNION SELECT portfolio_id, substr(asset, 6) FROM held WHERE asset LIKE 'CASH:%' AND substr(asset, 6) <> 'USD')"""
@@ -135,6 +133,7 @@ rx AS (SELECT cx.day, min(t) FILTER (t >= cx.day) AS following, max(t) FILTER (t
 ra AS (SELECT rx.* FROM rx, oe WHERE rx.day BETWEEN f AND CAST(l + INTERVAL {months} MONTH AS DATE))"""
 for _n, _e in _FORMS.items():
     add_days(f"roll_{_n}", lambda spark, d, n=_n: _calendar(spark, d).select("day", C.roll(n).alias("rolled")), f"WITH {_RT(0)} SELECT day, {_e} AS rolled FROM ra", "day", "rolled")
+
 add_days("recurrence_raw", lambda spark, d: C.recurrence(_rules(spark, d)).select("o_orderkey", "day"), f"WITH {_REC} SELECT o_orderkey, day FROM rc WHERE day <= en", "day")
 
 
