@@ -11,15 +11,21 @@ place, with no shuffle. Items are the query set: they go to the tasks in blocks
 ``block_chars`` characters, each block against all documents, so what is sent is bounded at any size of
 the benchmark.
 
-Defined results: null and empty texts match nothing; items null, or shorter than q after trimming, are
-not searched for; items repeated in the benchmark count once; a repeated document row gives its own
-rows again; ``decontaminate`` tells rows with a null or repeated id apart by their texts; other columns are ignored.
+Items shorter than q after trimming have no q-gram; they are found by an automaton where they stand exactly and
+as whole words: no letter or digit comes before or after.
+
+Defined results: null and empty texts match nothing; null and blank items are not searched for; items repeated in
+the benchmark count once; of overlapping hits of an item the one with fewest edits counts, then the earlier, then
+the shorter; a text of any length is scanned whole, in overlapping pieces; empty tables give an empty result; a repeated
+document row gives its own rows again; ``decontaminate`` tells rows with a null or repeated id apart by their texts; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,11 +84,12 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]], q: int, edit_share: float):
         self.q, self.ids, self.texts, self.k, self.need = q, [], [], [], []
-        hashes, item_of, place_of = [], [], []
+        hashes, item_of, place_of, short = [], [], [], []
         for item_id, text in sorted(set(items)):
             folded = fold(text).strip()
             m = len(folded)
             if m < q:
+                short += [(item_id, folded)] if m else []
                 continue
             k = max(0, min(int(edit_share * m), (m - q) // q))
             h = gram_hashes(codes(folded), q)
@@ -93,6 +100,8 @@ class ItemIndex:
             self.texts.append(folded)
             self.k.append(k)
             self.need.append(m - q + 1 - k * q)
+        self.longest = max(map(len, self.texts), default=0) + 2 * max(self.k, default=0) + q
+        self.short = self._automaton(short) if short else None
         if not hashes:
             self.grams = np.zeros(0, np.uint64)
             return
@@ -105,7 +114,27 @@ class ItemIndex:
         self.table[self.grams >> np.uint64(64 - self.BITS)] = True
         self.stride = np.array(self.k, np.int64) + 1
         self.bound = np.array(self.need, np.int64)
-        self.longest = max(map(len, self.texts)) + 2 * max(self.k) + q
+
+    def _automaton(self, short: list[tuple[int, str]]) -> ahocorasick.Automaton:
+        """Finds all short items at once; the items of a text follow those with q-grams."""
+        of: dict[str, list[int]] = {}
+        for item_id, text in short:
+            of.setdefault(text, []).append(len(self.ids))
+            self.ids.append(item_id)
+        out = ahocorasick.Automaton()
+        for text, items in of.items():
+            out.add_word(text, (len(text), items))
+        out.make_automaton()
+        return out
+
+    def whole_words(self, text: str) -> dict:
+        """The places (item, start, end) of short items in a folded text, all without edits."""
+        hits = {}
+        for last, (m, items) in self.short.iter(text) if self.short else ():
+            start, end = last + 1 - m, last + 1
+            if not (start and text[start - 1].isalnum() or text[end : end + 1].isalnum()):
+                hits |= {(item, start, end): 0 for item in items}
+        return hits
 
     def candidates(self, x: np.ndarray) -> list[tuple[int, int]]:
         """(item, band) pairs whose shared q-grams reach the bound; band b covers diagonals from b*stride."""
@@ -196,9 +225,14 @@ def scan(index: ItemIndex, text: str) -> list[tuple[int, int, int, int]]:
 
 
 def best_hits(hits: dict) -> list[tuple[int, int, int, int]]:
-    out = []
-    for (item, start, end), edits in sorted(hits.items(), key=lambda x: (x[0][0], x[1], x[0][1])):
-        if not any(o[0] == item and start < o[2] and o[1] < end for o in out):
+    """Hits of an item that overlap none of fewer edits."""
+    out, kept = [], {}
+    for (item, start, end), edits in sorted(hits.items(), key=lambda x: (x[0][0], x[1], x[0][1], x[0][2])):
+        # Those kept are disjoint: of all that start before the end, the last one reaches farthest.
+        own = kept.setdefault(item, [])
+        at = bisect_left(own, (end,))
+        if not at or own[at - 1][1] <= start:
+            insort(own, (start, end))
             out.append((item, start, end, edits))
     return out
 
@@ -248,6 +282,8 @@ def scan_many(index: ItemIndex, texts: list[str]) -> list[tuple[int, list]]:
         group.append((row, text))
         size += len(text) + 1
     together()
+    if index.short:
+        out.extend((row, best_hits(h)) for row, text in enumerate(texts) if (h := index.whole_words(text)))
     return sorted(out)
 
 

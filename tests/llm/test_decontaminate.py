@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -95,3 +96,41 @@ def test_rows_with_null_or_repeated_ids_go_by_their_texts(spark):
     kept = {tuple(r) for r in D.decontaminate(docs, bench).collect()}
     assert kept == {(None, "clean one"), (None, None), (1, "clean two"), (3, "")}
     assert D.find_leaks(docs, bench).columns == ["doc_id", "item_id", "start", "end", "edits"] and D.find_leaks(docs, bench).count() == 3
+
+
+@pytest.mark.parametrize("piece", [20, D.PIECE])
+def test_short_items_are_whole_words(monkeypatch, piece):
+    """Every item below q characters, and only where no letter or digit touches it, with and without longer items beside them."""
+    monkeypatch.setattr(D, "PIECE", piece)
+    rng = random.Random(8)
+    shorts = ["x", "42", "a b", "a a", "C++", "é", "(y)", "seven77", "42", " x ", "", "  "]
+    alphabet = ["x", "42", "a", "b", "c++", "é", "(y)", "seven77", " ", " ", " ", "_", "\n", "."]
+    texts = [D.fold("".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))) for _ in range(300)] + ["", "x", "xx", "x-x"]
+    for more in ([], ["a longer item that is searched by grams"]):
+        index = D.ItemIndex(list(enumerate(shorts + more)), D.Q, D.EDIT_SHARE)
+        found = {row: h for row, h in D.scan_many(index, texts)}
+        for row, text in enumerate(texts):
+            want = set()
+            for i, item in enumerate(shorts):
+                if wanted := D.fold(item).strip():
+                    before, end = r"(?<![^\W_])", r"(?![^\W_])"
+                    want |= {(i, m.start(), m.end(), 0) for m in re.finditer(before + re.escape(wanted) + end, text)}
+            assert {(index.ids[i], s, e, d) for i, s, e, d in found.get(row, [])} == want, text
+
+
+def test_best_hits_against_all_pairs():
+    rng = random.Random(2)
+    for _ in range(200):
+        hits = {(rng.randrange(2), s, s + rng.randint(1, 6)): rng.randrange(3) for s in (rng.randrange(30) for _ in range(rng.randrange(25)))}
+        want = []
+        for (item, start, end), edits in sorted(hits.items(), key=lambda x: (x[0][0], x[1], x[0][1], x[0][2])):
+            if not any(o[0] == item and start < o[2] and o[1] < end for o in want):
+                want.append((item, start, end, edits))
+        assert D.best_hits(hits) == want
+
+
+def test_short_items_in_the_query(spark):
+    docs = spark.createDataFrame([(1, "the answer is 42."), (2, "142 or 420"), (3, None), (4, "so: 42")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, "42"), (8, None)], "item_id long, text string")
+    assert sorted(map(tuple, D.find_leaks(docs, bench).collect())) == [(1, 9, 14, 16, 0), (4, 9, 4, 6, 0)]
+    assert sorted(r["doc_id"] for r in D.decontaminate(docs, bench).collect()) == [2, 3]
