@@ -1,4 +1,10 @@
-"""A training corpus from ``documents``: quality rules, line dedup, near-dedup, decontamination, encoding."""
+"""A training corpus from ``documents``: quality rules, line dedup, near-dedup, decontamination, encoding.
+
+Defined results: documents without text, or with too few words, are rejected by the quality rules; null ids and nulls in
+other columns pass through; of rows that agree in id and text one stays, from near-dedup on; a copy under another id loses
+its lines to the earlier id, and a document left without a word goes; texts of any length are taken whole; columns
+beside those of ``documents``, whatever their names, are left behind; empty tables give an empty result.
+"""
 
 from __future__ import annotations
 
