@@ -8,8 +8,13 @@ shared by nobody and left out. A pair has to pass the length filter, the positio
 first shared word, that and the words after it bound the overlap) and a parity map of 128 bits: the bits in which two maps differ
 are no more than the words in which the sets differ. What passes is verified on the words themselves.
 
-The query joins all classes with each other, so each class comes with the number of its links. Lists of frequent
-words are dealt to a grid of parts. The links of a group of near copies grow with the square of its different texts.
+The query gives each class the number of its links and its earliest match. The links of a large group of near copies
+are counted without listing them: the group has a centre, the words that over half of its classes hold. Sets reach
+4/5 if and only if they differ in no more words than a ninth of their sizes together, and two sets differ in no more words than
+they both differ from the centre. With ``a`` = 9 x (words in which a class differs from the centre) - its size, all
+pairs with a sum of ``a`` of 0 or less are links, so a running count over ``a`` gives each class its number of them. All other
+pairs, inside a group or not, are met on prefix words and verified one by one, so no link is lost, whichever
+centre a group has. Lists of frequent words are dealt to a grid of parts.
 
 Removal (``dedup_lines``) asks only whether a line has an earlier match and takes a shorter way: each class meets the
 earliest class of each of its prefix words first and the one before it (a window), and only classes that match none
@@ -41,6 +46,10 @@ CODE, OFTEN, PARTS = 56, 49, 64
 SIDE = 8
 #: Blocks of words, joined one after the other.
 PASSES = 2
+#: Classes near one hub from which on their links are counted by a centre.
+GROUP = 64
+#: Bits of a class number that can name a hub.
+HUB = 45
 #: Columns that tell the set of a line: 128 bits of hashes, and its size.
 _SET = ["s", "t", "n"]
 #: Lines to verify, up to which their places are broadcast; beyond it they are joined by a shuffle.
@@ -112,44 +121,115 @@ _POSSIBLE = """
 """
 
 
+#: Where a pair is met: at the first shared word of a stretch of them; in one group only if the centre has not decided it. Not in more words than their maps
+#: share, and those that fall on one bit in a map, do both differ from the centre; each makes them differ in two words less than ``a`` says.
+_OPEN = """
+    NOT (x.p <=> y.p AND x.p IS NOT NULL)
+    AND CASE WHEN x.g = y.g THEN x.a + y.a > 0 AND x.a + y.a <= 18L * (bit_count(x.b & y.b) + bit_count(x.b2 & y.b2)
+        + least((x.a + (x.q >> 32)) DIV 9 - bit_count(x.b) - bit_count(x.b2), (y.a + (y.q >> 32)) DIV 9 - bit_count(y.b) - bit_count(y.b2))) ELSE true END
+"""
+
+
 def _postings(classes: DataFrame, block: int, *more: str) -> DataFrame:
-    """A narrow row for each class and prefix word of a block: sort key, size and place, class number, document id, parity map."""
+    """A narrow row for each class and prefix word of a block: sort key, size and place, class number, document id, parity map. More may name p, the word before."""
     skipped = _prefix_length(F.col("n")) - F.size("prefix")
-    each = classes.select("c", F.col("first.k_id").alias("k"), "n", "m", "m2", skipped.alias("skipped"), *more, F.posexplode("prefix").alias("i", "w"))
+    each = classes.select("c", F.col("first.k_id").alias("k"), "n", "m", "m2", "prefix", skipped.alias("skipped"), *[x for x in more if x != "p"], F.posexplode("prefix").alias("i", "w")).withColumn("p", F.get("prefix", F.col("i") - 1))
     q = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("skipped") + F.col("i")).cast("long"))
     return each.where(F.pmod("w", F.lit(PASSES)) == block).select("w", q.alias("q"), "c", "k", "m", "m2", *more)
 
 
-def similar_classes(table: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(classes, pairs): each class with its first line and size, and verified pairs (earlier, later) of first lines.
-
-    ``every`` gives all pairs; without it there are one or more for each class that has an earlier match.
-    """
+def _class_table(table: DataFrame) -> DataFrame:
+    """One row a class: its number, first line, lines, size, parity map and prefix."""
     grouped = table.groupBy(*_SET).agg(F.min(F.struct("k_id", "k_text", "line_no")).alias("first"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"), F.first("m").alias("m"), F.first("m2").alias("m2"))
-    classes = cut(grouped.withColumn("c", F.monotonically_increasing_id()))
-    often = F.col("w") >= F.lit(OFTEN << CODE)
-
-    def by_pass(make) -> DataFrame:
-        # Words are taken in PASSES blocks, so that the shuffle of one block is gone before the next.
-        met = [cut(make(i).distinct()) for i in range(PASSES)]
-        # Classes meet by number; their first lines tell which is the earlier one.
-        of = lambda z: classes.select(F.col("c").alias(z), F.col("first").alias(f"f{z}"))
-        pairs = reduce(DataFrame.unionByName, met).distinct().join(of("a"), "a").join(of("b"), "b")
-        out = cut(pairs.select(F.least("fa", "fb").alias("earlier"), F.greatest("fa", "fb").alias("later")).distinct())
-        release(*met)
-        return out
+    return cut(grouped.withColumn("c", F.monotonically_increasing_id()))
+
+
+def _by_pass(make, classes: DataFrame) -> DataFrame:
+    """Pairs (earlier, later) of first lines of the pairs of class numbers that ``make`` gives for each block of words."""
+    # Words are taken in PASSES blocks, so that the shuffle of one block is gone before the next.
+    met = [cut(make(i).distinct()) for i in range(PASSES)]
+    # Classes meet by number; their first lines tell which is the earlier one.
+    of = lambda z: classes.select(F.col("c").alias(z), F.col("first").alias(f"f{z}"))
+    pairs = reduce(DataFrame.unionByName, met).distinct().join(of("a"), "a").join(of("b"), "b")
+    out = cut(pairs.select(F.least("fa", "fb").alias("earlier"), F.greatest("fa", "fb").alias("later")).distinct())
+    release(*met)
+    return out
+
+
+def _often() -> Column:
+    return F.col("w") >= F.lit(OFTEN << CODE)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A table that ``cut`` wrote, to be broadcast if it has no more than BROADCAST_CLASSES rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_CLASSES else df
+
+
+def _centred(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Classes of large groups: class number, first line, group, ``a`` (9 x the words in which it differs from the group's centre - its size), and a map of 128 bits of these words."""
+    posts = classes.where(F.size("prefix") > 0).select("c", "n", "m", "m2", "copies", F.explode("prefix").alias("w"))
+    # The hub of a prefix word is the class with most copies that holds it; packed in one number, so that the aggregation needs no sort.
+    most = F.max(F.when(F.col("c") < F.lit(1 << HUB), F.shiftleft(F.least("copies", F.lit(1 << 17)), HUB).bitwiseOR(F.col("c"))))
+    hubs = cut(posts.groupBy("w").agg(F.count("*").alias("size"), most.alias("hub")).where(F.col("size") >= GROUP).select("w", F.col("hub").bitwiseAND(F.lit((1 << HUB) - 1)).alias("g")))
+    facts = cut(classes.select(F.col("c").alias("g"), F.struct("n", "m", "m2").alias("hub")).join(_small(hubs), "g").select("w", "g", "hub"))
+    bits = F.bit_count(F.col("m").bitwiseXOR(F.col("hub.m"))) + F.bit_count(F.col("m2").bitwiseXOR(F.col("hub.m2")))
+    near = cut(posts.join(_small(facts), "w").where(9 * bits <= F.col("n") + F.col("hub.n")).select("c", "g", bits.alias("bits")).distinct())
+    large = cut(near.groupBy("g").count().where(F.col("count") >= GROUP))
+    # Each class joins, of the hubs near it, the one with most classes near it.
+    named = near.join(_small(large), "g").groupBy("c").agg(F.min(F.struct(-F.col("count"), "bits", "g")).alias("x"))
+    members = cut(classes.select("c", "first").join(_small(cut(named.select("c", "x.g"))), "c"))
+    words = cut(members.join(_words_of(members.select(F.col("first").alias("e")), docs, id_col, text_col), F.col("first") == F.col("e")).select("c", "first", "g", "ws"))
+    held = words.select("g", F.explode("ws").alias("word")).groupBy("g", "word").agg(F.count("*").alias("votes"))
+    over = held.join(words.groupBy("g").agg(F.count("*").alias("of")), "g").where("2 * votes > of")
+    centres = cut(over.groupBy("g").agg(F.array_sort(F.collect_list("word")).alias("centre")))
+    # Groups of one centre are one group.
+    whole = centres.join(centres.groupBy("centre").agg(F.min("g").alias("name")), "centre")
+    differ = words.join(whole, "g").select("c", "first", F.col("name").alias("g"), F.size("ws").alias("n"), F.transform(F.concat(F.array_except("ws", "centre"), F.array_except("centre", "ws")), lambda w: F.xxhash64(w)).alias("d"))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    upper = lambda h: h.bitwiseAND(F.lit(64)) != 0
+    held = lambda keep: F.aggregate(F.filter("d", keep), F.lit(0).cast("long"), lambda b, h: b.bitwiseOR(bit(h)))
+    return cut(differ.select("c", "first", "g", (9 * F.size("d") - F.col("n")).alias("a"), held(lambda h: ~upper(h)).alias("b"), held(upper).alias("b2")))
+
+
+def _sure_links(centred: DataFrame) -> DataFrame:
+    """(first, n, by): for each class its links in its group whose sum of ``a`` is 0 or less, and the earliest of them that is earlier."""
+    levels = centred.groupBy("g", "a").agg(F.count("*").alias("n"), F.min("first").alias("by"))
+    asked = levels.select("g", (-F.col("a")).alias("v"), F.col("a"), F.lit(0).cast("long").alias("n"), F.when(F.lit(False), F.col("by")).alias("by"))
+    rows = asked.unionByName(levels.select("g", F.col("a").alias("v"), F.lit(None).cast("int").alias("a"), "n", "by"))
+    # A group has a row or two for each value of a, which lines of up to n words bound by 10 n, however many classes it has.
+    upto = Window.partitionBy("g").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.select("g", "a", F.sum("n").over(upto).alias("n"), F.min("by").over(upto).alias("by")).where("a IS NOT NULL")
+    own = F.when(F.col("a") <= 0, 1).otherwise(0)
+    return centred.join(sums, ["g", "a"]).select("first", (F.col("n") - own).alias("n"), F.when(F.col("by") < F.col("first"), F.col("by")).alias("by")).where("n > 0")
+
+
+def class_links(table: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(classes, links): each class with its first line and size; number of links and earliest match (first line) of each class with links."""
+    classes = _class_table(table)
+    centred = _centred(classes, docs, id_col, text_col)
+    placed = classes.join(_small(centred).select("c", "g", "a", "b", "b2"), "c", "left")
 
     def all_pairs(block: int) -> DataFrame:
         # Words that are not frequent: both sides read one shuffle. Frequent words: a pair meets in the one part of its row and column.
-        posts = _postings(classes, block)
-        rare = posts.where(~often)
+        posts = _postings(placed, block, "p", "g", "a", "b", "b2")
+        rare = posts.where(~_often())
         part, each = F.pmod(F.xxhash64("m"), F.lit(SIDE)), F.sequence(F.lit(0), F.lit(SIDE - 1))
-        row, column = (posts.where(often).withColumn("p", F.explode(F.transform(each, at))) for at in (lambda i: part * SIDE + i, lambda i: i * SIDE + part))
-        met = [x.alias("x").join(y.alias("y"), on).where("x.c < y.c").where(_POSSIBLE) for x, y, on in ((rare, rare, ["w"]), (row, column, ["w", "p"]))]
+        row, column = (posts.where(_often()).withColumn("cell", F.explode(F.transform(each, at))) for at in (lambda i: part * SIDE + i, lambda i: i * SIDE + part))
+        met = [x.alias("x").join(y.alias("y"), on).where("x.c < y.c").where(_POSSIBLE).where(_OPEN) for x, y, on in ((rare, rare, ["w"]), (row, column, ["w", "cell"]))]
         return met[0].select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).unionByName(met[1].select(F.col("x.c").alias("a"), F.col("y.c").alias("b")))
 
-    if every:
-        return classes, _verified(by_pass(all_pairs), docs, id_col, text_col)
+    pairs = _verified(_by_pass(all_pairs, classes), docs, id_col, text_col)
+    one = F.lit(1).cast("long").alias("n")
+    ends = F.explode(F.array(F.struct(F.col("later").alias("first"), one, F.col("earlier").alias("by")), F.struct(F.col("earlier").alias("first"), one, F.lit(None).alias("by")))).alias("e")
+    links = pairs.select(ends).select("e.*").unionByName(_sure_links(centred)).groupBy("first").agg(F.sum("n").alias("n_links"), F.min("by").alias("by"))
+    return classes, cut(links)
+
+
+def similar_classes(table: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(classes, pairs): each class with its first line and size, and verified pairs (earlier, later) of first lines, one or more for each class that has an earlier match."""
+    classes = _class_table(table)
+    often = _often()
+    by_pass = lambda make: _by_pass(make, classes)
 
     def hub_pairs(block: int) -> DataFrame:
         # Lists of frequent words are dealt to many parts, each with an earliest class of its own.
@@ -178,7 +258,15 @@ def similar_classes(table: DataFrame, docs: DataFrame, id_col: str = "doc_id", t
 
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (earlier, later) whose words, read again from their lines, reach the similarity."""
-    wanted = pairs.select(F.explode(F.array("earlier", "later")).alias("e")).distinct().groupBy("e.k_id", "e.k_text").agg(F.collect_list("e.line_no").alias("nos"))
+    words = _words_of(pairs.select(F.explode(F.array("earlier", "later")).alias("e")).distinct(), docs, id_col, text_col)
+    of = lambda name, z: words.select(F.col("e").alias(name), F.col("ws").alias(z))
+    joined = pairs.join(of("earlier", "xw"), "earlier").join(of("later", "yw"), "later")
+    return joined.withColumn("both", F.size(F.array_intersect("xw", "yw"))).where("5L * both >= 4L * (size(xw) + size(yw) - both)").select("earlier", "later").distinct()
+
+
+def _words_of(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(e, ws): the different words of the lines e, each given once, read again from their texts."""
+    wanted = lines.groupBy("e.k_id", "e.k_text").agg(F.collect_list("e.line_no").alias("nos"))
     wanted = cut(wanted.withColumn("many", F.size("nos")))
     few = (wanted.agg(F.sum("many")).first()[0] or 0) <= BROADCAST_CLASSES
     # Lines of a text are split once, however many of them are asked for.
@@ -186,10 +274,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     found = texts.join(F.broadcast(wanted) if few else wanted, ["k_id", "k_text"])
     asked = found.select("k_id", "k_text", "nos", F.split(plain("t"), "\n", -1).alias("ls")).select("k_id", "k_text", F.explode(F.transform("nos", lambda i: F.struct(i.alias("line_no"), F.get("ls", i).alias("line")))).alias("x"))
     # Repeated rows give a line many times; one is enough.
-    words = asked.groupBy(F.struct("k_id", "k_text", "x.line_no").alias("e")).agg(F.first("x.line").alias("line")).select("e", distinct_words(F.col("line")).alias("ws"))
-    of = lambda name, z: words.select(F.col("e").alias(name), F.col("ws").alias(z))
-    joined = pairs.join(of("earlier", "xw"), "earlier").join(of("later", "yw"), "later")
-    return joined.withColumn("both", F.size(F.array_intersect("xw", "yw"))).where("5L * both >= 4L * (size(xw) + size(yw) - both)").select("earlier", "later").distinct()
+    return asked.groupBy(F.struct("k_id", "k_text", "x.line_no").alias("e")).agg(F.first("x.line").alias("line")).select("e", distinct_words(F.col("line")).alias("ws"))
 
 
 def _marked(table: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -215,9 +300,7 @@ def linked_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     set or of a linked class, and null where no earlier line matches.
     """
     table = cut(line_table(docs, id_col, text_col))
-    classes, pairs = similar_classes(table, docs, id_col, text_col, every=True)
-    ends = F.explode(F.array(F.struct(F.col("later").alias("first"), F.col("earlier").alias("by")), F.struct(F.col("earlier").alias("first"), F.lit(None).alias("by")))).alias("e")
-    links = cut(pairs.select(ends).groupBy("e.first").agg(F.count("*").alias("n_links"), F.min("e.by").alias("by")))
+    classes, links = class_links(table, docs, id_col, text_col)
     known = classes.select(*_SET, "first", "copies").join(links, "first", "left").select(*_SET, "first", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "by")
     own = F.struct("k_id", "k_text", "line_no")
     # A line has a class in any case; by comes before first, as pairs name the earlier class first.

@@ -132,3 +132,33 @@ def test_words_longer_than_a_chunk(monkeypatch):
         monkeypatch.setattr(W, "CHUNK", chunk)
         assert [[a.tolist() for a in words_at(d, fold)] for d in datas for fold in (True, False)] == want
         assert len(W.shingle_set(datas[0], 2)) == 1
+
+
+def test_links_of_a_large_group_are_not_listed(spark, monkeypatch):
+    """Two large groups of near copies, some far from their centre: all links counted, the earliest match named, few pairs listed."""
+    rng = random.Random(12)
+    bases = [[f"{c}{i}" for i in range(n)] for c, n in (("p", 60), ("q", 40))]
+    lines = []
+    for i in range(400):
+        line = list(bases[i % 2])
+        for _ in range(rng.choice((1, 1, 1, 2, 2, 3, 5, 9))):
+            line[rng.randrange(len(line))] = f"x{rng.randrange(400)}"
+        lines.append(" ".join(line[: rng.choice((99, 99, 99, 55, 33))]))
+    docs = [(i, line) for i, line in enumerate(lines)]
+    sets = [words(line) for line in lines]
+    first = {s: i for i, s in reversed(list(enumerate(sets)))}
+    linked = lambda s, t: 5 * len(s & t) >= 4 * len(s | t)
+    links = {s: sorted(first[t] for t in first if t != s and linked(s, t)) for s in first}
+    total = sum(map(len, links.values())) // 2
+    listed, verify = [], L._verified
+    monkeypatch.setattr(L, "_verified", lambda pairs, *more: listed.append(pairs.count()) or verify(pairs, *more))
+    for wide in (L.BROADCAST_CLASSES, 0):
+        monkeypatch.setattr(L, "BROADCAST_CLASSES", wide)
+        rows = {r["doc_id"]: r for r in L.line_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+        for i, s in enumerate(sets):
+            (c,) = rows[i]["classes"]
+            assert (c["class"]["k_id"], c["n_links"]) == (first[s], len(links[s]))
+            earlier = [x for x in [first[s], *links[s]] if x < i and (x != first[s] or first[s] != i)]
+            by = min([x for x in links[s] if x < first[s]], default=first[s] if first[s] != i else None)
+            assert rows[i]["matched_docs"] == ([] if by is None else [by]) and bool(earlier) >= bool(rows[i]["n_removed"])
+    assert total > 10_000 and max(listed) < total / 3
