@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -25,8 +26,19 @@ def in_segments(points: DataFrame, segments: DataFrame, keys: Sequence[str], bin
 
 
 def segment_mask(points: DataFrame, segments: DataFrame, keys: Sequence[str], bin_ms: int) -> DataFrame:
-    """(keys, t_ms, mask, n_segments): 1 where a segment holds the point, and how many do; equal points count once."""
+    """(keys, t_ms, mask, n_segments): 1 where a segment holds the point, and how many do.
+
+    The segments that hold a point are those begun by then less those ended: each is two rows, however long it lasts. Rows are
+    summed in order within a bin of their key, after one row with what the earlier bins come to. Nothing is joined, so no side
+    is taken for small and sent to the driver.
+    """
     keys = list(keys)
-    held = in_segments(points.select(*keys, "t_ms").distinct(), segments, keys, bin_ms).groupBy(*keys, "t_ms").agg(F.count("*").alias("n"))
-    out = points.select(*keys, "t_ms").join(held, [*keys, "t_ms"], "left")
-    return out.select(*keys, "t_ms", F.when(F.col("n") > 0, 1).otherwise(0).alias("mask"), F.coalesce("n", F.lit(0)).cast("long").alias("n_segments"))
+    real = segments.where(" AND ".join(["begin IS NOT NULL", "(end IS NULL OR begin < end)", *[f"`{k}` IS NOT NULL" for k in keys]]))
+    row = lambda df, t, n, point: df.select(*keys, F.floor(F.col(t) / bin_ms).alias("_bin"), F.col(t).cast("long").alias("t_ms"), F.lit(n).cast("long").alias("_n"), F.lit(point).alias("_point"))
+    rows = row(points, "t_ms", 0, True).unionByName(row(real, "begin", 1, False)).unionByName(row(real.where("end IS NOT NULL"), "end", -1, False))
+    earlier = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy(*keys, "_bin").agg(F.sum("_n").alias("n")).select(*keys, "_bin", F.lit(None).cast("long").alias("t_ms"), F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")).alias("_n"), F.lit(False).alias("_point"))
+    # The null time of a start comes first; all rows of an instant count at its points.
+    held = F.sum("_n").over(W.partitionBy(*keys, "_bin").orderBy("t_ms").rangeBetween(W.unboundedPreceding, W.currentRow))
+    out = rows.unionByName(starts).withColumn("n_segments", held).where("_point")
+    return out.select(*keys, "t_ms", F.when(F.col("n_segments") > 0, 1).otherwise(0).alias("mask"), "n_segments")

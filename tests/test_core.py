@@ -293,6 +293,19 @@ def test_segments_by_key(spark):
     assert sorted((r["k"], r["t_ms"], r["n_segments"]) for r in got) == want and all(r["mask"] == (r["n_segments"] > 0) for r in got)
 
 
+def test_segment_masks_send_no_side_to_the_driver(spark):
+    """A grid exploded from few rows looks small to the planner; null keys and times lie in no segment."""
+    from ledgerlens.operators import intervals as I
+
+    grid = spark.range(40).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(900), F.lit(30)).cast("array<long>")).alias("t_ms"))
+    spans = spark.createDataFrame([(k, 15 * k, 15 * k + 100 if k % 3 else None) for k in range(40)] + [(None, 0, None), (1, None, 50), (2, 90, 60)], "k long, begin long, end long")
+    got = I.segment_mask(grid, spans, ["k"], 70)
+    assert {(r["k"], r["t_ms"]): r["n_segments"] for r in got.collect()} == {(k, t): int(15 * k <= t and (k % 3 == 0 or t < 15 * k + 100)) for k in range(40) for t in range(0, 901, 30)}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    odd = I.segment_mask(spark.createDataFrame([(None, 5), (3, None), (3, 400), (3, 400)], "k long, t_ms long"), spans, ["k"], 70)
+    assert sorted(tuple(r) for r in odd.collect() if r["k"] and r["t_ms"]) == [(3, 400, 1, 1)] * 2 and odd.where("k IS NULL OR t_ms IS NULL").where("mask = 0 AND n_segments = 0").count() == 2
+
+
 def test_toeplitz_systems_and_erfc(spark):
     import numpy as np
 
