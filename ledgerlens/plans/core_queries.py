@@ -37,6 +37,11 @@ def exact(c, n: int = 2, name: str | None = None):
     return out.alias(name) if name else out
 
 
+def away(c, n: int):
+    """Rounded as SQL's ``round`` on doubles does it: the product with 10^n to the nearest whole number, halves away from zero."""
+    return F.round(c * float(10**n)) / float(10**n)
+
+
 def exact_sql(x: str, n: int = 2) -> str:
     return f"CAST(round(CAST({x} AS DECIMAL(38,{n + 2})), {n}) AS DOUBLE) + 0.0"
 
@@ -167,7 +172,7 @@ _STATS = {
     "jarque_bera": (lambda: stats.jarque_bera("value"), f"count(*) / 6.0 * (({_SK}) ** 2 + kurtosis_pop(value) ** 2 / 4)"), "total_return": (lambda: stats.total_return(), "(arg_max(value, t_ms) - arg_min(value, t_ms)) / arg_min(value, t_ms)"),
 }
 for _n, (_f, _e) in _STATS.items():
-    add(_n, lambda spark, d, n=_n, f=_f: V.series(spark, d).groupBy(K).agg((F.round(f(), 4) + 0.0).alias(n)), sql("s", f"SELECT series_id, round({_e}, 4) + 0.0 AS {_n} FROM s GROUP BY 1"))
+    add(_n, lambda spark, d, n=_n, f=_f: V.series(spark, d).groupBy(K).agg((away(f(), 4) + 0.0).alias(n)), sql("s", f"SELECT series_id, round({_e}, 4) + 0.0 AS {_n} FROM s GROUP BY 1"))
 for _n, _f, _e in (("volatility", lambda: stats.volatility("value"), "stddev_samp(value) * sqrt(252)"), ("sharpe", lambda: stats.sharpe("value"), "avg(value) / stddev_samp(value)"), ("sharpe_annualized", lambda: stats.sharpe_annualized("value"), "avg(value) / stddev_samp(value) * sqrt(252)")):
     add(_n, lambda spark, d, n=_n, f=_f: S.returns(V.prices(spark, d)).groupBy(K).agg((F.round(f(), 6) + 0.0).alias(n)), sql("lr", f"SELECT series_id, round({_e}, 6) + 0.0 AS {_n} FROM lr GROUP BY 1"))
 

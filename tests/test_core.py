@@ -306,6 +306,19 @@ def test_segment_masks_send_no_side_to_the_driver(spark):
     assert sorted(tuple(r) for r in odd.collect() if r["k"] and r["t_ms"]) == [(3, 400, 1, 1)] * 2 and odd.where("k IS NULL OR t_ms IS NULL").where("mask = 0 AND n_segments = 0").count() == 2
 
 
+def test_total_return_rounds_halves_as_its_sql(spark, tmp_path):
+    """(49.81 - 1.6) / 1.6 is 30.13125, a half at four places that its double misses by one bit."""
+    import duckdb
+
+    ticks = [(350, 1, 1.6), (350, 2, 49.81), (99, 1, 16.0), (99, 2, 9.26), (1163, 1, 19.84), (1163, 2, 78.74), (754, 1, 8.0), (754, 2, 13.37)]
+    events = spark.createDataFrame(ticks, "user_id long, s long, value double").select("user_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "value")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r["series_id"], r["total_return"]) for r in catalog.queries()["total_return"](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+        assert got == set(db.execute(catalog.oracle_sql()["total_return"]).fetchall()) and (350, 30.1313) in got
+
+
 def test_toeplitz_systems_and_erfc(spark):
     import numpy as np
 
