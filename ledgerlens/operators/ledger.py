@@ -181,17 +181,31 @@ def violations(txns: DataFrame, arrival: str | None = None) -> DataFrame:
 
 
 def holdings(txns: DataFrame) -> DataFrame:
-    """(portfolio_id, asset, t_ms, quantity): the last state of each asset and currency at each instant it changes."""
-    order = F.struct(priority(F.col("type")), F.col("id"))
-    a = positions(txns)
-    a = a.withColumn("delta", asset_delta(a)).withColumn("currency", purse(a))
-    own = F.concat(F.lit("CASH:"), F.col("currency"))
-    none = F.lit(None).cast("double")
-    # A transaction changes an asset and a purse: both come from one pass over it.
-    pair = F.array(F.struct(F.col("ticker").alias("asset"), F.col("position").alias("p"), none.alias("d")), F.struct(own.alias("asset"), none.alias("p"), F.col("delta").alias("d")))
-    moves = a.select("portfolio_id", "t_ms", order.alias("o"), F.explode(pair).alias("x")).select("portfolio_id", "t_ms", "o", "x.*")
-    money = txns.where(F.col("type").isin("Deposit", "Withdrawal")).select("portfolio_id", "t_ms", order.alias("o"), own.alias("asset"), none.alias("p"), cash_delta().alias("d"))
-    held = moves.unionByName(money).where("asset IS NOT NULL").groupBy("portfolio_id", "asset", "t_ms").agg(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("o"))).alias("p"), F.sum(F.col("d").cast(MONEY)).alias("d"))
+    """(portfolio_id, asset, t_ms, quantity): the last state of each asset and currency at each instant it changes.
+
+    At one instant dividends come before trades, and trades before splits. So the rows of an instant are summed before any are put in
+    order: trades of an asset, the product of its splits, and cash by purse. A dividend pays by what was held before its instant;
+    equal ones are counted, so that each is rounded by itself.
+    """
+    kind = F.col("type")
+    money, paid = kind.isin("Deposit", "Withdrawal"), kind == "Dividend"
+    fixed = F.when(money, cash_delta()).otherwise(asset_delta(txns)).cast(MONEY)
+    rows = txns.where(kind.isNotNull()).withColumn("held", F.lit(0.0)).select(
+        "portfolio_id", (~money).alias("_asset"), F.when(~money, F.col("ticker")).alias("ticker"), "t_ms", purse(txns).alias("_purse"), paid.alias("_paid"), F.when(paid, F.col("price")).alias("_price"), F.when(paid, F.col("fee")).alias("_fee"),
+        F.when(kind == "Buy", F.col("quantity")).when(kind == "Sell", -F.col("quantity")).otherwise(0.0).alias("_q"), F.when(kind == "Split", F.col("quantity")).otherwise(1.0).alias("_r"), fixed.alias("_d"),
+    )
+    sums = rows.groupBy("portfolio_id", "_asset", "ticker", "t_ms", "_purse", "_paid", "_price", "_fee").agg(F.sum("_q").alias("_q"), F.product("_r").alias("_r"), F.sum("_d").alias("_d"), F.count("*").alias("_n"))
+    w = W.partitionBy("portfolio_id", "_asset", "ticker").orderBy("t_ms")
+    before, now = w.rangeBetween(W.unboundedPreceding, -1), w.rangeBetween(W.unboundedPreceding, W.currentRow)
+    product, total = F.product("_r"), F.sum("_u")
+    scaled = sums.withColumn("_u", F.col("_q") / F.coalesce(product.over(before), F.lit(1.0)))
+    a = scaled.withColumns({"position": product.over(now) * total.over(now), "held": F.coalesce(product.over(before) * total.over(before), F.lit(0.0))})
+    each = F.when(F.col("held") != 0, F.col("held") * F.col("_price") - F.col("_fee")).otherwise(0.0).cast(MONEY)
+    delta = F.col("_d") + F.when(F.col("_paid"), each * F.col("_n").cast("decimal(10,0)")).otherwise(F.lit(0).cast(MONEY))
+    none = F.lit(None)
+    pair = F.array(F.struct(F.col("ticker").alias("asset"), F.col("position").alias("p"), none.cast("decimal(38,4)").alias("d")), F.struct(F.concat(F.lit("CASH:"), "_purse").alias("asset"), none.cast("double").alias("p"), delta.cast("decimal(38,4)").alias("d")))
+    moves = a.select("portfolio_id", "t_ms", F.explode(pair).alias("x")).select("portfolio_id", "t_ms", "x.*").where("asset IS NOT NULL")
+    held = moves.groupBy("portfolio_id", "asset", "t_ms").agg(F.max("p").alias("p"), F.sum("d").alias("d"))
     w = W.partitionBy("portfolio_id", "asset").orderBy("t_ms").rowsBetween(W.unboundedPreceding, 0)
     return held.select("portfolio_id", "asset", "t_ms", F.coalesce("p", F.sum("d").over(w).cast("double")).alias("quantity"))
 

@@ -9,7 +9,7 @@ from ..operators import chain as C
 from ..operators import ledger as L
 from ..operators import models as M
 from ..sources import files
-from ..sources.folders import shared_folder
+from ..sources.folders import forget, shared_folder
 from ..sources.ledger_store import LedgerStore, assigned
 from ..sources.segments import SeriesStore
 from ..streaming import jobs
@@ -59,7 +59,8 @@ EDITED = f"({_LATE_FROM} AND NOT {_day(5, 0)} AND NOT {_day(11, 3)} AND {_day(13
 
 def _changed(spark, d, inserts=True, deletes=True, edits=True, own_ids=False) -> LedgerStore:
     """A ledger built without the late rows, then changed once."""
-    log = V.txns(spark, d)
+    given = shared_folder(spark)
+    log = V.stored_txns(spark, d, given)
     store = LedgerStore(spark, shared_folder(spark), *SEGMENTS)
     store.change(0, log.where(f"NOT {INSERTED}") if inserts else log)
     adds = log.where(INSERTED if inserts else "false")
@@ -68,6 +69,7 @@ def _changed(spark, d, inserts=True, deletes=True, edits=True, own_ids=False) ->
     if edits:
         adds = adds.unionByName(log.where(EDITED).withColumns({"id": F.concat("id", F.lit("-v2")), "quantity": F.col("quantity") + 1}))
     store.change(1, adds, log.where(gone).select(PID, "id") if gone else None)
+    forget(spark, given)
     return store
 
 

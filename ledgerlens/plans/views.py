@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import stored
+
 DAY = 86_400_000
 HOUR = 3_600_000
 # Currencies by brand number modulo 6, and the currency of each order priority.
@@ -71,6 +73,19 @@ def fx(spark, d) -> DataFrame:
 
 def txns(spark, d) -> DataFrame:
     """Transactions of one portfolio a nation."""
+    moves = _moves(spark, d)
+    return moves.unionByName(_splits(moves))
+
+
+def stored_txns(spark, d, path: str) -> DataFrame:
+    """The same, written below ``path``, for what reads them several times: tables are joined once."""
+    moves = stored(_moves(spark, d), f"{path}/moves")
+    stored(_splits(moves), f"{path}/splits")
+    return spark.read.schema(moves.schema).parquet(f"{path}/moves", f"{path}/splits")
+
+
+def _moves(spark, d) -> DataFrame:
+    """Deposits and trades."""
     o, c = table(spark, d, "orders"), table(spark, d, "customer").select("c_custkey", "c_nationkey")
     oc = o.join(c, o.o_custkey == c.c_custkey)
     zero = F.lit(0.0)
@@ -84,10 +99,15 @@ def txns(spark, d) -> DataFrame:
         F.col("c_nationkey").alias("portfolio_id"), ms("l_shipdate").alias("t_ms"), kind.alias("type"), F.col("p_brand").alias("ticker"), F.when(div, zero).otherwise(F.col("l_quantity")).alias("quantity"),
         F.when(div, F.col("l_discount")).otherwise(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), (F.col("l_tax") * 10).alias("fee"), "currency", ident.alias("id"),
     )
-    splits = trades.select("portfolio_id", "ticker", "currency").distinct().select(
+    return deposits.unionByName(trades)
+
+
+def _splits(moves: DataFrame) -> DataFrame:
+    """One split of each asset that a portfolio trades."""
+    zero = F.lit(0.0)
+    return moves.where("ticker IS NOT NULL").select("portfolio_id", "ticker", "currency").distinct().select(
         "portfolio_id", F.lit(SPLIT_AT).alias("t_ms"), F.lit("Split").alias("type"), "ticker", F.lit(2.0).alias("quantity"), zero.alias("price"), zero.alias("fee"), "currency", F.concat(F.lit("S-"), "ticker").alias("id"),
     )
-    return deposits.unionByName(trades).unionByName(splits)
 
 
 def grid(spark) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A change replays each portfolio that it names from its last snapshot strictly before its earliest change. Neither the
 log before that snapshot nor the segments of other times and portfolios are opened, except that ids are compared
-with those of the named parts.
+with those of the named parts. New transactions are added beside those of their segment; only segments that lose some are
+written anew. Whole rows are shuffled only where ids repeat or many are removed.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chain as C
 from ..operators.chain import P
+from .folders import forget, stored
 from .segments import Segments
 
 LOG = "portfolio_id bigint, t_ms bigint, type string, ticker string, quantity double, price double, fee double, currency string, id string"
@@ -47,44 +49,54 @@ class LedgerStore:
         s = self.segments
         if n <= s.version():
             return
-        spark, empty = s.spark, s.spark.createDataFrame([], LOG)
+        spark, stage = s.spark, f"{s.path}/stage/{n}"
+        # Small tables that later steps read several times; once written, their size is known to the planner.
+        keep = lambda name, df: stored(df, f"{stage}/{name}")
         named = [x.select(P) for x in (adds, deletes) if x is not None]
         parts = {p for p, _ in s.touched(s.placed("log", named[0].unionByName(named[-1]).distinct().withColumn("t_ms", F.lit(0))))}
         mine = s.read("log", lambda p, e: p in parts)
-        gone = empty if deletes is None else mine.join(deletes.select(P, "id").distinct(), [P, "id"], "left_semi").select(*_COLUMNS)
-        fresh = empty
-        if adds is not None:
-            known = mine.select(P, "id")
-            if deletes is not None:
-                known = known.join(deletes.select(P, "id"), [P, "id"], "left_anti")
-            rest = [c for c in _COLUMNS if c not in (P, "id")]
-            once = adds.groupBy(P, "id").agg(F.min(F.struct(*rest)).alias("x")).select(P, "x.*", "id")
-            fresh = once.join(known, [P, "id"], "left_anti").select(*_COLUMNS)
-        # The change itself is written once, as later steps read it several times.
-        stage = f"{s.path}/stage/{n}"
-        fresh.write.mode("overwrite").parquet(f"{stage}/fresh")
-        gone.write.mode("overwrite").parquet(f"{stage}/gone")
-        fresh, gone = (spark.read.schema(LOG).parquet(f"{stage}/{x}") for x in ("fresh", "gone"))
-        since = C.boundaries(fresh.select(P, "t_ms").unionByName(gone.select(P, "t_ms")))
-        touched = s.touched(s.placed("log", fresh.unionByName(gone)))
-        hit = set(touched)
-        log = s.read("log", lambda p, e: (p, e) in hit).join(gone.select(P, "id"), [P, "id"], "left_anti").unionByName(fresh)
+        gone = names = None
+        if deletes is not None:
+            names = keep("names", deletes.select(F.col(P).cast("bigint").alias(P), "id").distinct())
+            gone = keep("gone", mine.select(P, "id", "t_ms").join(names, [P, "id"], "left_semi"))
+        fresh = s.put(n, "log", spark.createDataFrame([], LOG) if adds is None else self._unknown(adds.select(*_COLUMNS), mine, names, keep), as_dealt=True)
+        moved = fresh.select(P, "t_ms")
+        since = keep("since", C.boundaries(moved if gone is None else moved.unionByName(gone.select(P, "t_ms"))))
+        hit = set() if gone is None else set(s.touched(s.placed("log", gone)))
+        if hit:
+            fresh = s.put(n, "log", s.read("log", lambda p, e: (p, e) in hit).join(gone.select(P, "id"), [P, "id"], "left_anti"), as_dealt=True, more=True)
+        log = [x for x in s.held("log") if x[:2] not in hit] + [(p, e, n) for p, e in s.touched(fresh)]
 
         # Bases: snapshots of the named parts, up to the era of the latest boundary of each part.
         edge = {r["_part"]: (r["lo"], r["hi"]) for r in s.placed("log", since.withColumn("t_ms", F.col("since"))).groupBy("_part").agg(F.min("_era").alias("lo"), F.max("_era").alias("hi")).collect()}
-        base = C.bases(s.read("snapshots", lambda p, e: p in edge and e <= edge[p][1]).drop("made"), since)
-        base.write.mode("overwrite").parquet(f"{stage}/base")
-        base = spark.read.schema(C.SNAPSHOT).parquet(f"{stage}/base")
-        starts = since.join(base.select(P, F.col("t_ms").alias("_base")), P, "left").select(P, F.coalesce("_base", F.lit(-(2**62))).alias("_base"))
+        base = keep("base", C.bases(s.read("snapshots", lambda p, e: p in edge and e <= edge[p][1]).drop("made"), since))
+        starts = keep("starts", since.join(base.select(P, F.col("t_ms").alias("_base")), P, "left").select(P, F.coalesce("_base", F.lit(-(2**62))).alias("_base")))
         first = {r["_part"]: r["era"] for r in s.placed("log", starts.withColumn("t_ms", F.col("_base"))).groupBy("_part").agg(F.min("_era").alias("era")).collect()}
-        stored = s.read("log", lambda p, e: p in first and e >= first[p]).join(gone.select(P, "id"), [P, "id"], "left_anti")
-        after = stored.unionByName(fresh).join(starts, P).where("t_ms > _base").drop("_base")
+        after = s.read("log", lambda p, e: p in first and e >= first[p], log).join(starts, P).where("t_ms > _base").drop("_base")
         new = C.renewed(after, base, since).withColumn("made", F.lit(n).cast("long"))
 
         # Snapshots from the boundaries on are replaced; those before stay in the segments that are rewritten.
         later = {k for k in s.entries("snapshots") if k[0] in edge and k[1] >= edge[k[0]][0]}
         kept = s.read("snapshots", lambda p, e: (p, e) in later).join(since, P, "left").where("since IS NULL OR t_ms < since").drop("since")
-        s.commit(n, {"log": (log, touched), "snapshots": (kept.unionByName(new), list(later))})
+        s.publish(n, {"log": log, "snapshots": s.replaced(n, "snapshots", kept.unionByName(new), list(later))})
+        forget(spark, stage)
+
+    @staticmethod
+    def _unknown(adds: DataFrame, mine: DataFrame, removed: DataFrame | None, keep) -> DataFrame:
+        """Those new transactions whose id their portfolio lacks, each once.
+
+        Only hashes of all ids are shuffled: a hash that comes once belongs to a new transaction, and rows of the others are compared by their ids.
+        """
+        key = F.xxhash64(F.col(P).cast("bigint"), "id").alias("_h")
+        twice = keep("twice", adds.select(key).unionByName(mine.select(key)).groupBy("_h").count().where("count > 1").select("_h"))
+        if twice.isEmpty():
+            return adds
+        hashed = adds.select("*", key)
+        known = mine.select(P, "id", key).join(twice, "_h", "left_semi").drop("_h")
+        known = known if removed is None else known.join(removed, [P, "id"], "left_anti")
+        rest = [c for c in _COLUMNS if c not in (P, "id")]
+        once = hashed.join(twice, "_h", "left_semi").groupBy(P, "id").agg(F.min(F.struct(*rest)).alias("x")).select(P, "x.*", "id")
+        return hashed.join(twice, "_h", "left_anti").select(*_COLUMNS).unionByName(once.join(known, [P, "id"], "left_anti").select(*_COLUMNS))
 
     def invalidate(self, n: int, since: DataFrame) -> None:
         """Drop the snapshots of each portfolio at or after its time in ``since``; the log stays."""

@@ -1,7 +1,7 @@
 """Tables kept in segments of (hash of the key, time era), of which a commit rewrites only those it touches.
 
-Below ``path``: ``data/<table>/v<n>/_part=../_era=../`` holds what commit n wrote, and ``manifest/<n>`` names the version in
-force of each segment of all tables. A commit counts once its manifest is complete, so several tables change at once, a
+Below ``path``: ``data/<table>/v<n>/_part=../_era=../`` holds what commit n wrote, and ``manifest/<n>`` names the versions in
+force of each segment of all tables: one, or several where commits only added rows. A commit counts once its manifest is complete, so several tables change at once, a
 reader never sees half of one, and a commit that is run again after a failure writes the same files again. Segments that
 a commit does not touch keep their files. The driver handles names of segments only.
 """
@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .folders import stored
+
 DAY = 86_400_000
 _ENTRY = "tab string, part int, era long, version long"
 Segment = tuple[int, int]
+Held = list[tuple[int, int, int]]
 
 
 class Segments:
@@ -44,39 +47,52 @@ class Segments:
         whole = [int(n) for n in names if n.isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/{n}/_SUCCESS"))]
         return max(whole, default=-1)
 
-    def entries(self, table: str, version: int | None = None) -> dict[Segment, int]:
-        """The version in force of each segment of a table."""
+    def held(self, table: str, version: int | None = None) -> Held:
+        """The (part, era, version) in force of a table."""
         n = self.version() if version is None else version
         if n < 0:
-            return {}
+            return []
         rows = self.spark.read.schema(_ENTRY).parquet(f"{self.path}/manifest/{n}").where(F.col("tab") == table).collect()
-        return {(r["part"], r["era"]): r["version"] for r in rows}
+        return sorted((r["part"], r["era"], r["version"]) for r in rows)
+
+    def entries(self, table: str, version: int | None = None) -> dict[Segment, int]:
+        """The last version in force of each segment of a table."""
+        return {(p, e): v for p, e, v in self.held(table, version)}
 
-    def read(self, table: str, wanted=None, version: int | None = None) -> DataFrame:
-        """A table as of a commit; ``wanted(part, era)`` says which of its segments are opened at all."""
+    def read(self, table: str, wanted=None, version: int | Held | None = None) -> DataFrame:
+        """A table as of a commit, or of the versions given; ``wanted(part, era)`` says which of its segments are opened at all."""
         schema = StructType.fromDDL(self.tables[table][0])
         root = f"{self.path}/data/{table}"
-        paths = [f"{root}/v{n}/_part={p}/_era={e}" for (p, e), n in sorted(self.entries(table, version).items()) if wanted is None or wanted(p, e)]
+        held = version if isinstance(version, list) else self.held(table, version)
+        paths = [f"{root}/v{n}/_part={p}/_era={e}" for p, e, n in held if wanted is None or wanted(p, e)]
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
+    def put(self, n: int, table: str, df: DataFrame, as_dealt: bool = False, more: bool = False) -> DataFrame:
+        """Write rows of commit n to their segments, or ``more`` of them; the rows so far, with ``_part`` and ``_era``.
+
+        One task writes each segment, or with ``as_dealt`` each task its rows, so that a large table is not shuffled.
+        """
+        placed = self.placed(table, df)
+        return stored(placed if as_dealt else placed.repartition("_part", "_era"), f"{self.path}/data/{table}/v{n}", "_part", "_era", mode="append" if more else "overwrite")
+
+    def publish(self, n: int, changes: dict[str, Held]) -> None:
+        """Make commit n count: its manifest, with the versions of the changed tables and those of the others as they were."""
+        old = self.version()
+        entries = [(table, *x) for table in self.tables for x in (changes[table] if table in changes else self.held(table, old))]
+        self.spark.createDataFrame(entries, _ENTRY).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{n}")
+
+    def replaced(self, n: int, table: str, df: DataFrame, touched: list[Segment]) -> Held:
+        """Write the rows that take the place of the touched segments; what is then in force."""
+        gone = set(touched)
+        written = self.touched(self.put(n, table, df))
+        return [x for x in self.held(table) if x[:2] not in gone] + [(p, e, n) for p, e in written]
+
     def commit(self, n: int, changes: dict[str, tuple[DataFrame, list[Segment]]]) -> None:
         """Replace the touched segments of each table by the rows given for them, at once."""
-        old, entries = self.version(), []
-        if n <= old:
-            return
-        for table in self.tables:
-            now = self.entries(table, old)
-            if table in changes:
-                df, touched = changes[table]
-                path = f"{self.path}/data/{table}/v{n}"
-                placed = self.placed(table, df)
-                placed.repartition("_part", "_era").write.mode("overwrite").partitionBy("_part", "_era").parquet(path)
-                written = self.spark.read.schema(placed.schema).parquet(path)
-                now = {k: v for k, v in now.items() if k not in set(touched)} | dict.fromkeys(self.touched(written), n)
-            entries += [(table, p, e, v) for (p, e), v in now.items()]
-        self.spark.createDataFrame(entries, _ENTRY).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{n}")
+        if n > self.version():
+            self.publish(n, {table: self.replaced(n, table, *change) for table, change in changes.items()})
 
 
 class SeriesStore:

@@ -8,6 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import chain as C
+from ledgerlens.operators import ledger as L
 from ledgerlens.sources.ledger_store import LOG, LedgerStore, assigned
 from ledgerlens.sources.segments import DAY, SeriesStore
 from ledgerlens.streaming import jobs
@@ -110,6 +111,42 @@ def test_a_late_change_opens_no_log_before_its_base(spark, tmp_path, monkeypatch
     assert set(store.segments.entries("snapshots").values()) == {0, 1} and max(e for (p, e), v in store.segments.entries("snapshots").items() if v == 0) >= 8  # the other part
 
 
+def test_a_change_writes_its_own_rows_and_the_segments_that_lose_some(spark, tmp_path):
+    """Added rows lie beside those of their segment; nothing that only the change needs stays on disk."""
+    path = str(tmp_path / "l")
+    store, df = LedgerStore(spark, path, parts=2, era_days=100), lambda rows: spark.createDataFrame(rows, LOG)
+    first = rows_of(random.Random(4), 90)
+    store.change(0, df(first))
+    in_commit = lambda n: spark.read.parquet(f"{path}/data/log/v{n}").count()
+    late = [(p, 850 * DAY, "Buy", "A", 5.0, 1.0, 0.0, "USD", f"late{p}") for p in range(1, 6)]
+    store.change(1, df(late + late[:2] + first[:3]))  # some come twice, some are known
+    assert in_commit(0) == 90 and in_commit(1) == 5
+    both = [x for x in store.segments.held("log") if x[1] == 8]
+    assert {v for _, _, v in both} == {0, 1} and sorted(map(str, store.log().collect())) == sorted(map(str, df(first + late).collect()))
+    store.change(2, deletes=spark.createDataFrame([(1, "late1"), (1, "none")], "portfolio_id long, id string"))
+    part = next(p for p, _ in store.segments.touched(store.segments.placed("log", df(late[:1]))))
+    assert [x for x in store.segments.held("log") if x[:2] == (part, 8)] == [(part, 8, 2)] and in_commit(2) == sum(1 for p, e in ((r["_part"], r["_era"]) for r in store.segments.placed("log", df(first + late[1:])).collect()) if (p, e) == (part, 8))
+    left = first + late[1:]
+    assert sorted(map(str, store.log().collect())) == sorted(map(str, df(left).collect())) and state(store.snapshots()) == state(C.chain(df(left)))
+    assert not glob.glob(f"{path}/stage/*")
+
+
+def test_holdings_by_sums_of_instants_equal_the_row_by_row_ledger(spark):
+    """Many rows an instant, equal dividends that are each rounded, purchases paid elsewhere, rows without ticker or currency."""
+    rng = random.Random(12)
+    rows = [r[:5] + (rng.choice([0.33335, 0.1, 2.5]), rng.choice([0.0, 0.00003])) + (rng.choice([r[7], r[7], None]), r[8], rng.choice([None, "JPY"]), 7.125) for r in rows_of(rng, 400, 0, 12)]
+    rows += [r[:2] + ("Dividend", None) + r[4:8] + (f"n{k}", *r[9:]) for k, r in enumerate(rows[:5])]
+    log = spark.createDataFrame(rows, LOG + ", used_currency string, payment_price double")
+    want = {}
+    for r in L.positions(log).where("ticker IS NOT NULL").orderBy("t_ms", L.priority(F.col("type")), "id").collect():
+        want[r["portfolio_id"], r["ticker"], r["t_ms"]] = r["position"]
+    for r in L.cash(log).where("currency IS NOT NULL").orderBy("t_ms", L.priority(F.col("type")), "id").collect():
+        want[r["portfolio_id"], "CASH:" + r["currency"], r["t_ms"]] = r["balance"]
+    got = {(r["portfolio_id"], r["asset"], r["t_ms"]): r["quantity"] for r in L.holdings(log).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-9 * max(1, abs(want[k])) for k in want)
+    assert "SortAggregate" not in L.holdings(log)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_assigned_ids_tell_transactions_apart(spark):
     df = spark.createDataFrame(rows_of(random.Random(2), 40) * 2, LOG)
     assert assigned(df).select("id").distinct().count() == 40 == assigned(df).where(F.col("id").rlike("^tx-[0-9a-f]{24}$")).select("id").distinct().count()
