@@ -9,7 +9,7 @@ from ..operators import chain as C
 from ..operators import ledger as L
 from ..operators import models as M
 from ..sources import files
-from ..sources.folders import forget, shared_folder
+from ..sources.folders import forget, shared_folder, stored
 from ..sources.ledger_store import LedgerStore, assigned
 from ..sources.segments import SeriesStore
 from ..streaming import jobs
@@ -116,12 +116,12 @@ add("ledger_cash_other_currency", _paid_abroad, sql("cd", "SELECT portfolio_id,
 
 
 def _in_waves(df: DataFrame, waves: int, path: str, start) -> None:
-    """Rows in the order of their ``wave``: each wave is written to the stream's folder and worked off before the next one comes."""
+    """Rows of a stored table in the order of their ``wave``: each wave is written to the stream's folder, worked off and deleted before the next one comes."""
     session, schema = df.sparkSession, df.drop("wave").schema
-    df.write.partitionBy("wave").parquet(f"{path}/all")
     for n in range(waves):
-        session.read.schema(df.schema).parquet(f"{path}/all").where(F.col("wave") == n).drop("wave").write.mode("append").parquet(f"{path}/in")
+        stored(df.where(F.col("wave") == n).drop("wave"), f"{path}/in", mode="append")
         start(session.readStream.schema(schema).parquet(f"{path}/in")).awaitTermination()
+        forget(session, f"{path}/in")
 
 
 def _upserted(spark, d) -> DataFrame:
@@ -131,18 +131,19 @@ def _upserted(spark, d) -> DataFrame:
     row = lambda df, value, later, wave: df.select(K, "t_ms", value.alias("value"), (F.col("arrived") + later).alias("arrived"), (F.col("arrived") + wave).cast("int").alias("wave"))
     x = F.col("value")
     every = row(ticks, x, 0, 0).unionByName(row(ticks.where("event_id % 5 = 0"), x * 2, 1, 1)).unionByName(row(ticks.where("event_id % 7 = 0"), x - 1, -1, 2))
-    _in_waves(every, 5, path, lambda stream: jobs.upsert_series(stream, f"{path}/table", f"{path}/state"))
+    _in_waves(stored(every, f"{path}/all", "wave"), 5, path, lambda stream: jobs.upsert_series(stream, f"{path}/table", f"{path}/state"))
     return SeriesStore(spark, f"{path}/table").read().select(K, "t_ms", "value")
 
 
 def _repaired(spark, d) -> DataFrame:
     """The log in three waves: later ones hold late transactions of all times from the middle on, and rows that were sent before."""
     path = shared_folder(spark)
-    log = V.txns(spark, d)
+    log = V.stored_txns(spark, d, f"{path}/given")
     day = F.floor(F.col("t_ms") / DAY) % 4
     wave = F.when((F.col("t_ms") < MID) | (day < 2), 0).otherwise(day - 1).cast("int")
     again = log.where((F.col("t_ms") >= MID) & (day == 0)).withColumn("wave", F.lit(2))
     _in_waves(log.withColumn("wave", wave).unionByName(again), 3, path, lambda stream: jobs.repair_ledger(stream, f"{path}/ledger", f"{path}/state", *SEGMENTS))
+    forget(spark, f"{path}/given")
     return C.summary(LedgerStore(spark, f"{path}/ledger", *SEGMENTS).snapshots())
 
 
@@ -186,7 +187,7 @@ def _monitored(spark, d) -> DataFrame:
         seen = jobs.monitor_forecasts(stream, models, HORIZON, LAST_N, LIMIT, TOLERANCE, PATIENCE)
         return seen.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start()
 
-    _in_waves(arrivals, _WAVES, path, start)
+    _in_waves(stored(arrivals, f"{path}/all", "wave"), _WAVES, path, start)
     out = spark.read.schema(jobs.MONITORED).parquet(f"{path}/out")
     return r6(out, "predicted", "actual", "rolling_mse", n=4)
 
