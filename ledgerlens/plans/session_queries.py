@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -138,10 +139,19 @@ add_days("recurrence_raw", lambda spark, d: C.recurrence(_rules(spark, d)).selec
 
 
 def _rolled(spark, d):
-    days = C.recurrence(_rules(spark, d)).select("o_orderkey", "unit", "day")
-    return days.join(F.broadcast(_calendar(spark, d, 18).select("day", C.roll("modified_following").alias("rolled"))), "day")
+    """(o_orderkey, rolled), each once.
+
+    Orders that share a rule share its days: a rule is expanded and rolled once. Rows of different orders differ, so only orders whose
+    key comes several times are compared by their days.
+    """
+    rule, rules = ["start", "end", "unit", "step"], _rules(spark, d)
+    rolled = _calendar(spark, d, 18).select("day", C.roll("modified_following").cast("string").alias("rolled"))
+    days = C.recurrence(rules.select(*rule).distinct()).join(F.broadcast(rolled), "day").groupBy(*rule).agg(F.collect_set("rolled").alias("days"))
+    counted = rules.withColumn("_n", F.count("*").over(W.partitionBy("o_orderkey")))
+    each = lambda some: counted.where(some).join(days.hint("shuffle_hash"), rule).select("o_orderkey", F.explode("days").alias("rolled"))
+    return each("_n = 1").unionByName(each("_n > 1").distinct())
 
 
 _ROLL = f"WITH {_RT(18)}, {_REC} SELECT DISTINCT o_orderkey, {_FORMS['modified_following']} AS rolled{{more}} FROM rc JOIN ra USING (day) WHERE rc.day <= en"
-add_days("recurrence_rolled", lambda spark, d: _rolled(spark, d).select("o_orderkey", "rolled").distinct(), _ROLL.format(more=""), "rolled")
-add_days("events_recurring", lambda spark, d: _rolled(spark, d).select("o_orderkey", "rolled", F.lit("Coupon").alias("kind"), F.lit(1.5).alias("amount_per_unit"), F.lit(True).alias("projected")).distinct(), _ROLL.format(more=", 'Coupon' AS kind, 1.5::DOUBLE AS amount_per_unit, true AS projected"), "rolled")
+add_days("recurrence_rolled", lambda spark, d: _rolled(spark, d), _ROLL.format(more=""), "rolled")
+add_days("events_recurring", lambda spark, d: _rolled(spark, d).select("o_orderkey", "rolled", F.lit("Coupon").alias("kind"), F.lit(1.5).alias("amount_per_unit"), F.lit(True).alias("projected")), _ROLL.format(more=", 'Coupon' AS kind, 1.5::DOUBLE AS amount_per_unit, true AS projected"), "rolled")

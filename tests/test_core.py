@@ -306,6 +306,22 @@ def test_segment_masks_send_no_side_to_the_driver(spark):
     assert sorted(tuple(r) for r in odd.collect() if r["k"] and r["t_ms"]) == [(3, 400, 1, 1)] * 2 and odd.where("k IS NULL OR t_ms IS NULL").where("mask = 0 AND n_segments = 0").count() == 2
 
 
+def test_a_shared_rule_is_expanded_once_and_repeated_orders_count_once(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    # Keys that are equal modulo 15 have one rule a start; keys 2 and 15 come twice, with one start and with two.
+    days = ["2000-01-14", "2000-01-15", "2000-02-28"]
+    orders = [(k, days[k % 2]) for k in range(60)] + [(2, days[0]), (15, days[2]), (None, days[0]), (70, None)]
+    spark.createDataFrame(orders, "o_orderkey long, day string").select("o_orderkey", F.to_timestamp_ntz("day").alias("o_orderdate")).write.parquet(str(tmp_path / "orders.parquet"))
+    seen, expand = [], C.recurrence
+    monkeypatch.setattr(C, "recurrence", lambda rules: seen.append(rules.count()) or expand(rules))
+    got = sorted(tuple(r) for r in catalog.queries()["events_recurring"](spark, str(tmp_path)).collect())
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+        assert got == sorted(db.execute(catalog.oracle_sql()["events_recurring"]).fetchall())
+    assert seen == [15 * 2 + 1 + 1] and len({r[0] for r in got}) == 60  # by two starts, one of key 15, and that without a date
+
+
 def test_total_return_rounds_halves_as_its_sql(spark, tmp_path):
     """(49.81 - 1.6) / 1.6 is 30.13125, a half at four places that its double misses by one bit."""
     import duckdb
